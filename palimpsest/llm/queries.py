@@ -1,7 +1,10 @@
 """The queries of the training-data operators and their DuckDB SQL, for __spark_entry__."""
 
+from palimpsest.llm.dedup import OP4_SQL, op4_exact_dedup
 from palimpsest.llm.langid import op8_language_id
+from palimpsest.llm.mixing import op3_mix_sources
+from palimpsest.llm.packing import op10_pack
 from palimpsest.llm.tokens import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op8_language_id)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op4_exact_dedup, op8_language_id, op10_pack)}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
