@@ -29,7 +29,7 @@ MEMO = 600_000
 ASCII_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Pieces of printable ASCII and Latin letters, in which normalisation is lower-casing alone; others go to the library whole.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
-PLAIN_ASCII = re.compile(rb"[!-~]+")
+CONTROL = re.compile(rb"[^!-~]")
 LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u017e]+")
 _state: dict[str, Encoder] = {}
 
@@ -72,81 +72,82 @@ def prove_whole_tokens(path: str) -> dict[bytes, int]:
     return {v.encode(): e.ids[0] for v, e in zip(names, t.encode_batch(names, add_special_tokens=False)) if len(e.ids) == 1}
 
 
+class Words(dict):
+    """Packed ids of plain pre-tokens: the proven ones from the start, others merged when first asked for."""
+
+    def __init__(self, tok, proven: dict[bytes, int]):
+        super().__init__()
+        self.tok, self.start = tok, {w: struct.pack("<I", i) for w, i in proven.items()}
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        moved = [b for b in range(256) if b not in kept]
+        self.names = {**{b: chr(b) for b in kept}, **{b: chr(256 + n) for n, b in enumerate(moved)}}
+        self.update(self.start)
+
+    def __missing__(self, w: bytes) -> bytes:
+        if len(self) > MEMO:
+            self.clear()
+            self.update(self.start)
+        name = w.decode() if w.isascii() else w.decode("latin-1").translate(self.names)
+        ids = [t.id for t in self.tok.model.tokenize(name)]
+        self[w] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
+
 class Encoder:
     """Encodes whole texts to little-endian unsigned 32-bit ids, or counts them."""
 
     def __init__(self, path: str, proven: dict[bytes, int] | None):
-        self.path, self.proven, self.tok = path, proven, load(path)
+        self.path, self.known, self.tok = path, proven is not None, load(path)
         self.batch = getattr(self.tok, "encode_batch_fast", None) or getattr(self.tok, "encode_batch", None)
-        self.special = [s.content.encode() for s in self.tok.get_added_tokens_decoder().values()] if path.endswith(".json") else []
-        self.ids: dict[bytes, bytes] = {}
-        self.counts: dict[bytes, int] = {}
-        self.words: dict[bytes, list[int]] = {}
-        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        moved = [b for b in range(256) if b not in kept]
-        self.byte_names = {**{b: chr(b) for b in kept}, **{b: chr(256 + n) for n, b in enumerate(moved)}}
+        if self.known:
+            self.special = [s.content.encode() for s in self.tok.get_added_tokens_decoder().values()]
+            self.words = Words(self.tok, proven)
+            self.memo: dict[bytes, bytes] = {}
 
-    def _merge(self, pieces: list[bytes]) -> list[list[int]]:
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
         texts = [p.decode("utf-8", "replace") for p in pieces]
         if self.path.endswith(".model"):
-            return self.tok.encode(texts, num_threads=1)
-        return [e.ids for e in self.batch(texts, add_special_tokens=False)]
-
-    def _word(self, w: bytes) -> list[int]:
-        """Ids of one plain pre-token: proven, remembered, or merged."""
-        if (i := self.proven.get(w)) is not None:
-            return [i]
-        ids = self.words.get(w)
-        if ids is None:
-            if len(self.words) > MEMO:
-                self.words.clear()
-            ids = self.words[w] = [t.id for t in self.tok.model.tokenize(w.decode("latin-1").translate(self.byte_names))]
-        return ids
-
-    def _learn(self, pieces: set[bytes], memo: dict, counting: bool) -> None:
-        """Adds distinct pieces to the memo."""
-        whole: list[bytes] = []
+            ids = self.tok.encode(texts, num_threads=1)
+        else:
+            ids = [e.ids for e in self.batch(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(x)}I", *x) for x in ids]
+
+    def _learn(self, pieces: set[bytes], special: bool) -> None:
+        """Adds distinct pieces to the memo: plain ones by pre-token, others (and special strings) by the library."""
+        memo, word, whole, ascii_ = self.memo, self.words.__getitem__, [], []
+        if special:
+            whole = [p for p in pieces if any(s in p for s in self.special)]
+            pieces = pieces.difference(whole)
         for p in pieces:
-            if any(s in p for s in self.special):
-                whole.append(p)
-                continue
-            if PLAIN_ASCII.fullmatch(p):
-                words = ASCII_WORDS.findall(p.lower())
+            if p.isascii():
+                ascii_.append(p)
             elif PLAIN.fullmatch(t := p.decode("utf-8", "replace")):
-                words = [w.encode() for w in LATIN_WORDS.findall(t.lower())]
+                memo[p] = b"".join([word(w.encode()) for w in LATIN_WORDS.findall(t.lower())])
             else:
                 whole.append(p)
-                continue
-            if counting:
-                memo[p] = sum(len(self._word(w)) for w in words)
-            else:
-                ids = [i for w in words for i in self._word(w)]
-                memo[p] = struct.pack(f"<{len(ids)}I", *ids)
-        for p, ids in zip(whole, self._merge(whole) if whole else []):
-            memo[p] = len(ids) if counting else struct.pack(f"<{len(ids)}I", *ids)
-
-    def _pieces(self, text: bytes, memo: dict, counting: bool) -> list:
-        pieces = text.split()
-        found = list(map(memo.get, pieces))
-        if None in found:
+        if CONTROL.search(b"".join(ascii_)):
+            whole += [p for p in ascii_ if CONTROL.search(p)]
+            ascii_ = [p for p in ascii_ if not CONTROL.search(p)]
+        split = ASCII_WORDS.findall
+        for p in ascii_:
+            memo[p] = b"".join(map(word, split(p.lower())))
+        if whole:
+            memo.update(zip(whole, self._merge(whole)))
+
+    def encode(self, text: bytes) -> bytes:
+        if not self.known:
+            return self._merge([text])[0]
+        pieces, memo = text.split(), self.memo
+        try:
+            return b"".join(map(memo.__getitem__, pieces))
+        except KeyError:
             if len(memo) > MEMO:
                 memo.clear()
-                self._learn(set(pieces), memo, counting)
-            else:
-                self._learn({p for p, v in zip(pieces, found) if v is None}, memo, counting)
-            found = list(map(memo.__getitem__, pieces))
-        return found
+            self._learn({p for p in pieces if p not in memo}, any(s in text for s in self.special))
+            return b"".join(map(memo.__getitem__, pieces))
 
     def count(self, text: bytes) -> int:
-        if self.proven is None:
-            return len(self._merge([text])[0])
-        return sum(self._pieces(text, self.counts, True))
-
-    def encode(self, text: bytes) -> bytes:
-        if self.proven is None:
-            ids = self._merge([text])[0]
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(self._pieces(text, self.ids, False))
+        return len(self.encode(text)) // 4
 
 
 def encoder(path: str, proven: dict[bytes, int] | None) -> Encoder:
