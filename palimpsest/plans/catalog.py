@@ -1,4 +1,709 @@
-"""Queries over the driver tables and their DuckDB SQL."""
+"""One query per operator over the driver's tables, with the DuckDB SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.dataset import Dataset
+from palimpsest.functions import dna, spatial
+from palimpsest.functions import text as T
+from palimpsest.operators import aggregates, chunking, merge, similarity, sketch
+from palimpsest.operators.ordering import global_rank
+from palimpsest.storage import saved
+from palimpsest.table import Table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf: str) -> Dataset:
+    """documents as a dataset: one record per document, its text the content."""
+    return Dataset.from_table(read(spark, sf, "documents"), "doc_id", F.col("text"))
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents")
+
+
+FIRST = "SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents"
+REMOVED = f"SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS removed_v FROM ({FIRST}) WHERE k > 1"
+
+
+# curation: dedup, filters, steps, time travel
+@query(f"SELECT doc_id FROM ({FIRST}) WHERE k = 1")
+def dedup_keep_first(spark, sf):
+    d = documents(spark, sf)
+    d.dedup()
+    return d.at().select(F.col("ord").alias("doc_id"))
+
+
+@query(REMOVED)
+def dedup_removed_version(spark, sf):
+    d = documents(spark, sf)
+    d.dedup()
+    return d.removals.select(F.col("ord").alias("doc_id"), "removed_v")
+
+
+@query("SELECT doc_id FROM documents WHERE strlen(text) BETWEEN 200 AND 4000")
+def filter_length(spark, sf):
+    return docs(spark, sf).where(F.octet_length("text").between(200, 4000)).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE strlen(text) >= 500")
+def filter_length_zero_unbounded(spark, sf):
+    low, high = 500, 0
+    size = F.octet_length("text")
+    return docs(spark, sf).where((size >= low) & ((size <= high) if high else F.lit(True))).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE NOT contains(text, 'the')")
+def drop_containing(spark, sf):
+    return docs(spark, sf).where(~F.contains(F.col("text").cast("binary"), F.lit(bytearray(b"the")))).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars > 300")
+def filter_pred(spark, sf):
+    return docs(spark, sf).where("lang = 'en' and n_chars > 300").select("doc_id")
+
+
+@query("""SELECT doc_id, regexp_matches(text, '[0-9]{9,}') OR (regexp_matches(text, '(?s)^.+@.+$') AND strpos(substr(text, strpos(text, '@')), '.') > 0) AS pii FROM documents""")
+def pii_scan(spark, sf):
+    return docs(spark, sf).select("doc_id", T.has_pii(F.col("text")).alias("pii"))
+
+
+@query("""SELECT count(*) AS n, min(strlen(text)) AS min_bytes, max(strlen(text)) AS max_bytes, (sum(strlen(text)) // count(*))::BIGINT AS mean_bytes,
+ count(*) FILTER (strlen(text) = 0) AS empty, count(*) FILTER (strlen(text) BETWEEN 1 AND 9) AS short,
+ count(*) FILTER (strlen(text) >= 10 AND len(list_distinct(regexp_extract_all(hex(encode(text)), '..'))) < 5) AS repetitive FROM documents""")
+def quality_report(spark, sf):
+    q = T.quality(docs(spark, sf), "text")
+    return q.withColumns({c: F.col(c).cast("bigint") for c in ("min_bytes", "max_bytes", "mean_bytes")})
+
+
+@query("SELECT doc_id, replace(text, 'th', 'TH') AS replaced, ((strlen(text) - strlen(replace(text, 'th', ''))) // 2)::BIGINT AS occurrences FROM documents WHERE contains(text, 'th')")
+def replace_occurrences(spark, sf):
+    d = docs(spark, sf).where(F.contains("text", F.lit("th")))
+    return d.select("doc_id", F.replace("text", F.lit("th"), F.lit("TH")).alias("replaced"), T.occurrences(F.col("text"), "th").alias("occurrences"))
+
+
+@query("""SELECT ord AS doc_id, added_v FROM (
+ SELECT doc_id AS ord, sum(m) OVER (ORDER BY doc_id DESC) AS added_v FROM (SELECT doc_id, (strlen(text) - strlen(replace(text, 'the eron', ''))) // 8 AS m FROM documents) WHERE m > 0)""")
+def replace_versions(spark, sf):
+    d = documents(spark, sf)
+    d.replace("the eron", "THE ERON")
+    return d.at().where("added_v > 0").select(F.col("ord").alias("doc_id"), "added_v").withColumn("added_v", F.col("added_v").cast("decimal(38,0)"))
+
+
+@query("""SELECT doc_id, (strlen(substr(text, 1, i - 1)))::INTEGER AS byte_off FROM (SELECT doc_id, text, unnest(range(1, length(text) - 2)) AS i FROM documents WHERE contains(text, 'eren')) WHERE substr(text, i, 4) = 'eren'""")
+def search_byte_offsets(spark, sf):
+    d = docs(spark, sf).where(F.contains("text", F.lit("eren")))
+    return d.select("doc_id", F.explode(T.byte_offsets(F.col("text").cast("binary"), b"eren")).alias("byte_off"))
+
+
+@query("SELECT sum(CASE WHEN substr(text, i, 2) = 'aa' THEN 1 ELSE 0 END)::BIGINT AS n FROM (SELECT text, unnest(range(1, length(text))) AS i FROM documents WHERE contains(text, 'aa'))")
+def substring_count(spark, sf):
+    d = docs(spark, sf).where(F.contains("text", F.lit("aa")))
+    return d.agg(F.sum(F.size(T.byte_offsets(F.col("text").cast("binary"), b"aa"))).alias("n"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({REMOVED}) WHERE removed_v <= 10)")
+def time_travel(spark, sf):
+    d = documents(spark, sf)
+    d.dedup()
+    d.filter_length(100)
+    return d.at(10).select(F.col("ord").alias("doc_id"))
+
+
+@query(f"SELECT doc_id, strlen(text)::INTEGER AS size FROM ({FIRST}) WHERE k = 1")
+def rollback_state(spark, sf):
+    d = documents(spark, sf)
+    d.dedup()
+    step = d.filter_length(1000)
+    d.rollback(step)
+    return d.at().select(F.col("ord").alias("doc_id"), F.octet_length("raw").alias("size"))
+
+
+@query(f"""WITH f AS ({FIRST}), s AS (SELECT count(*) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 1 AND strlen(text) >= 100) AS n2 FROM f)
+SELECT 'dedup' AS name, 0::BIGINT AS version_before, n0 - n1 AS version_after, n0 AS records_before, n1 AS records_after, n0 - n1 AS removed FROM s
+UNION ALL SELECT 'filter_length(100,None)', n0 - n1, n0 - n2, n1, n2, n1 - n2 FROM s
+UNION ALL SELECT 'rollback(v0)', n0 - n2, n0 - n2 + 1, n2, n0, n2 - n0 FROM s""")
+def step_log(spark, sf):
+    d = documents(spark, sf)
+    d.dedup()
+    d.filter_length(100)
+    d.rollback(0)
+    return d.steps_frame().drop("detail", "edits")
+
+
+@query(f"""WITH r AS ({REMOVED}), v AS (SELECT unnest(range(0, (SELECT count(*) + 1 FROM r))) AS version),
+ d AS (SELECT removed_v, strlen(text) + 1 AS b FROM r JOIN documents USING (doc_id))
+SELECT v.version, (SELECT count(*) FROM documents) - count(removed_v) AS records, ((SELECT sum(strlen(text) + 1) FROM documents) - coalesce(sum(b), 0))::BIGINT AS bytes
+FROM v LEFT JOIN d ON d.removed_v <= v.version GROUP BY v.version""")
+def versions_listing(spark, sf):
+    d = documents(spark, sf)
+    d.dedup()
+    return d.versions_frame()
+
+
+@query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 5")
+def head(spark, sf):
+    return documents(spark, sf).head(5).select(F.col("ord").alias("doc_id"), F.col("raw").cast("string").alias("text"))
+
+
+RECORD = F.concat(F.lit('{"id": '), F.col("doc_id"), F.lit(', "text": '), F.to_json(F.struct("text")).substr(F.lit(9), F.length(F.to_json(F.struct("text"))) - 9), F.lit("}"))
+
+
+@query("SELECT doc_id, md5(text) AS content_md5 FROM documents")
+def content_of_json(spark, sf):
+    return docs(spark, sf).select("doc_id", F.md5(T.content(RECORD.cast("binary")).cast("binary")).alias("content_md5"))
+
+
+@query(r"""SELECT doc_id, md5(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n')) AS raw_md5 FROM documents WHERE NOT regexp_matches(text, '[\x00-\x09\x0B-\x1F/]')""")
+def content_still_escaped(spark, sf):
+    d = docs(spark, sf).where(~F.col("text").rlike("[\\x00-\\x09\\x0B-\\x1F/]"))
+    return d.select("doc_id", F.md5(T.content_raw(RECORD.cast("binary")).cast("binary")).alias("raw_md5"))
+
+
+@query("SELECT doc_id, (sum(strlen(text) + 1) OVER (ORDER BY doc_id) - strlen(text) - 1)::BIGINT AS byte_start FROM documents")
+def record_offsets(spark, sf):
+    return documents(spark, sf).offsets().select(F.col("ord").alias("doc_id"), F.col("offset").alias("byte_start"))
+
+
+@query(f"""WITH f AS ({FIRST}) SELECT count(*) AS records_a, sum(strlen(text) + 1)::BIGINT AS bytes_a, count(*) FILTER (k = 1) AS records_b,
+ (sum(strlen(text) + 1) FILTER (k = 1))::BIGINT AS bytes_b, count(*) FILTER (k > 1) AS removed, 0::BIGINT AS added FROM f""")
+def dataset_diff(spark, sf):
+    d = documents(spark, sf)
+    d.dedup()
+    return d.diff(0, -1)
+
+
+@query(f"SELECT max(removed_v) AS version FROM ({REMOVED})")
+def touched_versions(spark, sf):
+    d = documents(spark, sf)
+    d.dedup()
+    first = d.removals.agg(F.min("ord")).first()[0]
+    return d.touched_versions(first).where("version > 0")
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY role, text ORDER BY conv_id, turn) AS k FROM conversations) WHERE k = 1")
+def dedup_conversations(spark, sf):
+    t = Table(read(spark, sf, "conversations"), order=[F.col("conv_id"), F.col("turn")])
+    t.dedup(["role", "text"])
+    return t.rows().select("conv_id", "turn")
+
+
+# tables: lazy edits, deletion vectors, diff, compaction
+def events(spark: SparkSession, sf: str) -> Table:
+    return Table(read(spark, sf, "events").withColumn("row_id", F.col("event_id")), "row_id")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'tap' WHEN 'view' THEN 'click' ELSE event_type END AS event_type FROM events")
+def relabel(spark, sf):
+    t = events(spark, sf)
+    t.relabel("event_type", {"click": "tap", "view": "click"})
+    return t.rows(columns=["event_id", "event_type"]).drop("row_id")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'view' WHEN 'view' THEN 'click' ELSE event_type END AS event_type FROM events")
+def relabel_lazy_swap(spark, sf):
+    t = events(spark, sf)
+    t.relabel_lazy("event_type", {"click": "view", "view": "click"})
+    return t.rows(columns=["event_id", "event_type"]).drop("row_id")
+
+
+@query("SELECT event_id, CASE WHEN event_id >= 500 AND event_id < 1500 THEN value + 2.5 ELSE value END AS value FROM events")
+def range_add(spark, sf):
+    t = events(spark, sf)
+    t.add_range("value", 500, 1500, 2.5)
+    return t.rows(columns=["event_id", "value"]).drop("row_id")
+
+
+@query("""SELECT event_id, CASE WHEN t = 'x' THEN 'z' ELSE t END AS event_type, CASE WHEN event_id < 900 THEN v + 1.5 ELSE v END AS value
+FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'x' ELSE event_type END AS t, CASE WHEN event_id >= 100 THEN value + 2.0 ELSE value END AS v FROM events)""")
+def op_compose(spark, sf):
+    t = events(spark, sf)
+    t.relabel_lazy("event_type", {"click": "x"})
+    t.relabel_lazy("event_type", {"x": "z"})
+    t.add_range("value", 100, 2**40, 2.0)
+    t.add_range("value", -5, 900, 1.5)
+    return t.rows(columns=["event_id", "event_type", "value"]).drop("row_id")
+
+
+@query("SELECT * FROM (VALUES ('before', 2::BIGINT), ('folded', 2), ('after', 0)) AS t(stage, ops)")
+def pending_ops(spark, sf):
+    t = events(spark, sf)
+    t.relabel_lazy("event_type", {"click": "x"})
+    t.relabel_lazy("event_type", {"x": "y"})
+    rows = [("before", t.pending_ops("event_type")), ("folded", t.compact_column("event_type")), ("after", t.pending_ops("event_type"))]
+    return spark.createDataFrame(rows, "stage string, ops bigint")
+
+
+@query("SELECT event_id FROM events WHERE event_type IS DISTINCT FROM 'click'")
+def drop_class(spark, sf):
+    t = events(spark, sf)
+    t.drop_class("event_type", "click")
+    return t.rows(columns=["event_id"]).drop("row_id")
+
+
+@query("SELECT event_id FROM events WHERE NOT coalesce(value > 50, false)")
+def drop_where(spark, sf):
+    t = events(spark, sf)
+    t.drop_where(F.col("value") > 50)
+    return t.rows(columns=["event_id"]).drop("row_id")
+
+
+@query("SELECT event_id FROM events WHERE coalesce(user_id % 3 = 0, false)")
+def table_filter(spark, sf):
+    t = events(spark, sf)
+    t.filter(F.col("user_id") % 3 == 0)
+    return t.rows(columns=["event_id"]).drop("row_id")
+
+
+@query("""WITH live AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events WHERE event_type <> 'click') SELECT event_id FROM live WHERE pos % 5 <> 0""")
+def drop_live_mask(spark, sf):
+    t = events(spark, sf)
+    t.drop_class("event_type", "click")
+    mask = spark.range(t.num_rows()).select(F.col("id").alias("pos"), (F.col("id") % 5 == 0).alias("drop"))
+    t.drop_rows(mask)
+    return t.rows(columns=["event_id"]).drop("row_id")
+
+
+@query("SELECT count(*) FILTER (event_type <> 'click') AS live, count(*) AS physical FROM events")
+def live_vs_physical(spark, sf):
+    t = events(spark, sf)
+    t.drop_class("event_type", "click")
+    return t.rows(columns=["event_id"]).agg(F.count("*").alias("live")).join(t.physical(columns=["event_id"]).agg(F.count("*").alias("physical")))
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id, event_id, value FROM (SELECT event_id, CASE WHEN event_id < 100 THEN value + 1.0 ELSE value END AS value FROM events WHERE event_type <> 'click')")
+def compact(spark, sf):
+    t = events(spark, sf)
+    t.add_range("value", 0, 100, 1.0)
+    t.drop_class("event_type", "click")
+    t.compact()
+    return t.rows(columns=["event_id", "value"])
+
+
+@query("SELECT event_id AS id, 'removed' AS change FROM events WHERE event_type = 'click'")
+def table_diff_rows(spark, sf):
+    t = events(spark, sf)
+    t.drop_class("event_type", "click")
+    return t.diff(0, 1)[0]
+
+
+@query("SELECT event_id AS id, 'event_type' AS \"column\", 'click' AS old, 'tap' AS new FROM events WHERE event_type = 'click'")
+def table_diff_cells(spark, sf):
+    t = events(spark, sf)
+    t.relabel_lazy("event_type", {"click": "tap"})
+    return t.diff(0, 1)[1]
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events) WHERE k = 1")
+def dedup_on_columns(spark, sf):
+    t = events(spark, sf)
+    t.dedup(["user_id", "event_type"])
+    return t.rows(columns=["event_id"]).drop("row_id")
+
+
+@query("SELECT DISTINCT * FROM lineitem")
+def dedup_all_columns(spark, sf):
+    t = Table(read(spark, sf, "lineitem"))
+    t.dedup()
+    return t.rows().drop("row_id")
+
+
+@query("SELECT count(DISTINCT user_id) + max((user_id IS NULL)::INT) AS n FROM events")
+def distinct_exact(spark, sf):
+    t = events(spark, sf)
+    t.drop_class("event_type", "click")
+    return spark.createDataFrame([(t.distinct_exact("user_id"),)], "n bigint")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (props IS NULL) AS nulls FROM events")
+def column_sketch_counts(spark, sf):
+    return read(spark, sf, "events").agg(F.count("*").alias("n"), F.count_if(F.col("props").isNull()).alias("nulls"))
+
+
+@query("SELECT event_id, value * 2 + 1 AS value FROM events")
+def map_column(spark, sf):
+    t = events(spark, sf)
+    t.map_column("value", lambda c: c * 2 + 1)
+    return t.rows(columns=["event_id", "value"]).drop("row_id")
+
+
+@query("SELECT event_id, user_id * 10 AS user_id FROM events")
+def set_column(spark, sf):
+    t = events(spark, sf)
+    t.set_column("user_id", t.physical(columns=["user_id"]).select("row_id", (F.col("user_id") * 10).alias("value")))
+    return t.rows(columns=["event_id", "user_id"]).drop("row_id")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type <> 'purchase'")
+def parquet_export(spark, sf):
+    t = events(spark, sf)
+    t.drop_class("event_type", "purchase")
+    return saved(t.rows(columns=["event_id", "event_type"]).drop("row_id"), "export")
+
+
+@query("SELECT event_id, event_type FROM events")
+def table_time_travel(spark, sf):
+    t = events(spark, sf)
+    t.relabel("event_type", {"click": "x"})
+    t.drop_class("event_type", "view")
+    return t.rows(0, ["event_id", "event_type"]).drop("row_id")
+
+
+# sketches
+@query()
+def hll_estimate(spark, sf):
+    return sketch.estimate(sketch.registers(read(spark, sf, "events"), "user_id", "event_type"), "event_type")
+
+
+@query()
+def hll_merge(spark, sf):
+    e = read(spark, sf, "events")
+    parts = [sketch.registers(e.where(f"event_id % 2 = {k}"), "user_id") for k in (0, 1)]
+    return sketch.estimate(sketch.merge(*parts))
+
+
+# similarity
+PAIRS = """SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {0}"""
+
+
+@query(PAIRS.format("0.35"))
+def cosine_pairs(spark, sf):
+    return similarity.cosine_pairs(read(spark, sf, "embeddings"), "vec_id", "embedding", 0.35).select("a", "b")
+
+
+@query()
+def near_dedup_kept(spark, sf):
+    e = read(spark, sf, "embeddings")
+    kept = similarity.greedy_keep(similarity.cosine_pairs(e, "vec_id", "embedding", 0.35))
+    return e.select("vec_id").join(kept.where("not kept").select(F.col("node").alias("vec_id")), "vec_id", "left_anti")
+
+
+@query()
+def near_dedup_lexical(spark, sf):
+    bench = read(spark, sf, "benchmark")
+    v = similarity.lexical_embedding(bench, "text", "vec")
+    return similarity.greedy_keep(similarity.cosine_pairs(v, "item_id", "vec", 0.5))
+
+
+@query("SELECT a.vec_id AS a, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def pair_similarity(spark, sf):
+    e = read(spark, sf, "embeddings")
+    return e.alias("a").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select(F.col("vec_id").alias("a"), F.round(similarity.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+
+
+# chunks, manifests, sync
+CHUNKS = """SELECT doc_id, seq, sha256(encode(substr(text, seq * 256 + 1, 256))) AS cid, strlen(substr(text, seq * 256 + 1, 256)) AS nbytes
+ FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 256 + 1)) AS seq FROM documents WHERE length(text) > 0 AND strlen(text) = length(text))"""
+
+
+def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    ascii_only = docs(spark, sf).where(F.octet_length("text") == F.length("text"))
+    return chunking.fixed_chunks(ascii_only, "doc_id", "text", 256)
+
+
+@query(f"WITH c AS ({CHUNKS}), u AS (SELECT cid, count(*) AS n, min(nbytes) AS b FROM c GROUP BY cid) SELECT sum(n)::BIGINT AS seen, count(*) AS created, (sum(n) - count(*))::BIGINT AS deduped, sum(b)::BIGINT AS bytes_resident FROM u")
+def chunk_dedup(spark, sf):
+    return chunking.statistics(text_chunks(spark, sf))
+
+
+@query(f"WITH c AS ({CHUNKS}) SELECT DISTINCT cid FROM c")
+def chunk_manifest(spark, sf):
+    return chunking.manifest(text_chunks(spark, sf))
+
+
+@query(f"WITH c AS ({CHUNKS}) SELECT DISTINCT cid FROM c WHERE cid NOT IN (SELECT cid FROM c WHERE doc_id % 2 = 0)")
+def manifest_diff(spark, sf):
+    c = text_chunks(spark, sf)
+    return chunking.lacking(c, c.where("doc_id % 2 = 0"))
+
+
+@query(f"""WITH c AS ({CHUNKS}), m AS (SELECT cid, min(nbytes) AS b FROM c WHERE cid NOT IN (SELECT cid FROM c WHERE doc_id % 2 = 0) GROUP BY cid)
+SELECT count(*) AS chunks, coalesce(sum(b), 0)::BIGINT AS chunk_bytes, (SELECT count(*) * 16 FROM c) AS extent_bytes FROM m""")
+def sync_payload_size(spark, sf):
+    c = text_chunks(spark, sf)
+    return chunking.payload_size(c, c.where("doc_id % 2 = 0"))
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE strlen(text) = length(text)")
+def sync_apply(spark, sf):
+    c = text_chunks(spark, sf)
+    have = c.where("doc_id % 2 = 0")
+    missing, extents = chunking.payload(c, have)
+    return chunking.apply_payload(have, missing, extents, "doc_id").select("doc_id", F.md5("payload").alias("text_md5"))
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def content_defined_chunks(spark, sf):
+    c = chunking.chunks(docs(spark, sf), "doc_id", "text", 256)
+    missing, extents = chunking.payload(c, c.where("false"))
+    return chunking.apply_payload(c.where("false"), missing, extents, "doc_id").select("doc_id", F.md5("payload").alias("text_md5"))
+
+
+@query("SELECT 0::BIGINT AS bad")
+def verify_chunks(spark, sf):
+    return chunking.verify(text_chunks(spark, sf))
+
+
+@query(f"WITH c AS ({CHUNKS}) SELECT DISTINCT cid FROM c WHERE cid NOT IN (SELECT cid FROM c WHERE doc_id % 3 > 0)")
+def orphan_chunks(spark, sf):
+    c = text_chunks(spark, sf)
+    return chunking.orphans(c, c.where("doc_id % 3 > 0"))
+
+
+@query(f"SELECT doc_id, seq, (sum(nbytes) OVER (PARTITION BY doc_id ORDER BY seq) - nbytes)::BIGINT AS start FROM ({CHUNKS})")
+def extent_offsets(spark, sf):
+    from palimpsest.objects import placed
+
+    c = text_chunks(spark, sf).select(F.col("doc_id").alias("object"), F.lit(0).alias("version"), "seq", F.col("nbytes").alias("len"))
+    return placed(c).select(F.col("object").alias("doc_id"), "seq", "start")
+
+
+@query("SELECT doc_id, substr(text, 1001, 500) AS part FROM documents WHERE strlen(text) = length(text) AND length(text) > 1000")
+def range_read(spark, sf):
+    from palimpsest.objects import assemble, placed, window
+
+    c = text_chunks(spark, sf)
+    e = placed(c.select(F.col("doc_id").alias("object"), F.lit(0).alias("version"), "seq", "cid", F.lit(0).cast("bigint").alias("off"), F.col("nbytes").alias("len")))
+    store = c.select("cid", "payload").dropDuplicates(["cid"])
+    return assemble(window(e, 1000, 1500), store, "object").select(F.col("object").alias("doc_id"), F.col("payload").cast("string").alias("part"))
+
+
+@query("SELECT doc_id, md5(substr(text, 1, 1500) || 'SPLICED' || substr(text, 1601)) AS text_md5 FROM documents WHERE strlen(text) = length(text) AND length(text) > 1600")
+def splice_update(spark, sf):
+    from palimpsest.objects import assemble, placed, splice
+
+    ascii_docs = docs(spark, sf).where((F.octet_length("text") == F.length("text")) & (F.length("text") > 1600))
+    c = chunking.fixed_chunks(ascii_docs, "doc_id", "text", 256).withColumnRenamed("doc_id", "object")
+    old = placed(c.select("object", F.lit(0).alias("version"), "seq", "cid", F.lit(0).cast("bigint").alias("off"), F.col("nbytes").alias("len")))
+    new_text = F.lit("SPLICED").cast("binary")
+    new = ascii_docs.select(F.col("doc_id").alias("object"), F.lit(0).cast("bigint").alias("start"), F.sha2(new_text, 256).alias("cid"), F.lit(0).cast("bigint").alias("off"), F.lit(7).cast("bigint").alias("len"))
+    store = c.select("cid", "payload").unionByName(ascii_docs.limit(1).select(F.sha2(new_text, 256).alias("cid"), new_text.alias("payload"))).dropDuplicates(["cid"])
+    return assemble(placed(splice(old, 1500, 100, new, 1)), store, "object").select(F.col("object").alias("doc_id"), F.md5("payload").alias("text_md5"))
+
+
+@query("SELECT key, CASE WHEN head = base THEN other WHEN other = base THEN head ELSE head END AS merged, CASE WHEN head = base AND other = base THEN 'unchanged' WHEN head = other THEN 'converged' WHEN head = base THEN 'other' WHEN other = base THEN 'head' ELSE 'conflict' END AS status FROM (SELECT o_orderkey AS key, o_totalprice AS base, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS head, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 WHEN o_orderkey % 7 = 0 THEN o_totalprice + 2 ELSE o_totalprice END AS other FROM orders)")
+def merge_rows(spark, sf):
+    base = read(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("v"))
+    k = F.col("key")
+    head_ = base.withColumn("v", F.when(k % 3 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    other = base.withColumn("v", F.when(k % 5 == 0, F.col("v") + 1).when(k % 7 == 0, F.col("v") + 2).otherwise(F.col("v")))
+    return merge.merge_rows(base, head_, other, "key", "v")
+
+
+# range aggregates
+@query("""SELECT rid, min(v) AS min, max(v) AS max, sum(v)::BIGINT AS sum FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, round(o_totalprice)::BIGINT AS v FROM orders),
+ (VALUES (0, 0, 1000), (1, 137, 1401), (2, 900, 901), (3, 5, 100000000)) AS r(rid, low, high) WHERE pos >= low AND pos < high GROUP BY rid""")
+def range_aggregates(spark, sf):
+    seq = global_rank(read(spark, sf, "orders").select("o_orderkey", F.round("o_totalprice").cast("bigint").alias("v")), [F.col("o_orderkey")], "pos", 0)
+    n = seq.count()
+    ranges = spark.createDataFrame([(0, 0, 1000), (1, 137, 1401), (2, 900, 901), (3, 5, min(n, 100000000))], "rid int, low bigint, high bigint")
+    chunks = aggregates.partials(seq, "pos", "v", 256)
+    return aggregates.range_aggregate(seq, chunks, "pos", "v", 256, ranges)
+
+
+@query("SELECT l_returnflag, max(l_quantity) AS result FROM lineitem GROUP BY l_returnflag")
+def user_monoid(spark, sf):
+    return aggregates.user_monoid(read(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", float("-inf"), max)
+
+
+@query("SELECT avg((CASE WHEN event_id % 4 = 0 THEN value + 1 ELSE value END = value)::INT::DOUBLE) AS unchanged FROM events")
+def unchanged_fraction(spark, sf):
+    e = read(spark, sf, "events").select("event_id", "value")
+    return aggregates.unchanged_fraction(e, e.withColumn("value", F.when(F.col("event_id") % 4 == 0, F.col("value") + 1).otherwise(F.col("value"))), "event_id", "value")
+
+
+# tokens and text units
+@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'))::BIGINT AS n_units FROM documents")
+def token_units(spark, sf):
+    return docs(spark, sf).select("doc_id", F.size(T.units(F.col("text"))).cast("bigint").alias("n_units"))
+
+
+UNITS = "SELECT doc_id, unnest(u) AS unit, unnest(range(len(u))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+') AS u FROM documents WHERE text <> '')"
+
+
+@query(f"SELECT a, b, count(*) AS n FROM (SELECT unit AS a, lead(unit) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM ({UNITS})) WHERE b IS NOT NULL GROUP BY a, b")
+def pair_counts(spark, sf):
+    return T.pair_counts(docs(spark, sf), "text")
+
+
+@query(f"SELECT a || b AS merged, n FROM (SELECT a, b, count(*) AS n FROM (SELECT unit AS a, lead(unit) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM ({UNITS})) WHERE b IS NOT NULL GROUP BY a, b) ORDER BY n DESC, a, b LIMIT 50")
+def top_merges(spark, sf):
+    return T.pair_counts(docs(spark, sf), "text").orderBy(F.desc("n"), "a", "b").limit(50).select(F.concat("a", "b").alias("merged"), "n")
+
+
+@query(f"SELECT DISTINCT unit FROM ({UNITS}) WHERE strlen(unit) <= 64")
+def dictionary_learn(spark, sf):
+    u = docs(spark, sf).select(F.explode(T.units(F.col("text"))).alias("unit"))
+    return u.where(F.octet_length("unit") <= 64).distinct()
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def detokenize(spark, sf):
+    ids = docs(spark, sf).select("doc_id", T.units(F.col("text")).alias("units"))
+    return ids.select("doc_id", F.md5(F.array_join("units", "").cast("binary")).alias("text_md5"))
+
+
+@query(f"SELECT item_id, count(*) AS absent FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM benchmark) WHERE w NOT IN (SELECT unit FROM ({UNITS})) GROUP BY item_id")
+def token_presence(spark, sf):
+    words = read(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("w"))
+    have = docs(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("w")).distinct()
+    return words.join(have, "w", "left_anti").groupBy("item_id").agg(F.count("*").alias("absent"))
+
+
+@query()
+def crc32(spark, sf):
+    return docs(spark, sf).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
+
+
+@query("""WITH RECURSIVE w AS (SELECT item_id, encode(substr(text, 1, 24)) AS b FROM benchmark WHERE strlen(substr(text, 1, 24)) = 24),
+ h AS (SELECT item_id, 0 AS i, 14695981039346656037::HUGEINT AS v FROM w
+ UNION ALL SELECT h.item_id, i + 1, ((xor(v::UBIGINT, ('0x' || substr(hex(b), 2 * i + 1, 2))::UBIGINT))::HUGEINT * 435 + (((xor(v::UBIGINT, ('0x' || substr(hex(b), 2 * i + 1, 2))::UBIGINT))::HUGEINT % 16777216) * 1099511627776)) % 18446744073709551616::HUGEINT
+ FROM h JOIN w USING (item_id) WHERE i < 24)
+SELECT item_id, v::VARCHAR AS fnv FROM h WHERE i = 24""")
+def fnv1a(spark, sf):
+    b = read(spark, sf, "benchmark").select("item_id", F.substr("text", F.lit(1), F.lit(24)).alias("t")).where(F.octet_length("t") == 24)
+    return T.fnv1a(b, "t").select("item_id", F.col("fnv").cast("string").alias("fnv"))
+
+
+# nucleotide text, made from documents by keeping letters a, c, g, t
+DNA = "SELECT doc_id, upper(regexp_replace(text, '[^acgtACGT]', '', 'g')) AS seq FROM documents"
+
+
+def sequences(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).select("doc_id", F.upper(F.regexp_replace("text", "[^acgtACGT]", "")).alias("seq"))
+
+
+@query(f"SELECT doc_id, (i - 1)::INTEGER AS off FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 3)) AS i FROM ({DNA}) WHERE contains(seq, 'ATTAT')) WHERE substr(seq, i, 5) = 'ATTAT'")
+def plane_scan(spark, sf):
+    return dna.scan(sequences(spark, sf), "seq", "ATTAT", "doc_id")
+
+
+@query(f"SELECT needle, doc_id, (i - 1)::INTEGER AS off FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 12)) AS i FROM ({DNA}) WHERE length(seq) >= 14), (SELECT substr(seq, 1, 14) AS needle FROM ({DNA}) WHERE doc_id < 5 AND length(seq) >= 14) WHERE substr(seq, i, 14) = needle")
+def kmer_locate(spark, sf):
+    s = sequences(spark, sf)
+    needles = s.where("doc_id < 5 and length(seq) >= 14").select(F.substr("seq", F.lit(1), F.lit(14)).alias("needle"))
+    return dna.locate(dna.kmers(s, "seq", "doc_id"), needles, s, "seq", "doc_id")
+
+
+@query(f"SELECT doc_id, substr(seq, 1, 12) AS bases FROM ({DNA}) WHERE length(seq) >= 12")
+def dna_pack_round_trip(spark, sf):
+    s = sequences(spark, sf).where("length(seq) >= 12").select("doc_id", dna.pack(F.substr("seq", F.lit(1), F.lit(12))).alias("token"))
+    return s.select("doc_id", dna.unpack(F.col("token")).alias("bases"))
+
+
+# spatial, with vectors' first three components as vertices
+def vertices(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), *[F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate("xyz")])
+
+
+VERTS = "SELECT vec_id AS idx, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings"
+
+
+@query(f"SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM ({VERTS})")
+def mesh_bounds(spark, sf):
+    return spatial.bounds(vertices(spark, sf))
+
+
+@query(f"SELECT idx, round(x / 0.01)::BIGINT AS qx, round(y / 0.01)::BIGINT AS qy, round(z / 0.01)::BIGINT AS qz FROM ({VERTS})")
+def grid_quantize(spark, sf):
+    return vertices(spark, sf).select("idx", *[spatial.grid_encode(F.col(a), 0.01).alias(f"q{a}") for a in "xyz"])
+
+
+@query(f"SELECT max(greatest(abs(x - round(x / 0.01)::BIGINT * 0.01::DOUBLE), abs(y - round(y / 0.01)::BIGINT * 0.01::DOUBLE), abs(z - round(z / 0.01)::BIGINT * 0.01::DOUBLE))) < 0.0050001 AS within FROM ({VERTS})")
+def mesh_max_error(spark, sf):
+    v = vertices(spark, sf)
+    back = v.select("idx", *[spatial.grid_decode(spatial.grid_encode(F.col(a), 0.01), 0.01).alias(a) for a in "xyz"])
+    return spatial.max_error(v, back).select((F.col("max_error") < 0.0050001).alias("within"))
+
+
+def _spread(v: str) -> str:
+    return " + ".join(f"((({v}) // {1 << i}) % 2) * {1 << (3 * i)}" for i in range(21))
+
+
+def _level(a: str) -> str:
+    return f"floor(({a} - min_{a}) / (max_{a} - min_{a}) * 2097151.0)::BIGINT"
+
+
+@query(f"""WITH v AS ({VERTS}), b AS (SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM v),
+ l AS (SELECT idx, {_level("x")} AS lx, {_level("y")} AS ly, {_level("z")} AS lz FROM v, b)
+SELECT idx, (({_spread("lx")}) + 2 * ({_spread("ly")}) + 4 * ({_spread("lz")}))::BIGINT AS key FROM l""")
+def morton_order(spark, sf):
+    return spatial.morton(vertices(spark, sf)).select("idx", "key").orderBy("key", "idx")
+
+
+@query(f"SELECT idx, x + 1.0 AS tx, y - 2.0 AS ty, z + 0.5 AS tz FROM ({VERTS})")
+def scene_translate(spark, sf):
+    m = F.array(*[F.lit(x) for x in spatial.translation(1.0, -2.0, 0.5)])
+    return spatial.transform(vertices(spark, sf).withColumn("m", m)).select("idx", "tx", "ty", "tz")
+
+
+@query("SELECT v.vec_id AS instance, n.n_name AS asset FROM embeddings v JOIN nation n ON v.vec_id % 25 = n.n_nationkey")
+def instance_assets(spark, sf):
+    inst = read(spark, sf, "embeddings").select(F.col("vec_id").alias("instance"), (F.col("vec_id") % 25).cast("int").alias("n_nationkey"))
+    return inst.join(read(spark, sf, "nation"), "n_nationkey").select("instance", F.col("n_name").alias("asset"))
+
+
+@query(f"SELECT idx FROM ({VERTS}) WHERE sqrt(x * x + y * y + z * z) < 0.2")
+def brush_stroke_moved(spark, sf):
+    v = vertices(spark, sf)
+    moved = spatial.displacement(v, spatial.stroke(v, (0.0, 0.0, 0.0), 0.2, (0.0, 0.0, 1.0)))
+    return moved.select("idx")
+
+
+@query("""WITH f AS (SELECT user_id AS video, event_id AS idx, event_type = 'click' AS idr FROM events)
+SELECT video, idx, last_value(CASE WHEN idr THEN idx END IGNORE NULLS) OVER (PARTITION BY video ORDER BY idx ROWS UNBOUNDED PRECEDING) AS gop,
+ first_value(CASE WHEN idr THEN idx END IGNORE NULLS) OVER (PARTITION BY video ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_gop FROM f""")
+def frame_groups(spark, sf):
+    f = read(spark, sf, "events").select(F.col("user_id").alias("video"), F.col("event_id").alias("idx"), (F.col("event_type") == "click").alias("idr"))
+    return spatial.gops(f).select("video", "idx", "gop", "next_gop")
+
+
+# streaming
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windowed_counts(spark, sf):
+    from palimpsest.storage import scratch_dir
+    from palimpsest.streaming.oplog import windowed_counts
+
+    e = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = scratch_dir(spark)
+    e.repartition(2).write.parquet(f"{folder}/in")
+    s = windowed_counts(spark.readStream.schema(e.schema).parquet(f"{folder}/in"))
+
+    def emit(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/b={n}")
+
+    s.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).foreachBatch(emit).start().awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    last = out.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("v"))
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "v.n", F.round("v.total", 4).alias("total"))
+
+
+@query("SELECT user_id AS key, max_by(value, event_id) AS value, max(event_id) AS lsn FROM events GROUP BY user_id")
+def oplog_replay(spark, sf):
+    from palimpsest.storage import scratch_dir
+    from palimpsest.streaming.oplog import record_crc, replay
+
+    folder = scratch_dir(spark)
+    log = read(spark, sf, "events").select(F.col("event_id").alias("lsn"), F.lit(1).cast("bigint").alias("generation"), F.col("user_id").alias("key"), "value").withColumn("crc", record_crc())
+    log.write.json(f"{folder}/in")
+    return replay(spark, f"{folder}/in", f"{folder}/state", 1)
