@@ -14,12 +14,9 @@ from palimpsest.operators.chunking import chunks
 from palimpsest.operators.merge import merge_bytes
 from palimpsest.storage import saved
 
-ORDER = Window.partitionBy("object", "version").orderBy("seq")
-
-
 def placed(extents: DataFrame) -> DataFrame:
     """extents with start, the byte each begins at in its version."""
-    before = F.coalesce(F.sum("len").over(ORDER.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("len").over(Window.partitionBy("object", "version").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return extents.withColumn("start", before)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.dataset import Dataset
@@ -166,18 +166,21 @@ def head(spark, sf):
     return documents(spark, sf).head(5).select(F.col("ord").alias("doc_id"), F.col("raw").cast("string").alias("text"))
 
 
-RECORD = F.concat(F.lit('{"id": '), F.col("doc_id"), F.lit(', "text": '), F.to_json(F.struct("text")).substr(F.lit(9), F.length(F.to_json(F.struct("text"))) - 9), F.lit("}"))
+def record() -> Column:
+    """A document as a JSON record of id and text."""
+    return F.to_json(F.struct(F.col("doc_id").alias("id"), "text"))
+
 
 
 @query("SELECT doc_id, md5(text) AS content_md5 FROM documents")
 def content_of_json(spark, sf):
-    return docs(spark, sf).select("doc_id", F.md5(T.content(RECORD.cast("binary")).cast("binary")).alias("content_md5"))
+    return docs(spark, sf).select("doc_id", F.md5(T.content(record().cast("binary")).cast("binary")).alias("content_md5"))
 
 
 @query(r"""SELECT doc_id, md5(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n')) AS raw_md5 FROM documents WHERE NOT regexp_matches(text, '[\x00-\x09\x0B-\x1F/]')""")
 def content_still_escaped(spark, sf):
     d = docs(spark, sf).where(~F.col("text").rlike("[\\x00-\\x09\\x0B-\\x1F/]"))
-    return d.select("doc_id", F.md5(T.content_raw(RECORD.cast("binary")).cast("binary")).alias("raw_md5"))
+    return d.select("doc_id", F.md5(T.content_raw(record().cast("binary")).cast("binary")).alias("raw_md5"))
 
 
 @query("SELECT doc_id, (sum(strlen(text) + 1) OVER (ORDER BY doc_id) - strlen(text) - 1)::BIGINT AS byte_start FROM documents")
