@@ -12,8 +12,8 @@ probability RECALL. Pairs closer than the threshold collide more often.
 Windows are an equi-join on (group, cell, slot), slots being as wide as the window, so Spark sorts, spills and splits
 them; no group is gathered in one task. Equal vectors are one node.
 
-Cases: a null, empty or zero vector, or one with a null, NaN or infinite component, or of another length than the
-first usable one's, links with nothing; repeated rows link as equal vectors; the smallest id of a component is kept,
+Cases: a null, empty or zero vector, or one with a null, NaN or infinite component, or of another length than
+most (ties: the longer), links with nothing; repeated rows link as equal vectors; the smallest id of a component is kept,
 ties of id all; null ids are ordered first; an empty table gives no rows; other columns are ignored.
 """
 
@@ -101,8 +101,8 @@ def near_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     vec = table[vector_col]
     rows = table.select(table[id_col].alias("id"), F.when(usable(vec), vec.cast("array<double>")).alias("v")).mapInArrow(normalise, f"id {kind}, unit binary")
     rows = saved(rows, "units")
-    first = rows.where("unit is not null").select(F.octet_length("unit").alias("n")).agg(F.min("n")).first()[0]
-    dim = (first or 8) // 8
+    sizes = rows.where("unit is not null").groupBy(F.octet_length("unit").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    dim = (sizes["n"] if sizes else 8) // 8
     rows = rows.withColumn("unit", F.when(F.octet_length("unit") == dim * 8, F.col("unit")))
     # Nodes by content; the hash is checked, and a collision would only need another salt.
     salt = 0
