@@ -5,18 +5,20 @@ differ in at most H = (1 - t) / (1 + t) * (x + y) shingles. For each band of x +
 segments, so a linked pair agrees on one of the first H + 1 segments that either side indexes. The index holds one
 signature per segment, and segments are allocated by cost:
 
-* a segment of frequent shingles only (a bounded list, found in the first pass) would match many unrelated documents
-  and is skipped, as are empty ones; a set with H + 1 other segments loses nothing by it;
-* sets left with fewer enter a second index of the same segments with their one-deletion neighbourhoods, where a
-  segment counts two (one, if it has one infrequent shingle only);
-* sets that still lack credit enter indexes without skipping, of growing M, the last with one segment per shingle.
+* segments are ordered by their infrequent shingles, most first (a bounded list of frequent ones is made in the first
+  pass), and a set indexes its first H + 1; the order depends on the segment's content alone, so of a pair's equal
+  segments the first lies within both prefixes, and segments that match many unrelated sets come last;
+* empty segments are never indexed; sets left with fewer than H + 1 enter a second index of the same segments with
+  their one-deletion neighbourhoods, where a segment counts two (one, if it holds one shingle only);
+* sets that still lack credit enter indexes of growing M, the last with one segment per shingle.
 
 A pair is guaranteed where one side has the credit; where both lack it, both enter the next index. So nothing is lost.
 Signatures travel as packed bytes of signature, predecessor and set; a pair matching on a run of consecutive segments
 is emitted only at the run's start. Identical sets are one node, and copies never meet in pairs. Candidates are
-verified by intersecting the whole sets, which are shipped once per bucket of a shared minimum hash.
+filtered by parity bitmaps (one or two bits a shingle; the number of unequal bits never exceeds that of differing shingles)
+and verified by intersecting the whole sets, which are shipped once per bucket of a shared minimum hash.
 
-Exact up to collisions of 64-bit shingle hashes; nodes that collide on their id are found and the seed is changed.
+Exact up to collisions of 64-bit shingle hashes, and of a 32-bit predecessor once in 2^32 pairs; nodes that collide on their id are found and the seed is changed.
 
 Cases: null, empty and blank texts have no shingles, n_similar 0 and are their own component; repeated rows count as
 other documents; null ids group as copies but never become a component id unless alone; an empty table gives no rows;
@@ -33,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import binary_column, components, saved, shuffle_partitions
+from palimpsest.llm.common import binary_column, components, release, saved, shuffle_partitions
 from palimpsest.llm.hashing import U, mix, shingle_set
 
 #: Frequent shingles: at least so many distinct sets of one task's pool, summed; and at most so many shingles, broadcast as 8 bytes each.
-HOT_COUNT, HOT_MOST, HOT_POOL, HOT_LOCAL = 100, 100_000, 1_000_000, 5
-BAND, FIRST_BAND, SPARE = 1.6, 8, 1.25
-RECORD, FLUSH, PART_BYTES, SET_BYTES = 18, 400_000, 16 << 20, 8 << 20
+HOT_COUNT, HOT_MOST, HOT_POOL, HOT_LOCAL = 20, 300_000, 3_000_000, 4
+BAND, FIRST_BAND, SPARE = 1.6, 8, 1.4
+#: Bytes of a packed record: signature 6, predecessor 4, node 5.
+RECORD, FLUSH, PART_BYTES, SET_BYTES = 15, 400_000, 32 << 20, 8 << 20
 #: Rows up to which a list of ids is broadcast (8 bytes each); a longer one is joined by shuffle.
 BROADCAST_IDS = 500_000
 LAST_CHANNEL = 4
@@ -99,19 +102,18 @@ def signatures(h: np.ndarray, cold: np.ndarray, t: Threshold) -> Iterator[tuple[
         m = max(1, int(SPARE * (t.differing(top) + 1)) + 1)
         low, seed = segments(k, 0, m)
         at = np.append(np.searchsorted(h, low), n)
-        sums, n_cold = total[at[1:]] - total[at[:-1]], colds[at[1:]] - colds[at[:-1]]
-        used = np.flatnonzero(n_cold)
-        yield chain(mix(sums[used[:need]] + seed[used[:need]]))
+        sums, size, n_cold = total[at[1:]] - total[at[:-1]], at[1:] - at[:-1], colds[at[1:]] - colds[at[:-1]]
+        used = np.flatnonzero(size)
+        best = used[np.argsort(-n_cold[used], kind="stable")[:need]]
+        yield chain(mix(sums[best] + seed[best]))
         if len(used) >= need:
             continue
         _, seed = segments(k, 1, m)
         exact = mix(sums[used] + seed[used])
         of = np.searchsorted(at, np.arange(n), side="right") - 1
-        inside = n_cold[of] > 0
-        less = mix(sums[of[inside]] - own[inside] + seed[of[inside]])
-        both = np.concatenate([exact, less])
+        both = np.concatenate([exact, mix(sums[of] - own + seed[of])])
         yield both, np.zeros(len(both), U)
-        if len(used) + int((n_cold > 1).sum()) >= need:
+        if len(used) + int((size > 1).sum()) >= need:
             continue
         for channel in range(2, LAST_CHANNEL + 1):
             if channel == LAST_CHANNEL:
@@ -125,18 +127,41 @@ def signatures(h: np.ndarray, cold: np.ndarray, t: Threshold) -> Iterator[tuple[
                 break
 
 
+def parity(h: np.ndarray) -> bytes:
+    """A bit per bucket of the low hash bits, at least one bucket a shingle: whether an odd number fell into it."""
+    size = 1 << max(6, (len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & U(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def unequal(x: bytes, y: bytes) -> int:
+    """Unequal bits of two parity bitmaps, the longer one folded."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    size = 8 * min(len(x), len(y))
+    if len(x) != len(y):
+        long, short = (a, b) if len(x) > len(y) else (b, a)
+        width = 8 * max(len(x), len(y))
+        while width > size:
+            width //= 2
+            long = (long >> width) ^ (long & ((1 << width) - 1))
+        a, b = long, short
+    return (a ^ b).bit_count()
+
+
 def chain(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     prev = np.zeros(len(sig), U)
     prev[1:] = sig[:-1]
     return sig, prev
 
 
-def six(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+def low_bytes(x: np.ndarray, n: int) -> np.ndarray:
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :n]
+
+
+NAMES = ["kind", "id", "n", "node", "check", "least", "bits"]
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> DataFrame:
-    """kind 0: id, n, node, check, least (hash) per row; kind 1: shingles frequent in a task's pool with their counts."""
+    """kind 0: id, n, node, check, least (hash), bits per row; kind 1: shingles frequent in a task's pool with their counts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,15 +176,16 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int) ->
             pool.clear()
             seen.clear()
             none = pa.nulls(len(x), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.nulls(len(x), id_type), pa.array(c), pa.array(x.view(np.int64)), none, none], names=["kind", "id", "n", "node", "check", "least"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.nulls(len(x), id_type), pa.array(c), pa.array(x.view(np.int64)), none, none, pa.nulls(len(x), pa.binary())], names=NAMES)
 
         for b in batches:
             id_type = b.column(0).type
-            rows = []
+            rows, bits = [], []
             for text in binary_column(b, "__text"):
                 h = shingle_set(text, k)
                 node, check = set_ids(h, seed)
                 rows.append((len(h), node, check, int(h[0] >> U(1)) if len(h) else 0))
+                bits.append(parity(h))
                 if len(h) and node not in seen:
                     seen.add(node)
                     pool.append(h)
@@ -168,12 +194,12 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int) ->
                         yield frequent()
                         held = 0
             cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), b.column(0), *cols], names=["kind", "id", "n", "node", "check", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), b.column(0), *cols, pa.array(bits, pa.binary())], names=NAMES)
         if pool:
             yield frequent()
 
     cols = docs.select(docs[id_col].alias("id"), docs[text_col].alias("__text"))
-    return cols.mapInArrow(run, f"kind int, id {kind}, n bigint, node bigint, check bigint, least bigint")
+    return cols.mapInArrow(run, f"kind int, id {kind}, n bigint, node bigint, check bigint, least bigint, bits binary")
 
 
 def index(docs: DataFrame, text_col: str, k: int, seed: int, t: Threshold, hot: np.ndarray, parts: int) -> DataFrame:
@@ -192,8 +218,8 @@ def index(docs: DataFrame, text_col: str, k: int, seed: int, t: Threshold, hot:
         def flush() -> pa.RecordBatch:
             sig = np.concatenate(sigs) >> U(16)
             data = np.empty((len(sig), RECORD), np.uint8)
-            data[:, :6], data[:, 6:12] = six(sig), six(np.concatenate(prevs) >> U(16))
-            data[:, 12:] = six(np.repeat(np.array(nodes, np.int64), counts).view(U) >> U(15))
+            data[:, :6], data[:, 6:10] = low_bytes(sig, 6), low_bytes(np.concatenate(prevs) >> U(32), 4)
+            data[:, 10:] = low_bytes(np.repeat(np.array(nodes, np.int64), counts).view(U) >> U(23), 5)
             part = (sig % U(parts)).astype(np.uint16 if parts < 65536 else np.uint32)
             order = np.argsort(part, kind="stable")
             data, part = data[order], part[order]
@@ -231,21 +257,21 @@ def index(docs: DataFrame, text_col: str, k: int, seed: int, t: Threshold, hot:
 
 
 def matches(table: pa.Table) -> pa.Table:
-    """Distinct candidate pairs (a < b, 48-bit node ids) of one part of the index."""
+    """Distinct candidate pairs (a < b, the upper 40 bits of nodes) of one part of the index."""
     data = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8).reshape(-1, RECORD)
 
-    def wide(at: int) -> np.ndarray:
+    def wide(at: int, n: int) -> np.ndarray:
         out = np.zeros((len(data), 8), np.uint8)
-        out[:, :6] = data[:, at : at + 6]
+        out[:, :n] = data[:, at : at + n]
         return out.view("<u8").ravel()
 
-    sig = wide(0)
+    sig = wide(0, 6)
     order = np.argsort(sig, kind="stable")
     s = sig[order]
     again = np.concatenate([[False], s[1:] == s[:-1]])
     rows = order[again | np.concatenate([again[1:], [False]])]
     data = data[rows]
-    sig, prev, node = wide(0), wide(6), wide(12)
+    sig, prev, node = wide(0, 6), wide(6, 4), wide(10, 5)
     order = np.lexsort((node, sig))
     sig, prev, node = sig[order], prev[order], node[order]
     fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]) if len(sig) else np.zeros(0, bool)
@@ -263,6 +289,17 @@ def matches(table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
 
 
+def filtered(t: Threshold):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = lambda name: b.column(b.schema.get_field_index(name)).to_pylist()  # noqa: B023, E731
+            rows = zip(col("a_node"), col("b_node"), col("a_n"), col("b_n"), col("a_least"), col("b_least"), col("a_bits"), col("b_bits"))
+            kept = [(a, c, min(la, lc)) for a, c, na, nc, la, lc, x, y in rows if unequal(x, y) <= t.differing(na + nc)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], pa.int64()) for i in range(3)], names=["a", "b", "least"])
+
+    return run
+
+
 def verify(t: Threshold):
     def run(table: pa.Table) -> pa.Table:
         sets: dict[int, np.ndarray] = {}
@@ -302,8 +339,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     spark, t, seed = docs.sparkSession, Threshold(num, den), 0
     while True:
         both = saved(describe(docs, id_col, text_col, k, seed), "sets")
-        rows = both.where("kind = 0").select("id", "n", "node", "check", "least")
-        nodes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("least").alias("least"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n0")).checkpoint()
+        rows = both.where("kind = 0")
+        nodes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("least").alias("least"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n0"), F.any_value("bits").alias("bits"))
+        nodes = saved(nodes, "nodes")
         if nodes.where("c0 <> c1 or n <> n0").isEmpty():
             break
         seed += 1
@@ -312,17 +350,25 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     mass = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle_partitions(spark), mass * RECORD // PART_BYTES)
     records = index(docs, text_col, k, seed, t, hot, parts)
-    pairs = records.groupBy("part").applyInArrow(matches, "a bigint, b bigint").distinct()
-    short = nodes.select(F.shiftright("node", 15).alias("short"), "node", "n", "least")
-    ends = [short.select(F.col("short").alias(x), F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"), F.col("least").alias(f"{x}_least")) for x in "ab"]
-    pairs = pairs.join(ends[0], "a").join(ends[1], "b").where("a_node <> b_node")
-    near = (F.greatest("a_n", "b_n") * num <= F.least("a_n", "b_n") * den)
+    pairs = saved(records.groupBy("part").applyInArrow(matches, "a bigint, b bigint"), "matches")
+    del records
+    release(spark)
+    pairs = pairs.distinct()
+    short = nodes.select(F.shiftright("node", 23).alias("short"), "node", "n", "least", "bits")
+    ends = [short.select(F.col("short").alias(x), F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"), F.col("least").alias(f"{x}_least"), F.col("bits").alias(f"{x}_bits")) for x in "ab"]
+    sizes = [e.drop(f"{x}_bits", f"{x}_least") for e, x in zip(ends, "ab")]
+    near = F.greatest("a_n", "b_n") * num <= F.least("a_n", "b_n") * den
+    pairs = pairs.join(sizes[0], "a").join(sizes[1], "b").where((F.col("a_node") != F.col("b_node")) & near).select("a_node", "b_node")
+    pairs = saved(pairs, "met")
+    release(spark)
+    pairs = pairs.join(ends[0].drop("a"), "a_node").join(ends[1].drop("b"), "b_node").mapInArrow(filtered(t), "a bigint, b bigint, least bigint")
     buckets = max(shuffle_partitions(spark), mass * 8 // SET_BYTES)
-    pairs = saved(pairs.where(near).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.pmod(F.xxhash64(F.least("a_least", "b_least")), F.lit(buckets)).cast("int").alias("bucket")), "candidates")
+    pairs = saved(pairs.select("a", "b", F.pmod(F.xxhash64("least"), F.lit(buckets)).cast("int").alias("bucket")), "candidates")
     placed = pairs.select("bucket", F.col("a").alias("node")).unionByName(pairs.select("bucket", F.col("b").alias("node"))).distinct()
     wanted = placed.select("node").distinct().join(nodes, "node").select("id", "node")
-    sets = shingle_sets(docs, id_col, text_col, k, seed, wanted).dropDuplicates(["node"])
-    shipped = placed.join(sets, "node").select("bucket", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "data")
+    sets = shingle_sets(docs, id_col, text_col, k, seed, wanted)
+    placed = placed.checkpoint()
+    shipped = sets.join(F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed, "node").select("bucket", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "data")
     work = shipped.unionByName(pairs.select("bucket", "a", "b", F.lit(None).cast("binary").alias("data")))
     edges = saved(work.groupBy("bucket").applyInArrow(verify(t), "a bigint, b bigint"), "links")
     return rows.select("id", "n", "node"), edges
