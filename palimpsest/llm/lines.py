@@ -15,32 +15,50 @@ no rows; whole texts are read, whatever their length; other columns are kept by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import located, saved
+from palimpsest.llm.common import binary_column, located, saved
 
 WIDTH, MIN_WORDS, SOLO_WORDS = 2, 10, 40
-BLANK = " \t\x0b\f\r"
 
 
-def words(text: Column) -> Column:
-    t = F.btrim(text, F.lit(BLANK + "\n"))
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, r"[\x20\x09-\x0D]+", -1)))
+def line_windows(text: bytes, width: int, min_words: int, solo_words: int) -> Iterator[tuple[list[int], int, bytes]]:
+    """(line numbers, fingerprint, hash of the whole lines) of each window of a text."""
+    lines = [(n, x, len(x.split())) for n, x in enumerate(text.split(b"\n"))]
+    full = [(n, x, k, xxhash.xxh64_intdigest(x) >> 1) for n, x, k in lines if k]
+    for i, (n, x, k, h) in enumerate(full):
+        if k >= solo_words:
+            yield [n], h, hashlib.md5(x).digest()
+        own = full[i : i + width]
+        if width > 1 and len(own) == width and sum(r[2] for r in own) >= min_words:
+            yield [r[0] for r in own], min(r[3] for r in own), hashlib.md5(b"\n".join([r[1] for r in own])).digest()
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str, width: int, min_words: int, solo_words: int) -> DataFrame:
-    """One row per fingerprint of a document (which carries __loc): fp, file, row, id and its windows (key, lines)."""
-    base = docs.select(docs["__loc.file"].alias("file"), docs["__loc.row"].alias("row"), docs[id_col].alias("id"), F.split(docs[text_col], "\n", -1).alias("lines")).where("lines is not null")
-    base = base.withColumn("full", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda p: F.btrim(F.get("lines", p), F.lit(BLANK)) != ""))
-    runs = F.when(F.size("full") >= width, F.transform(F.sequence(F.lit(1), F.size("full") - width + 1), lambda i: F.slice("full", i, width)))
-    solo = F.transform("full", lambda p: F.array(p))
-    base = base.withColumn("runs", F.concat(F.coalesce(runs, F.expr("cast(array() as array<array<int>>)")), solo)).where(F.size("full") > 0)
-    each = base.select("file", "row", "id", "lines", F.explode("runs").alias("at"))
-    text = F.array_join(F.transform("at", lambda p: F.get("lines", p)), "\n")
-    each = each.select("file", "row", "id", "at", text.alias("text"), F.array_min(F.transform("at", lambda p: F.xxhash64(F.get("lines", p)))).alias("fp"))
-    enough = words(F.col("text")) >= F.when(F.size("at") == 1, solo_words).otherwise(min_words)
-    return each.where(enough).select("fp", "file", "row", "id", "at", F.unhex(F.md5("text")).alias("key"))
+    """One row per window of docs (which carries __loc): file, row, id, at (line numbers), fp and key."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["file", "row", "id", "at", "fp", "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            index, found = [], []
+            for i, text in enumerate(binary_column(b, "__text")):
+                for w in line_windows(text, width, min_words, solo_words):
+                    index.append(i)
+                    found.append(w)
+            same = [b.column(c).take(pa.array(index, pa.int64())) for c in range(3)]
+            cols = list(zip(*found)) if found else [[], [], []]
+            kinds = [pa.list_(pa.int32()), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
+
+    base = docs.select(docs["__loc.file"].alias("file"), docs["__loc.row"].alias("row"), docs[id_col].alias("id"), docs[text_col].alias("__text"))
+    return base.mapInArrow(run, f"file string, row bigint, id {kind}, at array<int>, fp bigint, key binary")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, min_words: int = MIN_WORDS, solo_words: int = SOLO_WORDS) -> DataFrame:
@@ -57,18 +75,34 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = located(docs)
     gone = repeated_lines(docs, id_col, text_col, width, min_words, solo_words)
     gone = gone.select(F.struct("file", "row").alias("__loc"), F.col("gone").alias("__gone")).checkpoint()
-    out = docs.join(gone, "__loc", "left").withColumn("__gone", F.coalesce("__gone", F.expr("cast(array() as array<int>)")))
-    lines = F.split(out[text_col], "\n", -1)
-    clean = F.array_join(F.filter(lines, lambda x, p: ~F.array_contains("__gone", p)), "\n")
-    lost = F.aggregate(F.transform("__gone", lambda p: words(F.get(lines, p))), F.lit(0), lambda a, b: a + b)
-    out = out.withColumn("__lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("__words", F.when(F.size("__gone") > 0, lost).otherwise(0))
-    out = out.withColumn("__lines", F.when(out[text_col].isNull(), 0).otherwise(F.col("__lines")))
-    return out.withColumn(text_col, F.when(F.size("__gone") > 0, clean).otherwise(out[text_col])).drop("__loc")
+    joined = docs.join(gone, "__loc", "left").drop("__loc").withColumnRenamed(text_col, "__text")
+    fields = [f for f in joined.schema if f.name not in ("__text", "__gone")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    names = [*[f.name for f in fields], text_col, "__lines", "__gone", "__words"]
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            null = b.column(b.schema.get_field_index("__text")).is_null().to_pylist()
+            out: list[list] = [[], [], [], []]
+            for empty, text, lost in zip(null, binary_column(b, "__text"), b.column(b.schema.get_field_index("__gone")).to_pylist()):
+                lost = lost or []
+                lines = [] if empty else text.split(b"\n")
+                if lost:
+                    drop = set(lost)
+                    text = b"\n".join([x for n, x in enumerate(lines) if n not in drop])
+                row = (None if empty else text.decode("utf-8", "replace"), len(lines), lost, sum(len(lines[n].split()) for n in lost))
+                for o, v in zip(out, row):
+                    o.append(v)
+            kinds = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32()]
+            same = [b.column(b.schema.get_field_index(f.name)) for f in fields]
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(o, k) for o, k in zip(out, kinds))], names=names)
+
+    return joined.mapInArrow(clean, f"{schema}, `{text_col}` string, __lines int, __gone array<int>, __words int")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return d.select("doc_id", F.col("__lines").cast("bigint").alias("n_lines"), F.size("__gone").cast("bigint").alias("n_removed"), F.col("__words").cast("bigint").alias("removed_words"), F.lower(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("clean_sha256"))
+    return d.select("doc_id", F.col("__lines").cast("bigint").alias("n_lines"), F.size("__gone").cast("bigint").alias("n_removed"), F.col("__words").cast("bigint").alias("removed_words"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
 
 
 _WORDS = r"len(regexp_extract_all({0}, '[^\x20\x09-\x0D]+'))"
