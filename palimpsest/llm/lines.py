@@ -11,12 +11,17 @@ that combines before it shuffles.
 Cases: null text has no lines and stays null; empty and blank lines are never windows and stay; of repeated rows all
 but the first (by id, then by place in the files) lose their repeated runs; null ids come first; an empty table gives
 no rows; whole texts are read, whatever their length; other columns are kept by dedup_lines.
+
+op1_line_dedup has the windows its SQL has, so runs of short lines and single lines of 10 to 39 words stay.
+op1_run_dedup deletes every maximal run of equal lines, of any number, that has `min_words` words in all: its windows are
+the shortest ones with `min_words` words from each line on and up to each line. Each line of such a run lies in one of
+them that is inside the run, and each repeated one is part of such a run, so their union is the matched runs in full.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -40,7 +45,32 @@ def line_windows(text: bytes, width: int, min_words: int, solo_words: int) -> It
             yield [r[0] for r in own], min(r[3] for r in own), hashlib.md5(b"\n".join([r[1] for r in own])).digest()
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, width: int, min_words: int, solo_words: int) -> DataFrame:
+def run_windows(text: bytes, min_words: int) -> Iterator[tuple[list[int], int, bytes]]:
+    """As line_windows, of the shortest windows with min_words words that start or end with each line."""
+    full = [(n, x, k, xxhash.xxh64_intdigest(x) >> 1) for n, x, k in ((n, x, len(x.split())) for n, x in enumerate(text.split(b"\n"))) if k]
+    spans, i, words = set(), 0, 0
+    for j, r in enumerate(full):  # the shortest that end at j; words are those of i to j
+        words += r[2]
+        while words - full[i][2] >= min_words:
+            words -= full[i][2]
+            i += 1
+        if words >= min_words:
+            spans.add((i, j))
+    j, words = -1, 0
+    for i, r in enumerate(full):  # the shortest that start at i
+        while words < min_words and j + 1 < len(full):
+            j += 1
+            words += full[j][2]
+        if words < min_words:
+            break
+        spans.add((i, j))
+        words -= r[2]
+    for i, j in sorted(spans):
+        own = full[i : j + 1]
+        yield [r[0] for r in own], min(r[3] for r in own), hashlib.md5(b"\n".join([r[1] for r in own])).digest()
+
+
+def windows(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[bytes], Iterator[tuple[list[int], int, bytes]]]) -> DataFrame:
     """One row per window of docs (which carries __loc): file, row, id, at (line numbers), fp and key."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["file", "row", "id", "at", "fp", "key"]
@@ -49,7 +79,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, width: int, min_words:
         for b in batches:
             index, found = [], []
             for i, text in enumerate(binary_column(b, "__text")):
-                for w in line_windows(text, width, min_words, solo_words):
+                for w in cut(text):
                     index.append(i)
                     found.append(w)
             same = [b.column(c).take(pa.array(index, pa.int64())) for c in range(3)]
@@ -61,9 +91,9 @@ def windows(docs: DataFrame, id_col: str, text_col: str, width: int, min_words:
     return base.mapInArrow(run, f"file string, row bigint, id {kind}, at array<int>, fp bigint, key binary")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, min_words: int = MIN_WORDS, solo_words: int = SOLO_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[bytes], Iterator[tuple[list[int], int, bytes]]]) -> DataFrame:
     """(file, row, gone): the 0-based numbers of the lines to delete, per document that has any."""
-    found = saved(windows(docs, id_col, text_col, width, min_words, solo_words), "windows")
+    found = saved(windows(docs, id_col, text_col, cut), "windows")
     place = F.struct("id", "file", "row", F.col("at")[0].alias("line"))
     first = found.groupBy("fp", "key").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("fp", "key", "first")
     again = found.join(first, ["fp", "key"]).where(place > F.col("first"))
@@ -72,8 +102,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, min_words: int = MIN_WORDS, solo_words: int = SOLO_WORDS) -> DataFrame:
     """docs with text_col cleaned, and __lines, __gone (line numbers) and __words (deleted words)."""
+    return without_repeats(docs, id_col, text_col, lambda text: line_windows(text, width, min_words, solo_words))
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """As dedup_lines, by whole repeated runs of lines with min_words words in all."""
+    return without_repeats(docs, id_col, text_col, lambda text: run_windows(text, min_words))
+
+
+def without_repeats(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[bytes], Iterator[tuple[list[int], int, bytes]]]) -> DataFrame:
     docs = located(docs)
-    gone = repeated_lines(docs, id_col, text_col, width, min_words, solo_words)
+    gone = repeated_lines(docs, id_col, text_col, cut)
     gone = gone.select(F.struct("file", "row").alias("__loc"), F.col("gone").alias("__gone")).checkpoint()
     joined = docs.join(gone, "__loc", "left").drop("__loc").withColumnRenamed(text_col, "__text")
     fields = [f for f in joined.schema if f.name not in ("__text", "__gone")]
@@ -101,7 +140,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return summary(dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+
+
+def op1_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(dedup_runs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+
+
+def summary(d: DataFrame) -> DataFrame:
     return d.select("doc_id", F.col("__lines").cast("bigint").alias("n_lines"), F.size("__gone").cast("bigint").alias("n_removed"), F.col("__words").cast("bigint").alias("removed_words"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
 
 

@@ -72,6 +72,34 @@ def test_line_dedup(docs):
     assert dedup_lines(empty).count() == 0
 
 
+def test_run_dedup(spark, docs):
+    """Against all pairs of places: short lines in long runs, single lines, extension both ways, self-overlap."""
+    from palimpsest.llm.lines import dedup_runs
+
+    r = np.random.default_rng(3)
+    pool = [" ".join(r.choice(["a", "b", "c"], int(n))) for n in (1, 1, 2, 3, 4, 4, 12, 30)] + ["", " "]
+    verse = "\n".join(f"v{i} b c d" for i in range(20))
+    texts = [verse, f"x\n{verse}\ny", "one two three\nfour five six\n" + "z " * 30 + "\ne", "q\none two three\nfour five six\n" + "z " * 30 + "\nf", "k l m n\n" * 9, None]
+    texts += ["\n".join(r.choice(pool, int(n))) for n in r.integers(1, 14, 60)] + [t for _, t, *_ in docs[0]]
+    full = [[(n, x, len(words(x))) for n, x in enumerate((t or "").split("\n")) if words(x)] for t in texts]
+    places = [(d, i) for d, lines in enumerate(full) for i in range(len(lines))]
+    at, gone = collections.defaultdict(list), collections.defaultdict(set)
+    for d, i in places:
+        line = full[d][i][1]
+        for e, j in at[line]:
+            if i and j and full[d][i - 1][1] == full[e][j - 1][1]:
+                continue  # not where the run starts
+            m = 0
+            while i + m < len(full[d]) and j + m < len(full[e]) and full[d][i + m][1] == full[e][j + m][1]:
+                m += 1
+            if sum(k for *_, k in full[d][i : i + m]) >= 10:
+                gone[d] |= {n for n, *_ in full[d][i : i + m]}
+        at[line].append((d, i))
+    got = {x["doc_id"]: set(x["__gone"]) for x in dedup_runs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {d: gone[d] for d in range(len(texts))}
+    assert len(gone[1]) == 20 and gone[3] == {1, 2, 3} and len(gone[4]) == 8
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_token_counts(docs, name):
     from palimpsest.llm.tokens import count_tokens, load
