@@ -419,40 +419,48 @@ CHUNKS = """SELECT doc_id, seq, sha256(encode(substr(text, seq * 256 + 1, 256)))
  FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 256 + 1)) AS seq FROM documents WHERE length(text) > 0 AND strlen(text) = length(text))"""
 
 
-def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    ascii_only = docs(spark, sf).where(F.octet_length("text") == F.length("text"))
-    return chunking.fixed_chunks(ascii_only, "doc_id", "text", 256)
+def chunked_docs(spark: SparkSession, sf: str, whole: bool) -> DataFrame:
+    """All documents, or those whose characters are bytes, as SQL's substr counts characters."""
+    d = docs(spark, sf)
+    return d if whole else d.where(F.octet_length("text") == F.length("text"))
+
+
+def text_chunks(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return chunking.fixed_chunks(chunked_docs(spark, sf, whole), "doc_id", "text", 256)
 
 
 @query(f"WITH c AS ({CHUNKS}), u AS (SELECT cid, count(*) AS n, min(nbytes) AS b FROM c GROUP BY cid) SELECT sum(n)::BIGINT AS seen, count(*) AS created, (sum(n) - count(*))::BIGINT AS deduped, sum(b)::BIGINT AS bytes_resident FROM u")
-def chunk_dedup(spark, sf):
-    return chunking.statistics(text_chunks(spark, sf))
+def chunk_dedup(spark, sf, whole=False):
+    return chunking.statistics(text_chunks(spark, sf, whole))
 
 
 @query(f"WITH c AS ({CHUNKS}) SELECT DISTINCT cid FROM c")
-def chunk_manifest(spark, sf):
-    return chunking.manifest(text_chunks(spark, sf))
+def chunk_manifest(spark, sf, whole=False):
+    return chunking.manifest(text_chunks(spark, sf, whole))
 
 
 @query(f"WITH c AS ({CHUNKS}) SELECT DISTINCT cid FROM c WHERE cid NOT IN (SELECT cid FROM c WHERE doc_id % 2 = 0)")
-def manifest_diff(spark, sf):
-    c = text_chunks(spark, sf)
+def manifest_diff(spark, sf, whole=False):
+    c = text_chunks(spark, sf, whole)
     return chunking.lacking(c, c.where("doc_id % 2 = 0"))
 
 
 @query(f"""WITH c AS ({CHUNKS}), m AS (SELECT cid, min(nbytes) AS b FROM c WHERE cid NOT IN (SELECT cid FROM c WHERE doc_id % 2 = 0) GROUP BY cid)
 SELECT count(*) AS chunks, coalesce(sum(b), 0)::BIGINT AS chunk_bytes, (SELECT count(*) * 16 FROM c) AS extent_bytes FROM m""")
-def sync_payload_size(spark, sf):
-    c = text_chunks(spark, sf)
+def sync_payload_size(spark, sf, whole=False):
+    c = text_chunks(spark, sf, whole)
     return chunking.payload_size(c, c.where("doc_id % 2 = 0"))
 
 
 @query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE strlen(text) = length(text)")
-def sync_apply(spark, sf):
-    c = text_chunks(spark, sf)
+def sync_apply(spark, sf, whole=False):
+    c = text_chunks(spark, sf, whole)
     have = c.where("doc_id % 2 = 0")
     missing, extents = chunking.payload(c, have)
-    return chunking.apply_payload(have, missing, extents, "doc_id").select("doc_id", F.md5("payload").alias("text_md5"))
+    rebuilt = chunking.apply_payload(have, missing, extents, "doc_id")
+    if whole:  # empty objects have no extents
+        rebuilt = docs(spark, sf).select("doc_id").join(rebuilt, "doc_id", "left").withColumn("payload", F.coalesce("payload", F.lit(bytearray())))
+    return rebuilt.select("doc_id", F.md5("payload").alias("text_md5"))
 
 
 @query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
@@ -463,47 +471,56 @@ def content_defined_chunks(spark, sf):
 
 
 @query("SELECT 0::BIGINT AS bad")
-def verify_chunks(spark, sf):
-    return chunking.verify(text_chunks(spark, sf))
+def verify_chunks(spark, sf, whole=False):
+    return chunking.verify(text_chunks(spark, sf, whole))
 
 
 @query(f"WITH c AS ({CHUNKS}) SELECT DISTINCT cid FROM c WHERE cid NOT IN (SELECT cid FROM c WHERE doc_id % 3 > 0)")
-def orphan_chunks(spark, sf):
-    c = text_chunks(spark, sf)
+def orphan_chunks(spark, sf, whole=False):
+    c = text_chunks(spark, sf, whole)
     return chunking.orphans(c, c.where("doc_id % 3 > 0"))
 
 
 @query(f"SELECT doc_id, seq, (sum(nbytes) OVER (PARTITION BY doc_id ORDER BY seq) - nbytes)::BIGINT AS start FROM ({CHUNKS})")
-def extent_offsets(spark, sf):
+def extent_offsets(spark, sf, whole=False):
     from palimpsest.objects import placed
 
-    c = text_chunks(spark, sf).select(F.col("doc_id").alias("object"), F.lit(0).alias("version"), "seq", F.col("nbytes").alias("len"))
+    c = text_chunks(spark, sf, whole).select(F.col("doc_id").alias("object"), F.lit(0).alias("version"), "seq", F.col("nbytes").alias("len"))
     return placed(c).select(F.col("object").alias("doc_id"), "seq", "start")
 
 
 @query("SELECT doc_id, substr(text, 1001, 500) AS part FROM documents WHERE strlen(text) = length(text) AND length(text) > 1000")
-def range_read(spark, sf):
+def range_read(spark, sf, whole=False):
     from palimpsest.objects import assemble, placed, window
 
-    c = text_chunks(spark, sf)
+    c = text_chunks(spark, sf, whole)
     e = placed(c.select(F.col("doc_id").alias("object"), F.lit(0).alias("version"), "seq", "cid", F.lit(0).cast("bigint").alias("off"), F.col("nbytes").alias("len")))
     store = c.select("cid", "payload").dropDuplicates(["cid"])
-    return assemble(window(e, 1000, 1500), store, "object").select(F.col("object").alias("doc_id"), F.col("payload").cast("string").alias("part"))
+    return assemble(window(e, 1000, 1500), store, "object").select(F.col("object").alias("doc_id"), (F.col("payload") if whole else F.col("payload").cast("string")).alias("part"))
 
 
 @query("SELECT doc_id, md5(substr(text, 1, 1500) || 'SPLICED' || substr(text, 1601)) AS text_md5 FROM documents WHERE strlen(text) = length(text) AND length(text) > 1600")
-def splice_update(spark, sf):
+def splice_update(spark, sf, whole=False):
     from palimpsest.objects import assemble, placed, splice
 
-    ascii_docs = docs(spark, sf).where((F.octet_length("text") == F.length("text")) & (F.length("text") > 1600))
-    c = chunking.fixed_chunks(ascii_docs, "doc_id", "text", 256).withColumnRenamed("doc_id", "object")
+    long_docs = chunked_docs(spark, sf, whole).where(F.octet_length("text") > 1600)
+    c = chunking.fixed_chunks(long_docs, "doc_id", "text", 256).withColumnRenamed("doc_id", "object")
     old = placed(c.select("object", F.lit(0).alias("version"), "seq", "cid", F.lit(0).cast("bigint").alias("off"), F.col("nbytes").alias("len")))
     new_text = F.lit("SPLICED").cast("binary")
-    new = ascii_docs.select(F.col("doc_id").alias("object"), F.lit(0).cast("bigint").alias("start"), F.sha2(new_text, 256).alias("cid"), F.lit(0).cast("bigint").alias("off"), F.lit(7).cast("bigint").alias("len"))
-    store = c.select("cid", "payload").unionByName(ascii_docs.limit(1).select(F.sha2(new_text, 256).alias("cid"), new_text.alias("payload"))).dropDuplicates(["cid"])
+    new = long_docs.select(F.col("doc_id").alias("object"), F.lit(0).cast("bigint").alias("start"), F.sha2(new_text, 256).alias("cid"), F.lit(0).cast("bigint").alias("off"), F.lit(7).cast("bigint").alias("len"))
+    store = c.select("cid", "payload").unionByName(long_docs.limit(1).select(F.sha2(new_text, 256).alias("cid"), new_text.alias("payload"))).dropDuplicates(["cid"])
     return assemble(placed(splice(old, 1500, 100, new, 1)), store, "object").select(F.col("object").alias("doc_id"), F.md5("payload").alias("text_md5"))
 
 
+def _whole(f: Callable[..., DataFrame]) -> None:
+    """Registers f over the bytes of all documents as <name>_all; SQL can't cut bytes, so it has none."""
+    QUERIES[f"{f.__name__}_all"] = lambda spark, sf: f(spark, sf, whole=True)
+
+
+for _f in (chunk_dedup, chunk_manifest, manifest_diff, sync_payload_size, sync_apply, verify_chunks, orphan_chunks, extent_offsets, range_read, splice_update):
+    _whole(_f)
+
+
 @query("SELECT key, CASE WHEN head = base THEN other WHEN other = base THEN head ELSE head END AS merged, CASE WHEN head = base AND other = base THEN 'unchanged' WHEN head = other THEN 'converged' WHEN head = base THEN 'other' WHEN other = base THEN 'head' ELSE 'conflict' END AS status FROM (SELECT o_orderkey AS key, o_totalprice AS base, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS head, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 WHEN o_orderkey % 7 = 0 THEN o_totalprice + 2 ELSE o_totalprice END AS other FROM orders)")
 def merge_rows(spark, sf):
     base = read(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("v"))
