@@ -403,9 +403,7 @@ def near_dedup_kept(spark, sf):
 
 @query()
 def near_dedup_lexical(spark, sf):
-    bench = read(spark, sf, "benchmark")
-    v = similarity.lexical_embedding(bench, "text", "vec")
-    return similarity.greedy_keep(similarity.cosine_pairs(v, "item_id", "vec", 0.5))
+    return similarity.lexical_keep(docs(spark, sf), "doc_id", "text", 0.8)
 
 
 @query("SELECT a.vec_id AS a, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
