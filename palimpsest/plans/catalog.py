@@ -183,6 +183,12 @@ def content_still_escaped(spark, sf):
     return d.select("doc_id", F.md5(T.content_raw(record().cast("binary")).cast("binary")).alias("raw_md5"))
 
 
+@query()
+def content_still_escaped_all(spark, sf):
+    """All documents; how a writer of JSON escapes '/', tabs and other control characters isn't SQL's to know."""
+    return docs(spark, sf).select("doc_id", F.md5(T.content_raw(record().cast("binary")).cast("binary")).alias("raw_md5"))
+
+
 @query("SELECT doc_id, (sum(strlen(text) + 1) OVER (ORDER BY doc_id) - strlen(text) - 1)::BIGINT AS byte_start FROM documents")
 def record_offsets(spark, sf):
     return documents(spark, sf).offsets().select(F.col("ord").alias("doc_id"), F.col("offset").alias("byte_start"))
@@ -603,6 +609,12 @@ def fnv1a(spark, sf):
     return T.fnv1a(b, "t").select("item_id", F.col("fnv").cast("string").alias("fnv"))
 
 
+@query()
+def fnv1a_all(spark, sf):
+    """Of whole texts; SQL's recursion takes one step a byte."""
+    return T.fnv1a(read(spark, sf, "benchmark").select("item_id", "text"), "text").select("item_id", F.col("fnv").cast("string").alias("fnv"))
+
+
 # nucleotide text, made from documents by keeping letters a, c, g, t
 DNA = "SELECT doc_id, upper(regexp_replace(text, '[^acgtACGT]', '', 'g')) AS seq FROM documents"
 
@@ -629,6 +641,17 @@ def dna_pack_round_trip(spark, sf):
     return s.select("doc_id", dna.unpack(F.col("token")).alias("bases"))
 
 
+@query()
+def dna_pack_round_trip_all(spark, sf):
+    """Whole sequences as tokens of 12 bases, the last one shorter."""
+    s = sequences(spark, sf)
+    starts = F.when(F.length("seq") > 0, F.sequence(F.lit(1), F.length("seq"), F.lit(dna.K)))
+    each = s.select("doc_id", "seq", F.posexplode(starts).alias("i", "at")).select("doc_id", "i", dna.pack(F.substr("seq", F.col("at"), F.lit(dna.K))).alias("token"))
+    part = each.select("doc_id", F.struct("i", dna.unpack(F.col("token")).alias("bases")).alias("p"))
+    whole = part.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["bases"]), "").alias("bases"))
+    return s.select("doc_id").join(whole, "doc_id", "left").withColumn("bases", F.coalesce("bases", F.lit("")))
+
+
 # spatial, with vectors' first three components as vertices
 def vertices(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), *[F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate("xyz")])
