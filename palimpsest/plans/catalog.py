@@ -635,6 +635,20 @@ def kmer_locate(spark, sf):
     return dna.locate(dna.kmers(s, "seq", "doc_id"), needles, s, "seq", "doc_id")
 
 
+@query()
+def kmer_locate_all(spark, sf):
+    """The first 14 bases of every 50th document, or all it has, in all sequences. Needles shorter than a k-mer are sought
+    through an index of their own length."""
+    s = sequences(spark, sf)
+    queries = s.where("doc_id % 50 = 0 and length(seq) > 0").select(F.col("doc_id").alias("query_id"), F.substr("seq", F.lit(1), F.lit(14)).alias("needle"))
+    needles = saved(queries.select("needle").distinct(), "needles")
+    short = [r[0] for r in needles.select(F.length("needle").alias("n")).where(f"n < {dna.K}").distinct().collect()]
+    found = dna.locate(dna.kmers(s, "seq", "doc_id"), needles, s, "seq", "doc_id")
+    for k in sorted(short):
+        found = found.unionByName(dna.locate(dna.kmers(s, "seq", "doc_id", k=k), needles.where(F.length("needle") == k), s, "seq", "doc_id", k))
+    return queries.join(found, "needle").select("query_id", "needle", "doc_id", "off")
+
+
 @query(f"SELECT doc_id, substr(seq, 1, 12) AS bases FROM ({DNA}) WHERE length(seq) >= 12")
 def dna_pack_round_trip(spark, sf):
     s = sequences(spark, sf).where("length(seq) >= 12").select("doc_id", dna.pack(F.substr("seq", F.lit(1), F.lit(12))).alias("token"))
