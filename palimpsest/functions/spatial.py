@@ -85,3 +85,8 @@ def gops(frames: DataFrame) -> DataFrame:
     w = Window.partitionBy("video").orderBy("idx")
     key = F.when(F.col("idr"), F.col("idx"))
     return frames.withColumn("gop", F.last(key, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next_gop", F.first(key, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+
+
+def instances(placed: DataFrame, assets: DataFrame, on: str, instance: str, asset: str) -> DataFrame:
+    """(instance, asset): the asset each placed instance refers to; instances without one are left out."""
+    return placed.select(instance, on).join(assets.select(on, asset), on).select(F.col(instance).alias("instance"), F.col(asset).alias("asset"))

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNIT = "[A-Za-z0-9_]+|[^A-Za-z0-9_]+"
+#: Up to four distinct characters.
+FEW = r"(?s)^(.)\1*+(?:(.)(?:\1|\2)*+(?:(.)(?:\1|\2|\3)*+(?:(.)(?:\1|\2|\3|\4)*+)?)?)?$"
+#: Distinct pairs a task counts before it passes them on.
+PAIRS_HELD = 500_000
 
 
 def display(raw: Column) -> Column:
@@ -16,10 +26,30 @@ def display(raw: Column) -> Column:
 
 
 def content(raw: Column, field: str = "text") -> Column:
-    """The field of a JSON record, if it is there and not null, else the whole line. Strings come as they are, numbers
-    and booleans as their JSON text."""
+    """The field of a JSON record, if it is there and not null, else the whole line. Strings come as they are, other
+    values as JSON text with sorted keys. Records whose field may be another value than a string are parsed in Python;
+    all others stay in the JVM."""
     text = display(raw)
-    return F.coalesce(F.get_json_object(F.when(F.trim(text).startswith("{"), text), f"$.{field}"), text)
+
+    @F.pandas_udf("string")
+    def parsed(s: pd.Series) -> pd.Series:
+        def value(line: str | None) -> str | None:
+            try:
+                v = json.loads(line)[field]
+            except (ValueError, TypeError, KeyError):
+                return line
+            return v if isinstance(v, str) else line if v is None else json.dumps(v, sort_keys=True)
+
+        return s.map(value)
+
+    found = F.get_json_object(F.when(F.trim(text).startswith("{"), text), f"$.{field}")
+    other = found.rlike(r"(?s)^(?:[\[{].*|true|false|-?[0-9][0-9.eE+-]*)$")
+    return F.when(F.coalesce(other, F.lit(False)), parsed(text)).otherwise(F.coalesce(found, text))
+
+
+def glued(parts: str, field: str) -> Column:
+    """The bytes of a field of an array of structs, joined in order."""
+    return F.unhex(F.array_join(F.transform(F.col(parts), lambda p: F.hex(p[field])), ""))
 
 
 def content_raw(raw: Column) -> Column:
@@ -65,10 +95,12 @@ def occurrences(text: Column, old: str) -> Column:
 def quality(df: DataFrame, raw: str) -> DataFrame:
     """n, min/max/mean byte length, empty, short (under 10) and repetitive (10 or more bytes, under 5 distinct) records."""
     size = F.octet_length(raw)
-    distinct = F.size(F.array_distinct(F.regexp_extract_all(F.hex(F.col(raw).cast("binary")), F.lit("(..)"), F.lit(1))))
+    few = lambda c: F.decode(c, "ISO-8859-1").rlike(FEW)
+    head = F.substr(F.col(raw).cast("binary"), F.lit(1), F.lit(64))
+    repetitive = F.when(few(head), few(F.col(raw).cast("binary"))).otherwise(F.lit(False))
     return df.agg(
         F.count("*").alias("n"), F.min(size).alias("min_bytes"), F.max(size).alias("max_bytes"), F.floor(F.sum(size) / F.count("*")).alias("mean_bytes"),
-        F.count_if(size == 0).alias("empty"), F.count_if((size > 0) & (size < 10)).alias("short"), F.count_if((size >= 10) & (distinct < 5)).alias("repetitive"),
+        F.count_if(size == 0).alias("empty"), F.count_if((size > 0) & (size < 10)).alias("short"), F.count_if((size >= 10) & repetitive).alias("repetitive"),
     )
 
 
@@ -78,10 +110,29 @@ def units(text: Column) -> Column:
 
 
 def pair_counts(df: DataFrame, text: str) -> DataFrame:
-    """Frequency of adjacent unit pairs (a, b, n), built inside each row, so no window is needed."""
-    u = units(F.col(text))
-    pairs = df.select(F.explode(F.arrays_zip(F.slice(u, 1, F.greatest(F.size(u) - 1, F.lit(0))).alias("a"), F.slice(u, 2, F.greatest(F.size(u) - 1, F.lit(0))).alias("b"))).alias("p"))
-    return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+    """Frequency of adjacent unit pairs (a, b, n) inside rows: each task cuts its texts once and adds pairs up before
+    they are shuffled. Null has none."""
+    cut = re.compile(UNIT).findall
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            a, b = zip(*counts) if counts else ((), ())
+            out = pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(counts.values(), pa.int64())], names=["a", "b", "n"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    u = cut(t)
+                    counts.update(zip(u, u[1:]))
+                    if len(counts) > PAIRS_HELD:
+                        yield flush()
+        yield flush()
+
+    return df.select(F.col(text).cast("string")).mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def fnv1a(df: DataFrame, raw: str, out: str = "fnv") -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import UNIT, pair_counts, units
+from palimpsest.functions.text import UNIT, glued, pair_counts, units
 
 ESCAPE = 0xFFFFFF00
 MOST_UNITS, MOST_BYTES = 12, 64
@@ -74,5 +74,13 @@ def detokenize(df: DataFrame, key: str, tokens: str, dictionary: DataFrame) -> D
     words = each.join(dictionary.select(F.col("id").alias("__id"), F.col("text").cast("binary").alias("__w")), "__id", "left")
     escaped = F.unhex(F.lpad(F.hex(F.col("__id").bitwiseAND(255)), 2, "0"))
     part = words.select(key, F.struct("__i", F.coalesce(F.when(F.col("__id") < ESCAPE, F.col("__w")), escaped).alias("w")).alias("p"))
-    joined = part.groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("p")).select(key, F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.w))").alias("text"))
+    joined = part.groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("p")).select(key, glued("p", "w").alias("text"))
     return df.select(key).join(joined, key, "left").withColumn("text", F.coalesce("text", F.lit(bytearray())))
+
+
+def absent(words: DataFrame, key: str, text: str, df: DataFrame, other: str) -> DataFrame:
+    """(key, absent): how many distinct words of each text occur in no text of df; keys without such a word are left out."""
+    cut = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    each = words.select(key, F.explode(cut(text)).alias("__w"))
+    have = df.select(F.explode(cut(other)).alias("__w")).distinct()
+    return each.join(have, "__w", "left_anti").groupBy(key).agg(F.count("*").alias("absent"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from palimpsest.functions.text import glued
 from palimpsest.operators.chunking import chunks
 from palimpsest.operators.merge import merge_bytes
 from palimpsest.storage import saved
@@ -43,7 +44,7 @@ def assemble(extents: DataFrame, store: DataFrame, *by: str) -> DataFrame:
     """(by..., payload): the bytes of extents in order of start."""
     part = F.substr("payload", F.col("off").cast("int") + 1, F.col("len").cast("int"))
     rows = extents.join(store.select("cid", "payload"), "cid").select(*by, "start", part.alias("part"))
-    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "part"))).alias("p")).select(*by, F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.part))").alias("payload"))
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "part"))).alias("p")).select(*by, glued("p", "part").alias("payload"))
 
 
 class ByteStore:

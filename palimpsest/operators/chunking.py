@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import glued
+
 
 def _gear() -> np.ndarray:
     """256 mixing words from the SplitMix64 generator."""
@@ -26,23 +28,33 @@ GEAR = _gear()
 
 
 def cuts(data: bytes, average: int = 4096) -> list[int]:
-    """Ends of content-defined chunks. The rolling sum of gear words, each byte shifting it left once, is computed for
-    all positions at once: only its low bits matter, so it depends on the last few bytes alone."""
+    """Ends of content-defined chunks: after the least size a rolling sum of gear words starts at 0, each byte shifting it
+    left once, and the chunk ends where its low bits are 0. Only the last few bytes matter to those bits, so the sums of
+    whole windows are computed for all positions at once, and the few after a start one by one."""
     average = max(average, 64)
     bits = max(1, (average - 1).bit_length())
-    low, high, mask = average // 4, average * 4, np.uint64((1 << bits) - 1)
+    low, high, mask = average // 4, average * 4, (1 << bits) - 1
     if not data:
         return []
-    g = GEAR[np.frombuffer(data, np.uint8)]
+    g = GEAR[np.frombuffer(data, np.uint8)] & np.uint64(mask)
     h = np.zeros(len(g), np.uint64)
     for k in range(min(bits, len(g))):
         h[k:] += g[: len(g) - k] << np.uint64(k)
-    hits = np.flatnonzero((h & mask) == 0)
+    hits = np.flatnonzero((h & np.uint64(mask)) == 0)
     out, at = [], 0
     while at < len(data):
-        # A chunk's hash starts anew, so hits count only where the window lies in the chunk.
-        i = int(np.searchsorted(hits, at + max(low, bits) - 1))
-        end = min(int(hits[i]) + 1 if i < len(hits) else len(data), at + high, len(data))
+        first, limit = at + low, min(at + high, len(data))
+        end = limit if first < len(data) else len(data)
+        total, whole = 0, min(first + bits - 1, limit)
+        for i in range(first, whole):
+            total = (2 * total + int(g[i])) & mask
+            if not total:
+                end = i + 1
+                break
+        else:
+            i = int(np.searchsorted(hits, whole))
+            if first < len(data) and i < len(hits) and hits[i] < limit:
+                end = int(hits[i]) + 1
         out.append(end)
         at = end
     return out
@@ -108,7 +120,7 @@ def apply_payload(store: DataFrame, missing: DataFrame, extents: DataFrame, name
     """Objects rebuilt from the receiver's chunks and the payload."""
     known = store.select("cid", "payload").unionByName(missing.select("cid", "payload")).dropDuplicates(["cid"])
     parts = extents.join(known, "cid").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("p"))
-    return parts.select(name, F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.payload))").alias("payload"))
+    return parts.select(name, glued("p", "payload").alias("payload"))
 
 
 def verify(ch: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.dataset import Dataset
-from palimpsest.functions import dna, spatial
+from palimpsest.functions import dna, spatial, tokens
 from palimpsest.functions import text as T
 from palimpsest.operators import aggregates, chunking, merge, similarity, sketch
 from palimpsest.operators.ordering import global_rank
@@ -63,24 +63,30 @@ def dedup_removed_version(spark, sf):
 
 @query("SELECT doc_id FROM documents WHERE strlen(text) BETWEEN 200 AND 4000")
 def filter_length(spark, sf):
-    return docs(spark, sf).where(F.octet_length("text").between(200, 4000)).select("doc_id")
+    d = documents(spark, sf)
+    d.filter_length(200, 4000)
+    return d.at().select(F.col("ord").alias("doc_id"))
 
 
 @query("SELECT doc_id FROM documents WHERE strlen(text) >= 500")
 def filter_length_zero_unbounded(spark, sf):
-    low, high = 500, 0
-    size = F.octet_length("text")
-    return docs(spark, sf).where((size >= low) & ((size <= high) if high else F.lit(True))).select("doc_id")
+    d = documents(spark, sf)
+    d.filter_length_or_all(500, 0)
+    return d.at().select(F.col("ord").alias("doc_id"))
 
 
 @query("SELECT doc_id FROM documents WHERE NOT contains(text, 'the')")
 def drop_containing(spark, sf):
-    return docs(spark, sf).where(~F.contains(F.col("text").cast("binary"), F.lit(bytearray(b"the")))).select("doc_id")
+    d = documents(spark, sf)
+    d.drop_containing("the")
+    return d.at().select(F.col("ord").alias("doc_id"))
 
 
 @query("SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars > 300")
 def filter_pred(spark, sf):
-    return docs(spark, sf).where("lang = 'en' and n_chars > 300").select("doc_id")
+    d = Dataset.from_table(docs(spark, sf), "doc_id", F.to_json(F.struct("lang", "n_chars")))
+    d.filter((T.content(F.col("raw"), "lang") == "en") & (T.content(F.col("raw"), "n_chars").try_cast("bigint") > 300))
+    return d.at().select(F.col("ord").alias("doc_id"))
 
 
 @query("""SELECT doc_id, regexp_matches(text, '[0-9]{9,}') OR (regexp_matches(text, '(?s)^.+@.+$') AND strpos(substr(text, strpos(text, '@')), '.') > 0) AS pii FROM documents""")
@@ -177,15 +183,8 @@ def content_of_json(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(T.content(record().cast("binary")).cast("binary")).alias("content_md5"))
 
 
-@query(r"""SELECT doc_id, md5(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n')) AS raw_md5 FROM documents WHERE NOT regexp_matches(text, '[\x00-\x09\x0B-\x1F/]')""")
+@query("SELECT doc_id, md5(substr(j, 2, length(j) - 2)) AS raw_md5 FROM (SELECT doc_id, to_json(text)::VARCHAR AS j FROM documents)")
 def content_still_escaped(spark, sf):
-    d = docs(spark, sf).where(~F.col("text").rlike("[\\x00-\\x09\\x0B-\\x1F/]"))
-    return d.select("doc_id", F.md5(T.content_raw(record().cast("binary")).cast("binary")).alias("raw_md5"))
-
-
-@query()
-def content_still_escaped_all(spark, sf):
-    """All documents; how a writer of JSON escapes '/', tabs and other control characters isn't SQL's to know."""
     return docs(spark, sf).select("doc_id", F.md5(T.content_raw(record().cast("binary")).cast("binary")).alias("raw_md5"))
 
 
@@ -202,12 +201,24 @@ def dataset_diff(spark, sf):
     return d.diff(0, -1)
 
 
-@query(f"SELECT max(removed_v) AS version FROM ({REMOVED})")
+@query(f"SELECT doc_id, removed_v AS version FROM ({REMOVED})")
 def touched_versions(spark, sf):
     d = documents(spark, sf)
     d.dedup()
-    first = d.removals.agg(F.min("ord")).first()[0]
-    return d.touched_versions(first).where("version > 0")
+    return d.touched().select(F.col("ord").alias("doc_id"), "version")
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n, sum(strlen(text) + 1)::BIGINT AS b FROM documents), r AS ({REMOVED}), k AS (SELECT count(*) AS k FROM r),
+ d AS (SELECT removed_v, strlen(text) + 1 AS b FROM r JOIN documents USING (doc_id)), a AS (SELECT unnest(range(0, k + 1)) AS version FROM k),
+ first AS (SELECT a.version, n.n - count(removed_v) AS records, (any_value(n.b) - coalesce(sum(d.b), 0))::BIGINT AS bytes FROM a CROSS JOIN n LEFT JOIN d ON d.removed_v <= a.version GROUP BY a.version, n.n)
+SELECT * FROM first UNION ALL SELECT k + 1, n, b FROM k, n UNION ALL SELECT k + 1 + version, records, bytes FROM first, k WHERE version > 0""")
+def versions_after_rollback(spark, sf):
+    """Deduplication, back to the start, and deduplication again."""
+    d = documents(spark, sf)
+    d.dedup()
+    d.rollback(0)
+    d.dedup()
+    return d.versions_frame()
 
 
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY role, text ORDER BY conv_id, turn) AS k FROM conversations) WHERE k = 1")
@@ -344,9 +355,11 @@ def distinct_exact(spark, sf):
     return spark.createDataFrame([(t.distinct_exact("user_id"),)], "n bigint")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (props IS NULL) AS nulls FROM events")
+@query("SELECT count(*) AS n, count(*) FILTER (user_id IS NULL) AS nulls, count(DISTINCT user_id) + max((user_id IS NULL)::INT) AS exact, TRUE AS near FROM events")
 def column_sketch_counts(spark, sf):
-    return read(spark, sf, "events").agg(F.count("*").alias("n"), F.count_if(F.col("props").isNull()).alias("nulls"))
+    t = events(spark, sf)
+    r = t.column_report("user_id").crossJoin(spark.createDataFrame([(t.distinct_exact("user_id"),)], "exact bigint"))
+    return r.select("n", "nulls", "exact", (F.abs(F.col("estimate") / F.col("exact") - 1) <= 0.13).alias("near"))
 
 
 @query("SELECT event_id, value * 2 + 1 AS value FROM events")
@@ -365,9 +378,13 @@ def set_column(spark, sf):
 
 @query("SELECT event_id, event_type FROM events WHERE event_type <> 'purchase'")
 def parquet_export(spark, sf):
+    from palimpsest.storage import scratch_dir
+
     t = events(spark, sf)
     t.drop_class("event_type", "purchase")
-    return saved(t.rows(columns=["event_id", "event_type"]).drop("row_id"), "export")
+    folder = scratch_dir(spark)
+    t.to_parquet(folder)
+    return spark.read.parquet(folder).select("event_id", "event_type")
 
 
 @query("SELECT event_id, event_type FROM events")
@@ -378,17 +395,25 @@ def table_time_travel(spark, sf):
     return t.rows(0, ["event_id", "event_type"]).drop("row_id")
 
 
-# sketches
-@query()
+# sketches: four standard errors of 1,024 registers are 13 %
+@query("SELECT event_type, count(DISTINCT user_id) + max((user_id IS NULL)::INT) AS exact, TRUE AS near FROM events GROUP BY event_type")
 def hll_estimate(spark, sf):
-    return sketch.estimate(sketch.registers(read(spark, sf, "events"), "user_id", "event_type"), "event_type")
+    e = read(spark, sf, "events")
+    got = sketch.estimate(sketch.registers(e, "user_id", "event_type"), "event_type")
+    exact = e.groupBy("event_type").agg((F.count_distinct("user_id") + F.max(F.col("user_id").isNull().cast("int"))).alias("exact"))
+    return got.join(exact, "event_type").select("event_type", "exact", (F.abs(F.col("estimate") / F.col("exact") - 1) <= 0.13).alias("near"))
 
 
-@query()
+@query("SELECT 0::BIGINT AS differing, count(DISTINCT user_id) AS exact, TRUE AS near FROM (SELECT CASE WHEN event_id % 100 > 0 THEN user_id END AS user_id FROM events)")
 def hll_merge(spark, sf):
-    e = read(spark, sf, "events")
-    parts = [sketch.registers(e.where(f"event_id % 2 = {k}"), "user_id") for k in (0, 1)]
-    return sketch.estimate(sketch.merge(*parts))
+    """Sketches of two halves, one with nulls, unite to that of the whole, register by register, through their text form."""
+    e = read(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 100 > 0, F.col("user_id")).alias("user_id"))
+    parts = [sketch.registers(e.where(f"event_id % 2 = {k}"), "user_id").select(F.lit(1).alias("s"), "reg", "rank") for k in (0, 1)]
+    merged = saved(sketch.loads(sketch.dumps(sketch.merge(*parts), "s"), "s"), "merged")
+    whole = sketch.registers(e, "user_id").select(F.lit(1).alias("s"), "reg", "rank")
+    differing = merged.join(whole, ["s", "reg"], "full").where(~merged["rank"].eqNullSafe(whole["rank"])).agg(F.count("*").alias("differing"))
+    got = sketch.estimate(merged.select("reg", "rank")).crossJoin(differing).crossJoin(e.agg(F.count_distinct("user_id").alias("exact")))
+    return got.select("differing", "exact", (F.abs(F.col("estimate") / F.col("exact") - 1) <= 0.13).alias("near"))
 
 
 # similarity
@@ -418,52 +443,46 @@ def pair_similarity(spark, sf):
     return e.alias("a").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select(F.col("vec_id").alias("a"), F.round(similarity.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
 
 
-# chunks, manifests, sync
-CHUNKS = """SELECT doc_id, seq, sha256(encode(substr(text, seq * 256 + 1, 256))) AS cid, strlen(substr(text, seq * 256 + 1, 256)) AS nbytes
- FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 256 + 1)) AS seq FROM documents WHERE length(text) > 0 AND strlen(text) = length(text))"""
-
-
-def chunked_docs(spark: SparkSession, sf: str, whole: bool) -> DataFrame:
-    """All documents, or those whose characters are bytes, as SQL's substr counts characters."""
-    d = docs(spark, sf)
-    return d if whole else d.where(F.octet_length("text") == F.length("text"))
+# chunks, manifests, sync: bytes of all documents, which SQL cuts as hexadecimal digits
+HEX = "SELECT doc_id, hex(encode(text)) AS h FROM documents"
+CHUNKS = f"""SELECT doc_id, seq, sha256(unhex(part)) AS cid, length(part) // 2 AS nbytes
+ FROM (SELECT doc_id, seq, substr(h, seq * 512 + 1, 512) AS part FROM (SELECT doc_id, h, unnest(range(0, (length(h) - 1) // 512 + 1)) AS seq FROM ({HEX}) WHERE length(h) > 0))"""
 
 
-def text_chunks(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return chunking.fixed_chunks(chunked_docs(spark, sf, whole), "doc_id", "text", 256)
+def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.fixed_chunks(docs(spark, sf), "doc_id", "text", 256)
 
 
 @query(f"WITH c AS ({CHUNKS}), u AS (SELECT cid, count(*) AS n, min(nbytes) AS b FROM c GROUP BY cid) SELECT sum(n)::BIGINT AS seen, count(*) AS created, (sum(n) - count(*))::BIGINT AS deduped, sum(b)::BIGINT AS bytes_resident FROM u")
-def chunk_dedup(spark, sf, whole=False):
-    return chunking.statistics(text_chunks(spark, sf, whole))
+def chunk_dedup(spark, sf):
+    return chunking.statistics(text_chunks(spark, sf))
 
 
 @query(f"WITH c AS ({CHUNKS}) SELECT DISTINCT cid FROM c")
-def chunk_manifest(spark, sf, whole=False):
-    return chunking.manifest(text_chunks(spark, sf, whole))
+def chunk_manifest(spark, sf):
+    return chunking.manifest(text_chunks(spark, sf))
 
 
 @query(f"WITH c AS ({CHUNKS}) SELECT DISTINCT cid FROM c WHERE cid NOT IN (SELECT cid FROM c WHERE doc_id % 2 = 0)")
-def manifest_diff(spark, sf, whole=False):
-    c = text_chunks(spark, sf, whole)
+def manifest_diff(spark, sf):
+    c = text_chunks(spark, sf)
     return chunking.lacking(c, c.where("doc_id % 2 = 0"))
 
 
 @query(f"""WITH c AS ({CHUNKS}), m AS (SELECT cid, min(nbytes) AS b FROM c WHERE cid NOT IN (SELECT cid FROM c WHERE doc_id % 2 = 0) GROUP BY cid)
 SELECT count(*) AS chunks, coalesce(sum(b), 0)::BIGINT AS chunk_bytes, (SELECT count(*) * 16 FROM c) AS extent_bytes FROM m""")
-def sync_payload_size(spark, sf, whole=False):
-    c = text_chunks(spark, sf, whole)
+def sync_payload_size(spark, sf):
+    c = text_chunks(spark, sf)
     return chunking.payload_size(c, c.where("doc_id % 2 = 0"))
 
 
-@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE strlen(text) = length(text)")
-def sync_apply(spark, sf, whole=False):
-    c = text_chunks(spark, sf, whole)
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def sync_apply(spark, sf):
+    c = text_chunks(spark, sf)
     have = c.where("doc_id % 2 = 0")
     missing, extents = chunking.payload(c, have)
     rebuilt = chunking.apply_payload(have, missing, extents, "doc_id")
-    if whole:  # empty objects have no extents
-        rebuilt = docs(spark, sf).select("doc_id").join(rebuilt, "doc_id", "left").withColumn("payload", F.coalesce("payload", F.lit(bytearray())))
+    rebuilt = docs(spark, sf).select("doc_id").join(rebuilt, "doc_id", "left").withColumn("payload", F.coalesce("payload", F.lit(bytearray())))  # empty objects have no extents
     return rebuilt.select("doc_id", F.md5("payload").alias("text_md5"))
 
 
@@ -474,40 +493,42 @@ def content_defined_chunks(spark, sf):
     return chunking.apply_payload(c.where("false"), missing, extents, "doc_id").select("doc_id", F.md5("payload").alias("text_md5"))
 
 
-@query("SELECT 0::BIGINT AS bad")
-def verify_chunks(spark, sf, whole=False):
-    return chunking.verify(text_chunks(spark, sf, whole))
+@query(f"SELECT count(*) AS bad FROM ({CHUNKS}) WHERE doc_id % 10 = 0")
+def verify_chunks(spark, sf):
+    """A byte more in every chunk of every tenth document."""
+    c = text_chunks(spark, sf)
+    return chunking.verify(c.withColumn("payload", F.when(F.col("doc_id") % 10 == 0, F.concat("payload", F.lit(bytearray(b"!")))).otherwise(F.col("payload"))))
 
 
 @query(f"WITH c AS ({CHUNKS}) SELECT DISTINCT cid FROM c WHERE cid NOT IN (SELECT cid FROM c WHERE doc_id % 3 > 0)")
-def orphan_chunks(spark, sf, whole=False):
-    c = text_chunks(spark, sf, whole)
+def orphan_chunks(spark, sf):
+    c = text_chunks(spark, sf)
     return chunking.orphans(c, c.where("doc_id % 3 > 0"))
 
 
 @query(f"SELECT doc_id, seq, (sum(nbytes) OVER (PARTITION BY doc_id ORDER BY seq) - nbytes)::BIGINT AS start FROM ({CHUNKS})")
-def extent_offsets(spark, sf, whole=False):
+def extent_offsets(spark, sf):
     from palimpsest.objects import placed
 
-    c = text_chunks(spark, sf, whole).select(F.col("doc_id").alias("object"), F.lit(0).alias("version"), "seq", F.col("nbytes").alias("len"))
+    c = text_chunks(spark, sf).select(F.col("doc_id").alias("object"), F.lit(0).alias("version"), "seq", F.col("nbytes").alias("len"))
     return placed(c).select(F.col("object").alias("doc_id"), "seq", "start")
 
 
-@query("SELECT doc_id, substr(text, 1001, 500) AS part FROM documents WHERE strlen(text) = length(text) AND length(text) > 1000")
-def range_read(spark, sf, whole=False):
+@query(f"SELECT doc_id, substr(h, 2001, 1000) AS part FROM ({HEX}) WHERE length(h) > 2000")
+def range_read(spark, sf):
     from palimpsest.objects import assemble, placed, window
 
-    c = text_chunks(spark, sf, whole)
+    c = text_chunks(spark, sf)
     e = placed(c.select(F.col("doc_id").alias("object"), F.lit(0).alias("version"), "seq", "cid", F.lit(0).cast("bigint").alias("off"), F.col("nbytes").alias("len")))
     store = c.select("cid", "payload").dropDuplicates(["cid"])
-    return assemble(window(e, 1000, 1500), store, "object").select(F.col("object").alias("doc_id"), (F.col("payload") if whole else F.col("payload").cast("string")).alias("part"))
+    return assemble(window(e, 1000, 1500), store, "object").select(F.col("object").alias("doc_id"), F.hex("payload").alias("part"))
 
 
-@query("SELECT doc_id, md5(substr(text, 1, 1500) || 'SPLICED' || substr(text, 1601)) AS text_md5 FROM documents WHERE strlen(text) = length(text) AND length(text) > 1600")
-def splice_update(spark, sf, whole=False):
+@query(f"SELECT doc_id, md5(unhex(substr(h, 1, 3000) || hex(encode('SPLICED')) || substr(h, 3201))) AS text_md5 FROM ({HEX}) WHERE length(h) > 3200")
+def splice_update(spark, sf):
     from palimpsest.objects import assemble, placed, splice
 
-    long_docs = chunked_docs(spark, sf, whole).where(F.octet_length("text") > 1600)
+    long_docs = docs(spark, sf).where(F.octet_length("text") > 1600)
     c = chunking.fixed_chunks(long_docs, "doc_id", "text", 256).withColumnRenamed("doc_id", "object")
     old = placed(c.select("object", F.lit(0).alias("version"), "seq", "cid", F.lit(0).cast("bigint").alias("off"), F.col("nbytes").alias("len")))
     new_text = F.lit("SPLICED").cast("binary")
@@ -516,15 +537,6 @@ def splice_update(spark, sf, whole=False):
     return assemble(placed(splice(old, 1500, 100, new, 1)), store, "object").select(F.col("object").alias("doc_id"), F.md5("payload").alias("text_md5"))
 
 
-def _whole(f: Callable[..., DataFrame]) -> None:
-    """Registers f over the bytes of all documents as <name>_all; SQL can't cut bytes, so it has none."""
-    QUERIES[f"{f.__name__}_all"] = lambda spark, sf: f(spark, sf, whole=True)
-
-
-for _f in (chunk_dedup, chunk_manifest, manifest_diff, sync_payload_size, sync_apply, verify_chunks, orphan_chunks, extent_offsets, range_read, splice_update):
-    _whole(_f)
-
-
 @query("SELECT key, CASE WHEN head = base THEN other WHEN other = base THEN head ELSE head END AS merged, CASE WHEN head = base AND other = base THEN 'unchanged' WHEN head = other THEN 'converged' WHEN head = base THEN 'other' WHEN other = base THEN 'head' ELSE 'conflict' END AS status FROM (SELECT o_orderkey AS key, o_totalprice AS base, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS head, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 WHEN o_orderkey % 7 = 0 THEN o_totalprice + 2 ELSE o_totalprice END AS other FROM orders)")
 def merge_rows(spark, sf):
     base = read(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("v"))
@@ -577,41 +589,35 @@ def top_merges(spark, sf):
 
 @query(f"SELECT DISTINCT unit FROM ({UNITS}) WHERE strlen(unit) <= 64")
 def dictionary_learn(spark, sf):
-    u = docs(spark, sf).select(F.explode(T.units(F.col("text"))).alias("unit"))
-    return u.where(F.octet_length("unit") <= 64).distinct()
+    return tokens.learn(docs(spark, sf), "text").select(F.col("text").alias("unit"))
 
 
 @query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def detokenize(spark, sf):
-    ids = docs(spark, sf).select("doc_id", T.units(F.col("text")).alias("units"))
-    return ids.select("doc_id", F.md5(F.array_join("units", "").cast("binary")).alias("text_md5"))
+    """Token ids by the learned dictionary, escapes of longer units among them, and back."""
+    d = docs(spark, sf)
+    known = saved(tokens.learn(d, "text"), "dictionary")
+    ids = tokens.tokenize(d.select("doc_id", "text"), "text", known).select("doc_id", "tokens")
+    return tokens.detokenize(saved(ids, "ids"), "doc_id", "tokens", known).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @query(f"SELECT item_id, count(*) AS absent FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM benchmark) WHERE w NOT IN (SELECT unit FROM ({UNITS})) GROUP BY item_id")
 def token_presence(spark, sf):
-    words = read(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("w"))
-    have = docs(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("w")).distinct()
-    return words.join(have, "w", "left_anti").groupBy("item_id").agg(F.count("*").alias("absent"))
+    return tokens.absent(read(spark, sf, "benchmark"), "item_id", "text", docs(spark, sf), "text")
 
 
-@query()
+BYTES = "[('0x' || substr(h, (2 * i - 1)::BIGINT, 2))::UBIGINT FOR i IN range(1, length(h) // 2 + 1)]"
+
+
+@query(f"""WITH t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n::UBIGINT, [0::UBIGINT FOR k IN range(0, 8)]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::UBIGINT, c // 2) ELSE c // 2 END)) AS t)
+SELECT doc_id, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, {BYTES}), lambda c, b: xor(t[(xor(c % 256, b) + 1)::BIGINT], c // 256)))::BIGINT AS crc FROM ({HEX}), t""")
 def crc32(spark, sf):
     return docs(spark, sf).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
 
 
-@query("""WITH RECURSIVE w AS (SELECT item_id, encode(substr(text, 1, 24)) AS b FROM benchmark WHERE strlen(substr(text, 1, 24)) = 24),
- h AS (SELECT item_id, 0 AS i, 14695981039346656037::HUGEINT AS v FROM w
- UNION ALL SELECT h.item_id, i + 1, ((xor(v::UBIGINT, ('0x' || substr(hex(b), 2 * i + 1, 2))::UBIGINT))::HUGEINT * 435 + (((xor(v::UBIGINT, ('0x' || substr(hex(b), 2 * i + 1, 2))::UBIGINT))::HUGEINT % 16777216) * 1099511627776)) % 18446744073709551616::HUGEINT
- FROM h JOIN w USING (item_id) WHERE i < 24)
-SELECT item_id, v::VARCHAR AS fnv FROM h WHERE i = 24""")
+@query(f"""SELECT item_id, list_reduce(list_prepend(14695981039346656037::UBIGINT, {BYTES}), lambda v, b: ((xor(v, b)::HUGEINT * 1099511628211) % 18446744073709551616::HUGEINT)::UBIGINT)::VARCHAR AS fnv
+FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark)""")
 def fnv1a(spark, sf):
-    b = read(spark, sf, "benchmark").select("item_id", F.substr("text", F.lit(1), F.lit(24)).alias("t")).where(F.octet_length("t") == 24)
-    return T.fnv1a(b, "t").select("item_id", F.col("fnv").cast("string").alias("fnv"))
-
-
-@query()
-def fnv1a_all(spark, sf):
-    """Of whole texts; SQL's recursion takes one step a byte."""
     return T.fnv1a(read(spark, sf, "benchmark").select("item_id", "text"), "text").select("item_id", F.col("fnv").cast("string").alias("fnv"))
 
 
@@ -628,15 +634,10 @@ def plane_scan(spark, sf):
     return dna.scan(sequences(spark, sf), "seq", "ATTAT", "doc_id")
 
 
-@query(f"SELECT needle, doc_id, (i - 1)::INTEGER AS off FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 12)) AS i FROM ({DNA}) WHERE length(seq) >= 14), (SELECT substr(seq, 1, 14) AS needle FROM ({DNA}) WHERE doc_id < 5 AND length(seq) >= 14) WHERE substr(seq, i, 14) = needle")
+@query(f"""WITH d AS ({DNA}), q AS (SELECT doc_id AS query_id, substr(seq, 1, 14) AS needle FROM d WHERE doc_id % 50 = 0 AND length(seq) > 0), n AS (SELECT DISTINCT needle FROM q),
+ l AS (SELECT DISTINCT length(needle) AS k FROM n), p AS (SELECT doc_id, i - 1 AS off, substr(seq, i, k) AS needle FROM (SELECT doc_id, seq, k, unnest(range(1, length(seq) - k + 2)) AS i FROM d, l WHERE length(seq) >= k))
+SELECT query_id, needle, p.doc_id, p.off::INTEGER AS off FROM q JOIN p USING (needle)""")
 def kmer_locate(spark, sf):
-    s = sequences(spark, sf)
-    needles = s.where("doc_id < 5 and length(seq) >= 14").select(F.substr("seq", F.lit(1), F.lit(14)).alias("needle"))
-    return dna.locate(dna.kmers(s, "seq", "doc_id"), needles, s, "seq", "doc_id")
-
-
-@query()
-def kmer_locate_all(spark, sf):
     """The first 14 bases of every 50th document, or all it has, in all sequences. Needles shorter than a k-mer are sought
     through an index of their own length."""
     s = sequences(spark, sf)
@@ -649,14 +650,8 @@ def kmer_locate_all(spark, sf):
     return queries.join(found, "needle").select("query_id", "needle", "doc_id", "off")
 
 
-@query(f"SELECT doc_id, substr(seq, 1, 12) AS bases FROM ({DNA}) WHERE length(seq) >= 12")
+@query(f"SELECT doc_id, seq AS bases FROM ({DNA})")
 def dna_pack_round_trip(spark, sf):
-    s = sequences(spark, sf).where("length(seq) >= 12").select("doc_id", dna.pack(F.substr("seq", F.lit(1), F.lit(12))).alias("token"))
-    return s.select("doc_id", dna.unpack(F.col("token")).alias("bases"))
-
-
-@query()
-def dna_pack_round_trip_all(spark, sf):
     """Whole sequences as tokens of 12 bases, the last one shorter."""
     s = sequences(spark, sf)
     starts = F.when(F.length("seq") > 0, F.sequence(F.lit(1), F.length("seq"), F.lit(dna.K)))
@@ -684,11 +679,11 @@ def grid_quantize(spark, sf):
     return vertices(spark, sf).select("idx", *[spatial.grid_encode(F.col(a), 0.01).alias(f"q{a}") for a in "xyz"])
 
 
-@query(f"SELECT max(greatest(abs(x - round(x / 0.01)::BIGINT * 0.01::DOUBLE), abs(y - round(y / 0.01)::BIGINT * 0.01::DOUBLE), abs(z - round(z / 0.01)::BIGINT * 0.01::DOUBLE))) < 0.0050001 AS within FROM ({VERTS})")
+@query(f"SELECT round(max(greatest(abs(x - round(x / 0.01)::BIGINT * 0.01::DOUBLE), abs(y - round(y / 0.01)::BIGINT * 0.01::DOUBLE), abs(z - round(z / 0.01)::BIGINT * 0.01::DOUBLE))), 9) AS max_error FROM ({VERTS})")
 def mesh_max_error(spark, sf):
     v = vertices(spark, sf)
     back = v.select("idx", *[spatial.grid_decode(spatial.grid_encode(F.col(a), 0.01), 0.01).alias(a) for a in "xyz"])
-    return spatial.max_error(v, back).select((F.col("max_error") < 0.0050001).alias("within"))
+    return spatial.max_error(v, back).select(F.round("max_error", 9).alias("max_error"))
 
 
 def _spread(v: str) -> str:
@@ -714,8 +709,8 @@ def scene_translate(spark, sf):
 
 @query("SELECT v.vec_id AS instance, n.n_name AS asset FROM embeddings v JOIN nation n ON v.vec_id % 25 = n.n_nationkey")
 def instance_assets(spark, sf):
-    inst = read(spark, sf, "embeddings").select(F.col("vec_id").alias("instance"), (F.col("vec_id") % 25).cast("int").alias("n_nationkey"))
-    return inst.join(read(spark, sf, "nation"), "n_nationkey").select("instance", F.col("n_name").alias("asset"))
+    placed = read(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 25).cast("int").alias("n_nationkey"))
+    return spatial.instances(placed, read(spark, sf, "nation"), "n_nationkey", "vec_id", "n_name")
 
 
 @query(f"SELECT idx FROM ({VERTS}) WHERE sqrt(x * x + y * y + z * z) < 0.2")

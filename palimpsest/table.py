@@ -46,6 +46,8 @@ class State:
     base: DataFrame
     first: int
     ops: list[Op] = field(default_factory=list)
+    #: Changes where row ids change their meaning: only compact() does that.
+    numbering: int = 0
 
 
 class Table:
@@ -181,7 +183,7 @@ class Table:
             base = saved(state.base.withColumn(column, self._render(column, v, state.base.schema[column].dataType)), "base")
             self.dead = self.dead.unionByName(self.dead.where((F.col("born") == state.first) & (F.col("removed_v") <= v)).withColumn("born", F.lit(v + 1).cast("bigint")))
             self._advance()
-            self.states.append(State(base, v + 1, keep))
+            self.states.append(State(base, v + 1, keep, state.numbering))
         return n
 
     # row edits
@@ -225,7 +227,7 @@ class Table:
         before = self.num_rows_physical()
         live = saved(global_rank(self.rows(), [F.col("row_id")], "new_id", 0).drop("row_id").withColumnRenamed("new_id", "row_id"), "base")
         v = self._advance()
-        self.states.append(State(live, v))
+        self.states.append(State(live, v, [], self.states[-1].numbering + 1))
         return before - live.count()
 
     # reports
@@ -247,8 +249,7 @@ class Table:
         return rows, cells
 
     def _numbering(self, v: int) -> int:
-        """Compactions renumber; generations made by compact_column don't."""
-        return sum(1 for s in self.states if s.first <= v and not s.ops and s.first and s.base.count() != self.states[0].base.count())
+        return self._state(v).numbering
 
     def touched_versions(self, row_id: int, column: str) -> list[int]:
         """The table versions in which a cell changed or its row went."""
@@ -267,6 +268,15 @@ class Table:
         r = self.physical(version, [column]).agg(F.count_distinct(c).alias("n"), F.max(c.isNull().cast("int")).alias("null")).first()
         return r["n"] + (r["null"] or 0)
 
+    def column_report(self, column: str, version: int = -1) -> DataFrame:
+        """(n, nulls, estimate) of a column's live rows; estimate is the sketched number of distinct values, null being one."""
+        from palimpsest.operators import sketch
+
+        rows = self.rows(version, [column])
+        c = F.col(f"`{column}`")
+        counts = rows.agg(F.count("*").alias("n"), F.count_if(c.isNull()).alias("nulls"))
+        return counts.join(sketch.estimate(sketch.registers(rows.select(c.alias("v")), "v")))
+
     def to_parquet(self, path: str, version: int = -1) -> None:
         self.rows(version).drop("row_id").write.parquet(path)
 
