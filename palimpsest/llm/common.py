@@ -44,13 +44,32 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def located(df: DataFrame) -> DataFrame:
-    """df with __loc = struct(file, row): where each row's content lies. A df that isn't a plain file scan is written first."""
-    loc = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows, unless the session has its own setting: whole texts make them large, and
+    Spark's 10,000 rows are held by the JVM and by Python at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def scanned(df: DataFrame) -> DataFrame:
+    """df itself if it is a plain file scan, whose rows have places; any other is written first."""
     try:
-        return df.select("*", loc.alias("__loc"))
+        df.select(df.metadataColumn("_metadata").getField("row_index"))
+        return df
     except AnalysisException:
-        return saved(df, "located").select("*", loc.alias("__loc"))
+        return saved(df, "located")
+
+
+def located(df: DataFrame) -> DataFrame:
+    """df with __loc = struct(file, row): where each row's content lies. df has no column __loc of its own; one named _metadata is left alone."""
+    df = scanned(df)
+    place = df.metadataColumn("_metadata")
+    return df.select("*", F.struct(place.getField("file_path").alias("file"), place.getField("row_index").alias("row")).alias("__loc"))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ..., so that no name of theirs can clash with another."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def fold(id_col: str | Column, folds: int) -> Column:

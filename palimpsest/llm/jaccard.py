@@ -13,12 +13,16 @@ signature per segment, and segments are allocated by cost:
 * sets that still lack credit enter indexes of growing M, the last with one segment per shingle.
 
 A pair is guaranteed where one side has the credit; where both lack it, both enter the next index. So nothing is lost.
-Signatures travel as packed bytes of signature, predecessor and set; a pair matching on a run of consecutive segments
-is emitted only at the run's start. Identical sets are one node, and copies never meet in pairs. Candidates are
-filtered by parity bitmaps (one or two bits a shingle; the number of unequal bits never exceeds that of differing shingles)
-and verified by intersecting the whole sets, which are shipped once per bucket of a shared minimum hash.
+Signatures travel as packed bytes of signature, predecessor, set, size class and the set's least signature. A pair of
+unequal size is never emitted; one whose least signatures are equal is emitted there only, any other at the start of each
+run of consecutive segments that it matches on. Holders of a signature that many sets share
+leave their task as pairs of blocks, which other tasks expand. Identical sets are one node, and copies never meet in
+pairs. Candidates are filtered by parity bitmaps (one or two bits a shingle; the number of unequal bits never exceeds
+that of differing shingles) and verified by intersecting the whole sets, which are shipped once per bucket of a shared
+minimum hash; a bucket of more than SET_BYTES is split into a grid of tasks.
 
-Exact up to collisions of 64-bit shingle hashes, and of a 32-bit predecessor once in 2^32 pairs; nodes that collide on their id are found and the seed is changed.
+Exact up to collisions of 64-bit shingle hashes, and of 32-bit predecessors and least signatures once in 2^32 pairs. Sets that share the 40
+bits of a node that travel are candidates of each other; nodes that collide on their whole id are found and the seed is changed.
 
 Cases: null, empty and blank texts have no shingles, n_similar 0 and are their own component; repeated rows count as
 other documents; null ids group as copies but never become a component id unless alone; an empty table gives no rows;
@@ -29,20 +33,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import binary_column, components, release, saved, shuffle_partitions
+from palimpsest.llm.common import binary_column, components, release, saved, shuffle_partitions, small_batches
 from palimpsest.llm.hashing import U, mix, shingle_set
 
 #: Frequent shingles: at least so many distinct sets of one task's pool, summed; and at most so many shingles, broadcast as 8 bytes each.
 HOT_COUNT, HOT_MOST, HOT_POOL, HOT_LOCAL = 20, 300_000, 3_000_000, 4
 BAND, FIRST_BAND, SPARE = 1.6, 8, 1.4
-#: Bytes of a packed record: signature 6, predecessor 4, node 5.
-RECORD, FLUSH, PART_BYTES, SET_BYTES = 15, 400_000, 32 << 20, 8 << 20
+#: Bytes of a packed record: signature 6, predecessor 4, node 5, size class 1, least signature 4.
+RECORD, FLUSH, PART_BYTES, SET_BYTES = 20, 400_000, 24 << 20, 8 << 20
+#: Sizes of one class differ by less than this factor; class 255 holds all larger ones.
+CLASS = 1.05
+#: Holders of one signature up to which their task pairs them; more are cut into blocks of half as many.
+HOLDERS = 2048
 #: Rows up to which a list of ids is broadcast (8 bytes each); a longer one is joined by shuffle.
 BROADCAST_IDS = 500_000
 LAST_CHANNEL = 4
@@ -58,6 +67,11 @@ class Threshold:
         """The most that two linked sets of total size can differ in."""
         return total * (self.den - self.num) // (self.den + self.num)
 
+    @property
+    def classes(self) -> int:
+        """The most size classes that two linked sets lie apart."""
+        return int(log(self.den / self.num) / log(CLASS)) + 1 if self.num else 255
+
     def partners(self, n: int) -> tuple[int, int]:
         """The least and greatest size of a set linked with one of n."""
         return -(-n * self.num // self.den), n * self.den // self.num
@@ -153,10 +167,6 @@ def chain(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sig, prev
 
 
-def low_bytes(x: np.ndarray, n: int) -> np.ndarray:
-    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :n]
-
-
 NAMES = ["kind", "id", "n", "node", "check", "least", "bits"]
 
 
@@ -171,10 +181,13 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int) ->
         id_type = pa.int64()
 
         def frequent() -> pa.RecordBatch:
-            x, c = np.unique(np.concatenate(pool), return_counts=True)
-            x, c = x[c >= HOT_LOCAL], c[c >= HOT_LOCAL]
+            x = np.concatenate(pool)
             pool.clear()
             seen.clear()
+            x.sort()
+            at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            c = np.diff(np.append(at, len(x)))
+            x, c = x[at[c >= HOT_LOCAL]], c[c >= HOT_LOCAL]
             none = pa.nulls(len(x), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.nulls(len(x), id_type), pa.array(c), pa.array(x.view(np.int64)), none, none, pa.nulls(len(x), pa.binary())], names=NAMES)
 
@@ -210,24 +223,27 @@ def index(docs: DataFrame, text_col: str, k: int, seed: int, t: Threshold, hot:
         hot = known.value
         sigs: list[np.ndarray] = []
         prevs: list[np.ndarray] = []
+        leasts: list[np.ndarray] = []
         nodes: list[int] = []
         counts: list[int] = []
+        sizes: list[int] = []
         seen: set[int] = set()
         held = 0
 
         def flush() -> pa.RecordBatch:
-            sig = np.concatenate(sigs) >> U(16)
-            data = np.empty((len(sig), RECORD), np.uint8)
-            data[:, :6], data[:, 6:10] = low_bytes(sig, 6), low_bytes(np.concatenate(prevs) >> U(32), 4)
-            data[:, 10:] = low_bytes(np.repeat(np.array(nodes, np.int64), counts).view(U) >> U(23), 5)
+            sig, prev = np.concatenate(sigs) >> U(16), np.concatenate(prevs) >> U(32)
+            own = (np.array(nodes, np.int64).view(U) >> U(23)) << U(24) | np.array(sizes, U)
+            data = np.stack([sig << U(16) | prev >> U(16), np.repeat(own, counts) | (prev & U(0xFFFF)) << U(8)], 1).astype("<u8", copy=False)
             part = (sig % U(parts)).astype(np.uint16 if parts < 65536 else np.uint32)
             order = np.argsort(part, kind="stable")
             data, part = data[order], part[order]
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             ends = np.append(at[1:], len(part))
-            for x in (sigs, prevs, nodes, counts):
+            least = np.concatenate(leasts)[order]
+            for x in (sigs, prevs, leasts, nodes, counts, sizes):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array([data[a:e].tobytes() for a, e in zip(at, ends)], pa.binary())], names=["part", "data"])
+            blobs = pa.array([data[a:e].tobytes() + least[a:e].tobytes() for a, e in zip(at, ends)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), blobs], names=["part", "data"])
 
         for b in batches:
             for text in binary_column(b, "__text"):
@@ -241,11 +257,15 @@ def index(docs: DataFrame, text_col: str, k: int, seed: int, t: Threshold, hot:
                     cold = np.ones(len(h), bool)
                 n = 0
                 for sig, prev in signatures(h, cold, t):
+                    if not len(sig):
+                        continue
                     sigs.append(sig)
                     prevs.append(prev)
+                    leasts.append(np.full(len(sig), sig.min() >> U(32), "<u4"))
                     n += len(sig)
                 nodes.append(node)
                 counts.append(n)
+                sizes.append(min(int(log(len(h)) / log(CLASS) + 1e-9), 255))
                 held += n
                 if held > FLUSH:
                     yield flush()
@@ -256,39 +276,116 @@ def index(docs: DataFrame, text_col: str, k: int, seed: int, t: Threshold, hot:
     return docs.select(docs[text_col].alias("__text")).mapInArrow(run, "part int, data binary")
 
 
-def matches(table: pa.Table) -> pa.Table:
-    """Distinct candidate pairs (a < b, the upper 40 bits of nodes) of one part of the index."""
-    data = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8).reshape(-1, RECORD)
-
-    def wide(at: int, n: int) -> np.ndarray:
-        out = np.zeros((len(data), 8), np.uint8)
-        out[:, :n] = data[:, at : at + n]
-        return out.view("<u8").ravel()
-
-    sig = wide(0, 6)
-    order = np.argsort(sig, kind="stable")
-    s = sig[order]
-    again = np.concatenate([[False], s[1:] == s[:-1]])
-    rows = order[again | np.concatenate([again[1:], [False]])]
-    data = data[rows]
-    sig, prev, node = wide(0, 6), wide(6, 4), wide(10, 5)
-    order = np.lexsort((node, sig))
-    sig, prev, node = sig[order], prev[order], node[order]
-    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]) if len(sig) else np.zeros(0, bool)
-    sig, prev, node = sig[fresh], prev[fresh], node[fresh]
-    found, held, d = [], 0, 1
-    live = np.arange(len(sig))
-    while len(live := live[live + d < len(sig)]) and len(live := live[sig[live] == sig[live + d]]):
-        start = live[(prev[live] != prev[live + d]) | (prev[live] == 0)]
-        found.append(np.stack([node[start], node[start + d]], 1))
-        held += len(start)
-        if held > 2_000_000:
-            found, held = [np.unique(np.concatenate(found), axis=0)], 0
-        d += 1
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), U)
+class Records:
+    """Packed records, in columns: signatures, nodes, predecessors, size classes, least signatures."""
+
+    def __init__(self, pair: np.ndarray, least: np.ndarray):
+        self.pair, self.least = pair, least
+        low = pair[:, 1]
+        self.sig, self.node, self.size = pair[:, 0] >> U(16), low >> U(24), (low & U(0xFF)).astype(np.int16)
+        self.prev = ((pair[:, 0] & U(0xFFFF)) << U(16) | (low >> U(8)) & U(0xFFFF)).astype(np.uint32)
+        self.first = (self.sig >> U(16)).astype(np.uint32) == least
+
+    def __getitem__(self, at: np.ndarray | slice) -> Records:
+        return Records(self.pair[at], self.least[at])
+
+    def pack(self) -> bytes:
+        return self.pair.tobytes() + self.least.tobytes()
+
+    @classmethod
+    def read(cls, blobs: list[bytes]) -> Records:
+        counts = [len(x) // RECORD for x in blobs]
+        pair = b"".join([memoryview(x)[: 16 * n] for x, n in zip(blobs, counts)])
+        least = b"".join([memoryview(x)[16 * n :] for x, n in zip(blobs, counts)])
+        return cls(np.frombuffer(pair, "<u8").reshape(-1, 2), np.frombuffer(least, "<u4"))
+
+    def meets(self, i, other: Records, j, classes: int) -> np.ndarray:
+        """Whether records i of self and j of other, of one signature, are where their sets' pair is emitted."""
+        where = np.where(self.least[i] == other.least[j], self.first[i], (self.prev[i] != other.prev[j]) | (self.prev[i] == 0))
+        return where & (np.abs(self.size[i] - other.size[j]) <= classes)
+
+
+def packed_pairs(found: list[np.ndarray], slots: int) -> Iterator[tuple[int, bytes]]:
+    """(slot, data) of distinct pairs of two nodes, a < b: per slot of a, sorted, five byte planes of a's steps and five of b."""
+    pairs = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), U)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    slot = pairs[:, 0] % U(slots)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0], slot))
+    pairs, slot = pairs[order], slot[order]
+    if len(pairs):
+        fresh = np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])
+        pairs, slot = pairs[fresh], slot[fresh]
+        at = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        for i, e in zip(at, np.append(at[1:], len(slot))):
+            both = np.stack([np.diff(pairs[i:e, 0], prepend=U(0)), pairs[i:e, 1]]).astype("<u8")
+            yield int(slot[i]), np.ascontiguousarray(both.view(np.uint8).reshape(2, -1, 8)[:, :, :5].transpose(0, 2, 1)).tobytes()
+
+
+def distinct_pairs(table: pa.Table) -> pa.Table:
+    """The distinct pairs (a, b) of one slot."""
+    found = []
+    for data in table.column("data").to_pylist():
+        wide = np.zeros((2, len(data) // 10, 8), np.uint8)
+        wide[:, :, :5] = np.frombuffer(data, np.uint8).reshape(2, 5, -1).transpose(0, 2, 1)
+        both = wide.view("<u8")[:, :, 0]
+        found.append(np.stack([np.cumsum(both[0], dtype=U), both[1]], 1))
+    pairs = np.concatenate(found)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
     return pa.table({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
 
 
+def matches(t: Threshold, slots: int):
+    """Of one part of the index the candidate pairs (the upper 40 bits of nodes) by slot, and pairs of blocks (left, right)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rec = Records.read(table.column("data").to_pylist())
+        order = np.argsort(rec.sig, kind="stable")
+        s = rec.sig[order]
+        again = np.concatenate([[False], s[1:] == s[:-1]])
+        rec = rec[order[again | np.concatenate([again[1:], [False]])]]
+        del order, s, again
+        rec = rec[np.lexsort((rec.node, rec.sig))]
+        if len(rec.sig):
+            rec = rec[np.concatenate([[True], (rec.sig[1:] != rec.sig[:-1]) | (rec.node[1:] != rec.node[:-1])])]
+        sig = rec.sig
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        held = np.diff(np.append(start, len(sig)))
+        blocks = []
+        for at, n in zip(start[held > HOLDERS], held[held > HOLDERS]):
+            own = [rec[i : min(i + HOLDERS // 2, at + n)].pack() for i in range(at, at + n, HOLDERS // 2)]
+            blocks += [(x, y) for i, x in enumerate(own) for y in own[i:]]
+        found, waiting, d = [], 0, 1
+        live = np.flatnonzero(np.repeat(held <= HOLDERS, held))
+        while len(live := live[live + d < len(sig)]) and len(live := live[sig[live] == sig[live + d]]):
+            met = live[rec.meets(live, rec, live + d, t.classes)]
+            if len(met):
+                found.append(np.stack([rec.node[met], rec.node[met + d]], 1))
+                waiting += len(met)
+            if waiting > 1_000_000:
+                found, waiting = [np.unique(np.sort(np.concatenate(found), axis=1).view("V16")).view(U).reshape(-1, 2)], 0
+            d += 1
+        rows = [(slot, data, None, None) for slot, data in packed_pairs(found, slots)] + [(None, None, x, y) for x, y in blocks]
+        cols = list(zip(*rows)) if rows else [[]] * 4
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("slot", "data", "left", "right"), cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))})
+
+    return run
+
+
+def expand(t: Threshold, slots: int):
+    """Candidate pairs by slot of pairs of blocks of holders of one signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                x, y = Records.read([left]), Records.read([right])
+                i, j = np.nonzero(x.meets((slice(None), None), y, slice(None), t.classes))
+                rows = list(packed_pairs([np.stack([x.node[i], y.node[j]], 1)], slots))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slot", "data"])
+
+    return run
+
+
 def filtered(t: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -337,6 +434,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int,
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 70, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(rows, edges): rows has id, n and node per row of docs; edges the linked pairs (a, b) of different sets."""
     spark, t, seed = docs.sparkSession, Threshold(num, den), 0
+    small_batches(spark)
     while True:
         both = saved(describe(docs, id_col, text_col, k, seed), "sets")
         rows = both.where("kind = 0")
@@ -349,27 +447,40 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     hot = np.sort(hot.column("node").to_numpy().view(U))
     mass = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle_partitions(spark), mass * RECORD // PART_BYTES)
-    records = index(docs, text_col, k, seed, t, hot, parts)
-    pairs = saved(records.groupBy("part").applyInArrow(matches, "a bigint, b bigint"), "matches")
+    records = index(docs, text_col, k, seed, t, hot, parts).repartition(parts, "part")
+    met = saved(records.groupBy("part").applyInArrow(matches(t, parts), "slot int, data binary, left binary, right binary"), "matches")
     del records
     release(spark)
-    pairs = pairs.distinct()
+    packed = met.where("slot is not null").select("slot", "data")
+    blocks = met.where("left is not null").select("left", "right")
+    n_blocks = blocks.count()
+    if n_blocks:
+        packed = packed.unionByName(blocks.repartition(max(shuffle_partitions(spark), n_blocks // 8)).mapInArrow(expand(t, parts), "slot int, data binary"))
+    pairs = packed.repartition(parts, "slot").groupBy("slot").applyInArrow(distinct_pairs, "a bigint, b bigint")
     short = nodes.select(F.shiftright("node", 23).alias("short"), "node", "n", "least", "bits")
     ends = [short.select(F.col("short").alias(x), F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"), F.col("least").alias(f"{x}_least"), F.col("bits").alias(f"{x}_bits")) for x in "ab"]
     sizes = [e.drop(f"{x}_bits", f"{x}_least") for e, x in zip(ends, "ab")]
     near = F.greatest("a_n", "b_n") * num <= F.least("a_n", "b_n") * den
-    pairs = pairs.join(sizes[0], "a").join(sizes[1], "b").where((F.col("a_node") != F.col("b_node")) & near).select("a_node", "b_node")
-    pairs = saved(pairs, "met")
+    twins = short.groupBy("short").agg(F.count("*").alias("holders")).where("holders > 1").select(F.col("short").alias("a"), F.col("short").alias("b"))
+    pairs = pairs.unionByName(twins)
+    pairs = pairs.join(sizes[0], "a").join(sizes[1], "b").where((F.col("a_node") != F.col("b_node")) & near).select(F.least("a_node", "b_node").alias("a_node"), F.greatest("a_node", "b_node").alias("b_node"))
+    pairs = saved(pairs.distinct(), "met")
     release(spark)
     pairs = pairs.join(ends[0].drop("a"), "a_node").join(ends[1].drop("b"), "b_node").mapInArrow(filtered(t), "a bigint, b bigint, least bigint")
     buckets = max(shuffle_partitions(spark), mass * 8 // SET_BYTES)
     pairs = saved(pairs.select("a", "b", F.pmod(F.xxhash64("least"), F.lit(buckets)).cast("int").alias("bucket")), "candidates")
+    ends = pairs.select("bucket", F.col("a").alias("node")).unionByName(pairs.select("bucket", F.col("b").alias("node"))).distinct()
+    heavy = ends.join(nodes.select("node", "n"), "node").groupBy("bucket").agg(F.ceil(F.sum("n") * 8 / (4 * SET_BYTES)).cast("int").alias("grid")).where("grid > 1").checkpoint()
+    if not heavy.isEmpty():  # a bucket's sets are cut by node, and each cell of the grid has two of the cuts
+        cut = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.coalesce("grid", F.lit(1)))
+        pairs = pairs.join(heavy, "bucket", "left").select("a", "b", F.struct("bucket", F.least(cut("a"), cut("b")).alias("x"), F.greatest(cut("a"), cut("b")).alias("y")).alias("bucket"))
+        pairs = saved(pairs, "cells")
     placed = pairs.select("bucket", F.col("a").alias("node")).unionByName(pairs.select("bucket", F.col("b").alias("node"))).distinct()
     wanted = placed.select("node").distinct().join(nodes, "node").select("id", "node")
     sets = shingle_sets(docs, id_col, text_col, k, seed, wanted)
     placed = placed.checkpoint()
     shipped = sets.join(F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed, "node").select("bucket", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "data")
-    work = shipped.unionByName(pairs.select("bucket", "a", "b", F.lit(None).cast("binary").alias("data")))
+    work = shipped.unionByName(pairs.select("bucket", "a", "b", F.lit(None).cast("binary").alias("data"))).repartition(buckets, "bucket")
     edges = saved(work.groupBy("bucket").applyInArrow(verify(t), "a bigint, b bigint"), "links")
     return rows.select("id", "n", "node"), edges
 
