@@ -2,9 +2,10 @@
 
 Each batch of documents adds (digest, identifier, content locator) rows to a log. A streaming aggregation keyed by
 digest keeps, without expiry and in disk-backed (RocksDB) state, how many rows had that digest and the identifier and
-locator of the row to keep. Full bytes are checked: one aggregation over (digest, text), combined before it shuffles so
-a hot group leaves each task as one row, finds digests that stand for more than one text; such rows are regrouped by
-their text.
+locator of the row to keep. Full bytes are checked on hits: the texts of digests that more than one row has are read
+again, and one aggregation over (digest, text), combined before it shuffles so a hot group leaves each task as one row,
+finds digests that stand for more than one text; such rows are regrouped by their text. Up to BROADCAST_KEYS such digests
+are broadcast, so texts of other rows never leave their task.
 
 Cases: null text equals empty text; of equal texts the row with the largest id stays, of several rows with that id the
 one that lies last (file, row), so one row always stays; a null id is smaller than any other; an empty table gives no
@@ -19,7 +20,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import located, scratch_dir
+from palimpsest.llm.common import located, saved, scratch_dir
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -27,6 +28,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
+#: Digests of hits up to which they are broadcast (8 bytes of each); more are joined by shuffle.
+BROADCAST_KEYS = 500_000
 LOG_SCHEMA = "key binary, sha binary, id {id}, file string, row bigint"
 
 
@@ -80,16 +83,18 @@ class DedupState:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, with_loc: bool = False) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256 (and __loc, if asked)."""
     spark = docs.sparkSession
-    docs = located(docs)
-    state = DedupState(spark, scratch_dir(spark), docs.schema[id_col].dataType.simpleString(), digest)
-    state.add(docs, id_col, text_col)
-
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(digest(text).alias("key"), text.alias("text"), docs[id_col].alias("id"), docs["__loc.file"].alias("file"), docs["__loc.row"].alias("row"))
+    docs = located(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
+    state = DedupState(spark, scratch_dir(spark), docs.schema["id"].dataType.simpleString(), digest)
+    state.add(docs, "id", "text")
+
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(digest(text).alias("key"), text.alias("text"), "id", docs["__loc.file"].alias("file"), docs["__loc.row"].alias("row"))
+    many = saved(state.groups().where("n > 1"), "hits")
+    hits = many.select(F.xxhash64("key").alias("short")).distinct()
+    rows = rows.join(F.broadcast(hits) if hits.count() <= BROADCAST_KEYS else hits, F.xxhash64("key") == F.col("short"), "left_semi")
     texts = rows.groupBy("key", "text").agg(F.count("*").alias("n"))
     collided = texts.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key").checkpoint()
 
-    many = state.groups().where("n > 1")
     log = state.log()
     if collided.isEmpty():
         named = log.join(many, "key", "left")

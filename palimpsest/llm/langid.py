@@ -11,7 +11,6 @@ Long texts are hashed in blocks, so memory stays bounded. lang, source and id ne
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import binary_column, fold
+from palimpsest.llm.common import binary_column, fold, numbered, small_batches
 
 BUCKETS = 1 << 15
 MAX_LABELS = 512
@@ -28,7 +27,6 @@ BLOCK = 1 << 18
 #: N-grams gathered before they are counted or scored at once.
 POOL = 1 << 20
 ORDERS = (1, 2, 3)
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def ngram_buckets(text: str) -> Iterator[np.ndarray]:
@@ -47,11 +45,13 @@ def ngram_buckets(text: str) -> Iterator[np.ndarray]:
 
 
 def has_letter(text: str) -> bool:
-    return LETTER.search(text) is not None
+    """Whether a character is a letter (Unicode category L); digits, numerals and marks aren't."""
+    return any(map(str.isalpha, text))
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Labels by code point, log priors and the log-probability matrix (BUCKETS x labels)."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(labelled[label_col].isNotNull()).select(labelled[label_col].cast("string").alias("__label"), labelled[text_col].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,11 +105,13 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") ->
     return labels, np.log(np.maximum(docs, 1) / max(docs.sum(), 1)), logp.astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (the posterior, 0 to 1) instead of text_col; clashing columns are replaced."""
+def scored(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
+    """The columns of docs as c0, c1, ..., then lang_pred and score (the posterior, 0 to 1)."""
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
+    text_at = f"c{docs.columns.index(text_col)}"
+    docs = numbered(docs)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, prior, logp = known.value
@@ -129,7 +131,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
                 pool.clear()
                 owner.clear()
 
-            for raw in binary_column(b, "__text"):
+            for raw in binary_column(b, text_at):
                 text = raw.decode("utf-8", "replace")
                 if not labels or not has_letter(text):
                     totals.append(None)
@@ -147,10 +149,15 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
             best = [None if t is None else int(t.argmax()) for t in totals]
             langs = ["und" if k is None else labels[k] for k in best]
             scores = [0.0 if t is None else float(1 / np.exp(t - t[k]).sum()) for t, k in zip(totals, best)]
-            kept = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+
+    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
-    return docs.select(*(docs[c] for c in keep), docs[text_col].alias("__text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score instead of text_col; columns of those names are replaced."""
+    keep = [(i, c) for i, c in enumerate(docs.columns) if c not in (text_col, "lang_pred", "score")]
+    return scored(docs, model, text_col).select(*[F.col(f"c{i}").alias(c) for i, c in keep], "lang_pred", "score")
 
 
 def identify(docs: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
