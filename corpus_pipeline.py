@@ -11,10 +11,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import fold, located, saved
+from palimpsest.llm.common import fold, located, numbered, saved, scanned
 from palimpsest.llm.dedup import exact_dedup
 from palimpsest.llm.jaccard import jaccard_groups
-from palimpsest.llm.langid import fit, predict
+from palimpsest.llm.langid import fit, scored
 from palimpsest.llm.mixing import Mix
 from palimpsest.llm.packing import pack
 
@@ -25,24 +25,26 @@ LEAST_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter or with an uncertain language; learns from four of five documents' labels."""
     model = fit(docs.where(fold("doc_id", 5) != 0))
-    known = predict(docs.withColumn("__raw", F.col("text")), model, "__raw")
-    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    known = scored(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return known.drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows at the places in dropped."""
-    return located(docs).join(dropped, "__loc", "left_anti").drop("__loc")
+    """docs, a file scan, without the rows at the places in dropped."""
+    return located(numbered(docs)).join(dropped, "__loc", "left_anti").drop("__loc").toDF(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each distinct text stays, that with the largest doc_id."""
+    docs = scanned(docs)
     found = exact_dedup(docs, with_loc=True)
     return without(docs, found.where(~F.col("kept")).select("__loc").checkpoint())
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 3-word shingle Jaccard >= 0.7 stays, the first by (doc_id, place)."""
-    placed = located(docs).select(F.struct("doc_id", F.col("__loc.file").alias("file"), F.col("__loc.row").alias("row")).alias("doc"), "text")
+    docs = scanned(docs)
+    placed = located(docs.select("doc_id", "text")).select(F.struct("doc_id", F.col("__loc.file").alias("file"), F.col("__loc.row").alias("row")).alias("doc"), "text")
     groups = jaccard_groups(placed, "doc")
     dropped = groups.where(F.col("component_id") != F.col("doc")).select(F.struct("doc.file", "doc.row").alias("__loc"))
     return without(docs, dropped.checkpoint())
