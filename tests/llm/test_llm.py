@@ -51,35 +51,15 @@ def docs(spark, tmp_path_factory):
     return rows, spark.read.parquet(path), spark.createDataFrame([], SCHEMA)
 
 
-def test_line_dedup(docs):
-    from palimpsest.llm.lines import dedup_lines
-
-    rows, df, empty = docs
-    seen, gone = set(), collections.defaultdict(set)
-    for d, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        full = [(n, x) for n, x in enumerate((t or "").split("\n")) if x.strip(" \t\x0b\f\r")]
-        wins = [[a, b] for a, b in zip(full, full[1:]) if len(words(a[1] + " " + b[1])) >= 10] + [[a] for a in full if len(words(a[1])) >= 40]
-        for w in sorted(wins, key=lambda w: w[0][0]):
-            key = tuple(x for _, x in w)
-            if key in seen:
-                gone[d] |= {n for n, _ in w}
-            seen.add(key)
-    got = {r["doc_id"]: r for r in dedup_lines(df).collect()}
-    assert len(got) == len(rows) and any(gone.values())
-    for d, t, *_ in rows:
-        assert set(got[d]["__gone"]) == gone[d]
-        assert got[d]["text"] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d]))
-    assert dedup_lines(empty).count() == 0
-
-
-def test_run_dedup(spark, docs):
+def test_line_dedup(spark, docs):
     """Against all pairs of places: short lines in long runs, single lines, extension both ways, self-overlap."""
-    from palimpsest.llm.lines import dedup_runs
+    from palimpsest.llm.lines import dedup_lines
 
     r = np.random.default_rng(3)
     pool = [" ".join(r.choice(["a", "b", "c"], int(n))) for n in (1, 1, 2, 3, 4, 4, 12, 30)] + ["", " "]
     verse = "\n".join(f"v{i} b c d" for i in range(20))
     texts = [verse, f"x\n{verse}\ny", "one two three\nfour five six\n" + "z " * 30 + "\ne", "q\none two three\nfour five six\n" + "z " * 30 + "\nf", "k l m n\n" * 9, None]
+    texts += ["\n".join(f"f{i} g h j" for i in range(12))] * 2
     texts += ["\n".join(r.choice(pool, int(n))) for n in r.integers(1, 14, 60)] + [t for _, t, *_ in docs[0]]
     full = [[(n, x, len(words(x))) for n, x in enumerate((t or "").split("\n")) if words(x)] for t in texts]
     places = [(d, i) for d, lines in enumerate(full) for i in range(len(lines))]
@@ -95,9 +75,13 @@ def test_run_dedup(spark, docs):
             if sum(k for *_, k in full[d][i : i + m]) >= 10:
                 gone[d] |= {n for n, *_ in full[d][i : i + m]}
         at[line].append((d, i))
-    got = {x["doc_id"]: set(x["__gone"]) for x in dedup_runs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
-    assert got == {d: gone[d] for d in range(len(texts))}
-    assert len(gone[1]) == 20 and gone[3] == {1, 2, 3} and len(gone[4]) == 8
+    clash = spark.createDataFrame([(d, t, "k", d, "m") for d, t in enumerate(texts)], "doc_id bigint, text string, __loc string, fkey int, _metadata string")
+    rows = {x["doc_id"]: x for x in dedup_lines(clash).collect()}
+    assert {d: set(x["__gone"]) for d, x in rows.items()} == {d: gone[d] for d in range(len(texts))}
+    for d, t in enumerate(texts):
+        assert rows[d]["text"] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d])) and rows[d]["__loc"] == "k" and rows[d]["fkey"] == d
+    assert dedup_lines(docs[2]).count() == 0
+    assert len(gone[1]) == 20 and gone[3] == {1, 2, 3} and len(gone[4]) == 8 and len(gone[7]) == 12
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
