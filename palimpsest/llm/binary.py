@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm.common import binary_column
+from palimpsest.llm.common import binary_column, saved, scratch_dir, small_batches
 from palimpsest.llm.tokens import encoder, proof
 
 ROW = 2048
@@ -80,6 +80,7 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
 def pack_rows(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", row: int = ROW, pool: int = POOL, pad_id: int = PAD_ID) -> DataFrame:
     """One row per packed row: sequence_id, ids (row little-endian unsigned 32-bit ids), cu_seqlens (from 0 to the used
     length), positions (as ids, 0 from each segment's start, also in the padding), and per segment docs, starts, doc_tokens."""
+    small_batches(docs.sparkSession)
     known = proof(docs.sparkSession, tokenizer)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"sequence_id bigint, ids binary, cu_seqlens array<int>, positions binary, docs array<{kind}>, starts array<bigint>, doc_tokens array<bigint>"
@@ -149,9 +150,14 @@ def segments(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return packed.mapInArrow(run, f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint, resets boolean")
 
 
+def table_schema(b: pa.RecordBatch) -> pa.Schema:
+    """Of the columns that name a row's segments: sequence_id, docs, starts, doc_tokens."""
+    return pa.schema([b.schema.field(i) for i in (0, 4, 5, 6)])
+
+
 def write_binary(packed: DataFrame, folder: str, row: int = ROW) -> DataFrame:
     """Writes each task's rows as ids-N.u32 and positions-N.u32 (rows x row matrices), cu_seqlens-N.i32 with its row
-    offsets row_starts-N.i64, and meta-N.json. Files are written under a temporary name and renamed, so a repeated task
+    offsets row_starts-N.i64, the segments' documents in segments-N.arrow, and meta-N.json. Files are written under a temporary name and renamed, so a repeated task
     leaves whole files. folder is a path or URI every executor can write. Returns (part, rows, tokens) per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,20 +167,24 @@ def write_binary(packed: DataFrame, folder: str, row: int = ROW) -> DataFrame:
         target.create_dir(path, recursive=True)
         ctx = TaskContext.get()
         part, suffix = ctx.partitionId(), f".tmp-{ctx.taskAttemptId()}"
-        names = [f"ids-{part}.u32", f"positions-{part}.u32", f"cu_seqlens-{part}.i32", f"row_starts-{part}.i64"]
+        names = [f"ids-{part}.u32", f"positions-{part}.u32", f"cu_seqlens-{part}.i32", f"row_starts-{part}.i64", f"segments-{part}.arrow"]
         rows = tokens = cut = 0
-        out = None
+        out, table = None, None
         for b in batches:
             if b.num_rows and out is None:
                 out = [target.open_output_stream(f"{path}/{n}{suffix}") for n in names]
+                table = pa.ipc.new_stream(out[4], table_schema(b))
             for ids, cu, positions in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 out[0].write(ids)
                 out[1].write(positions)
                 out[2].write(np.array(cu, "<i4").tobytes())
                 out[3].write(np.array([cut], "<i8").tobytes())
                 rows, tokens, cut = rows + 1, tokens + cu[-1], cut + len(cu)
+            if b.num_rows:
+                table.write_batch(pa.RecordBatch.from_arrays([b.column(i) for i in (0, 4, 5, 6)], schema=table_schema(b)))
         if out is not None:
             out[3].write(np.array([cut], "<i8").tobytes())
+            table.close()
             for f, n in zip(out, names):
                 f.close()
                 target.move(f"{path}/{n}{suffix}", f"{path}/{n}")
@@ -185,6 +195,32 @@ def write_binary(packed: DataFrame, folder: str, row: int = ROW) -> DataFrame:
     return packed.mapInArrow(run, "part bigint, rows bigint, tokens bigint")
 
 
+def read_binary(written: DataFrame, folder: str, like: DataFrame, row: int = ROW) -> DataFrame:
+    """Packed rows, as pack_rows made them (like has their schema), from the files that write_binary wrote for each part of written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        target, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        for b in batches:
+            for part in b.column(0).to_pylist():
+                ids, positions, cuts, starts, table = (target.open_input_file(f"{path}/{n}") for n in (f"ids-{part}.u32", f"positions-{part}.u32", f"cu_seqlens-{part}.i32", f"row_starts-{part}.i64", f"segments-{part}.arrow"))
+                begun = int(np.frombuffer(starts.read(8), "<i8")[0])
+                for own in pa.ipc.open_stream(table):
+                    ends = np.frombuffer(starts.read(8 * own.num_rows), "<i8")
+                    cu = np.frombuffer(cuts.read(4 * int(ends[-1] - begun)), "<i4")
+                    at = np.concatenate([[begun], ends]) - begun
+                    begun = int(ends[-1])
+                    whole = [pa.array([f.read(4 * row) for _ in range(own.num_rows)], pa.binary()) for f in (ids, positions)]
+                    cols = [own.column(0), whole[0], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(cu, pa.int32())), whole[1], *own.columns[1:]]
+                    yield pa.RecordBatch.from_arrays(cols, names=["sequence_id", "ids", "cu_seqlens", "positions", "docs", "starts", "doc_tokens"])
+
+    return written.select("part").mapInArrow(run, like.schema)
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return segments(pack_rows(docs, public_tokenizers.path("word_bpe_49k.json")))
+    """Segments read back from the files that were written."""
+    packed = pack_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    folder = scratch_dir(spark)
+    written = saved(write_binary(packed, f"{folder}/files"), "written")
+    return segments(read_binary(written.repartition(max(1, written.count())), f"{folder}/files", packed))

@@ -12,8 +12,10 @@ probability RECALL. Pairs closer than the threshold collide more often.
 Windows are an equi-join on (group, cell, slot), slots being as wide as the window, so Spark sorts, spills and splits
 them; no group is gathered in one task. Equal vectors are one node.
 
-Cases: a null, empty or zero vector, or one with a null, NaN or infinite component, or of another length than
-most (ties: the longer), links with nothing; repeated rows link as equal vectors; the smallest id of a component is kept,
+Vectors of several lengths are projected each on as many components as it has, share cells only with vectors of their
+length, and so never link across lengths.
+
+Cases: a null, empty or zero vector, or one with a null, NaN or infinite component, links with nothing; repeated rows link as equal vectors; the smallest id of a component is kept,
 ties of id all; null ids are ordered first; an empty table gives no rows; other columns are ignored.
 """
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import components, saved
+from palimpsest.llm.common import components, saved, small_batches
 
 RECALL, COUNT = 0.998, 2
 #: Half width of a window in standard deviations of the projected difference at the threshold.
@@ -48,7 +50,8 @@ def calibrate(n: int, threshold: float) -> tuple[int, int, float]:
 
 
 def project(vectors: DataFrame, dim: int, k: int, groups: int, window: float, seed: int) -> DataFrame:
-    """(node, cell, slot, at) per vector and group; the cell includes the group, and neighbours look one slot up."""
+    """(node, dim, cell, slot, at) per vector and group; the cell includes the group, and neighbours look one slot up. dim
+    is the greatest length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(seed).standard_normal((groups, dim, k + 1))
@@ -56,14 +59,17 @@ def project(vectors: DataFrame, dim: int, k: int, groups: int, window: float, se
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 b = whole.slice(start, 2000)
-                x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64).reshape(-1, dim)
-                node = b.column(0).to_numpy()
-                for g in range(groups):
-                    y = x @ planes[g]
-                    cell = ((y[:, :k] > 0) @ weights) * groups + g
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(cell), pa.array(np.floor(y[:, k] / window).astype(np.int32)), pa.array(y[:, k])], names=["node", "cell", "slot", "at"])
+                units, nodes = b.column(1).to_pylist(), b.column(0).to_numpy()
+                sizes = np.array([len(u) // 8 for u in units])
+                for d in np.unique(sizes):
+                    own = np.flatnonzero(sizes == d)
+                    x = np.frombuffer(b"".join([units[i] for i in own]), np.float64).reshape(-1, d)
+                    for g in range(groups):
+                        y = x @ planes[g, :d]
+                        cell = ((y[:, :k] > 0) @ weights) * groups + g
+                        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(np.full(len(own), d, np.int32)), pa.array(cell), pa.array(np.floor(y[:, k] / window).astype(np.int32)), pa.array(y[:, k].astype(np.float32))], names=["node", "dim", "cell", "slot", "at"])
 
-    return vectors.mapInArrow(run, "node bigint, cell bigint, slot int, at double")
+    return vectors.mapInArrow(run, "node bigint, dim int, cell bigint, slot int, at float")
 
 
 def usable(vec: Column) -> Column:
@@ -90,20 +96,23 @@ def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cosines(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float64).reshape(b.num_rows, -1)
-            y = np.frombuffer(b"".join(b.column(3).to_pylist()), np.float64).reshape(b.num_rows, -1)
-            yield b.select(["a", "b"]).filter(pa.array((x * y).sum(1) >= threshold))
+            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
+            sizes, near = np.array([len(u) for u in left]), np.zeros(b.num_rows, bool)
+            for d in np.unique(sizes):
+                own = np.flatnonzero(sizes == d)
+                x, y = (np.frombuffer(b"".join([c[i] for i in own]), np.float64).reshape(len(own), -1) for c in (left, right))
+                near[own] = (x * y).sum(1) >= threshold
+            yield b.select(["a", "b"]).filter(pa.array(near))
 
 
 def near_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, seed: int = 5) -> DataFrame:
     """One row per row of table: id_col, n_links, component_id, kept."""
+    small_batches(table.sparkSession)
     kind = table.schema[id_col].dataType.simpleString()
     vec = table[vector_col]
     rows = table.select(table[id_col].alias("id"), F.when(usable(vec), vec.cast("array<double>")).alias("v")).mapInArrow(normalise, f"id {kind}, unit binary")
     rows = saved(rows, "units")
-    sizes = rows.where("unit is not null").groupBy(F.octet_length("unit").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    dim = (sizes["n"] if sizes else 8) // 8
-    rows = rows.withColumn("unit", F.when(F.octet_length("unit") == dim * 8, F.col("unit")))
+    dim = (rows.agg(F.max(F.octet_length("unit"))).first()[0] or 8) // 8
     # Nodes by content; the hash is checked, and a collision would only need another salt.
     salt = 0
     while True:
@@ -115,9 +124,9 @@ def near_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         salt += 1
     k, groups, window = calibrate(n, threshold)
     points = project(nodes.select("node", "unit"), dim, k, groups, window, seed)
-    left = points.select("cell", F.col("node").alias("a"), F.col("at").alias("at_a"), F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"), F.col("slot").alias("own"))
-    right = points.select("cell", "slot", F.col("node").alias("b"), F.col("at").alias("at_b"))
-    met = left.join(right, ["cell", "slot"]).where((F.abs(F.col("at_a") - F.col("at_b")) <= window) & ((F.col("own") < F.col("slot")) | (F.col("a") < F.col("b"))))
+    left = points.select("dim", "cell", F.col("node").alias("a"), F.col("at").alias("at_a"), F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"), F.col("slot").alias("own"))
+    right = points.select("dim", "cell", "slot", F.col("node").alias("b"), F.col("at").alias("at_b"))
+    met = left.join(right, ["dim", "cell", "slot"]).where((F.abs(F.col("at_a") - F.col("at_b")) <= window) & ((F.col("own") < F.col("slot")) | (F.col("a") < F.col("b"))))
     counted = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= COUNT)
     units = nodes.select("node", "unit")
     pairs = counted.join(units.select(F.col("node").alias("a"), F.col("unit").alias("x")), "a").join(units.select(F.col("node").alias("b"), F.col("unit").alias("y")), "b").select("a", "b", "x", "y")

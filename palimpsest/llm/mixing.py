@@ -2,8 +2,8 @@
 
 Documents are aggregated by membership pattern (the set of sources they belong to). Targets share a multiple of all
 sizes by weight, stop at max_copies times a source's size and reshare the excess. Capacity of each pattern is routed
-to source quotas; its r-th repetition costs r, so cost is convex and repeats come last. Where no document has two
-sources the optimum is the target itself and nothing is solved on the driver. Documents are then selected in seeded
+to source quotas by a min-cost flow; its r-th repetition costs r, so cost is convex and repeats come last. Where no
+document has two sources and there are more patterns than the solver takes, the optimum is known: the target itself. Documents are then selected in seeded
 hash order: prefix sums over hash bins and, inside the one bin where a quota ends, over documents give a threshold
 key per quota; later passes fill what is left with documents that still fit. A decision is a function of (pattern, key,
 size), so no text is shuffled and a source holding most rows is never in one task.
@@ -26,7 +26,7 @@ from palimpsest.llm.common import saved
 
 #: Rows of a per-pattern table up to which it is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
-#: Patterns and sources that the flow solver takes; more overlapping patterns raise an error.
+#: Patterns and sources that the flow solver takes on the driver; more overlapping patterns raise an error.
 SOLVER_NODES = 200_000
 BINS_SHIFT = 52
 PASSES = 3
@@ -148,12 +148,13 @@ class Mix:
         self.n_patterns = patterns.count()
         sources = patterns.select(F.explode("pattern").alias("source"), "mass").groupBy("source").agg(F.sum("mass").alias("source_size"))
         self.targets = targets(sources, weights, share, max_copies).checkpoint()
-        if patterns.where(F.size("pattern") > 1).isEmpty():
+        nodes = self.n_patterns + self.targets.count()
+        if nodes > SOLVER_NODES and patterns.where(F.size("pattern") > 1).isEmpty():
             one = F.col("pattern")[0]
             routed = patterns.join(self.targets, one == F.col("source")).select("pattern", "mass", F.round("target").cast("bigint").alias("amount"), "source")
             routed = routed.select("pattern", "mass", "amount", F.array(F.struct("source", F.col("amount").alias("till"))).alias("routes"))
         else:
-            if self.n_patterns + self.targets.count() > SOLVER_NODES:
+            if nodes > SOLVER_NODES:
                 raise ValueError(f"more than {SOLVER_NODES} patterns and sources")
             capacity = {tuple(r["pattern"]): r["mass"] for r in patterns.collect()}
             quota = {r["source"]: round(r["target"]) for r in self.targets.collect()}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm.common import binary_column
+from palimpsest.llm.common import binary_column, small_batches
 from palimpsest.llm.tokens import encoder, proof
 
 TIERS = (4096, 2048, 1024, 512, 256, 128)
@@ -138,6 +138,7 @@ def step_groups(sequences: list[tuple[int, list[Piece]]], step: int) -> list[int
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, pool: int = POOL, step: int = STEP, with_ids: bool = False) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, window, step_id (and ids)."""
+    small_batches(docs.sparkSession)
     known = proof(docs.sparkSession, tokenizer)
     end = end_id.to_bytes(4, "little")
     kind = docs.schema[id_col].dataType.simpleString()

@@ -22,7 +22,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm.common import binary_column
+from palimpsest.llm.common import binary_column, small_batches
 
 #: Entries a worker remembers before it forgets all but the proven list.
 MEMO = 600_000
@@ -164,6 +164,7 @@ def proof(spark: SparkSession, path: str):
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """One row per document: id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
+    small_batches(docs.sparkSession)
     known = proof(docs.sparkSession, tokenizer)
     kind = docs.schema[id_col].dataType
 
