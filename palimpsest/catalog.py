@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 import zlib
 
 FORMAT = 1
@@ -26,6 +27,7 @@ class Locked(StoreError):
 class Catalog:
     def __init__(self, folder: str, fsync: bool = True):
         self.folder, self.log, self.fsync = folder, f"{folder}/_log", fsync
+        self.owner = f"{os.getpid()}-{uuid.uuid4().hex}"
 
     def _file(self, n: int) -> str:
         return f"{self.log}/{n:020d}.json"
@@ -96,7 +98,9 @@ class Catalog:
         os.makedirs(self.log, exist_ok=True)
         for _ in range(tries):
             try:
-                os.close(os.open(f"{self.log}/.lock", os.O_CREAT | os.O_EXCL))
+                fd = os.open(f"{self.log}/.lock", os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+                os.write(fd, self.owner.encode())
+                os.close(fd)
                 return
             except FileExistsError:
                 time.sleep(wait)
@@ -105,9 +109,16 @@ class Catalog:
     def lock_held(self) -> bool:
         return os.path.exists(f"{self.log}/.lock")
 
-    def unlock(self) -> None:
-        if self.lock_held():
-            os.unlink(f"{self.log}/.lock")
+    def unlock(self, force: bool = False) -> None:
+        """Gives up the own lock; force breaks that of another holder, who is taken to be gone."""
+        try:
+            with open(f"{self.log}/.lock") as f:
+                holder = f.read()
+        except FileNotFoundError:
+            return
+        if holder != self.owner and not force:
+            raise Locked(f"{self.folder!r} is locked by {holder}")
+        os.unlink(f"{self.log}/.lock")
 
     def trim(self, keep: int) -> int:
         """Drops all but the newest generations; returns how many went."""

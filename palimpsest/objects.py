@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from palimpsest.functions.text import glued
 from palimpsest.operators.chunking import chunks
 from palimpsest.operators.merge import merge_bytes
-from palimpsest.storage import saved
+from palimpsest.storage import Parts, saved
 
 def placed(extents: DataFrame) -> DataFrame:
     """extents with start, the byte each begins at in its version."""
@@ -52,17 +52,63 @@ class ByteStore:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.store = spark.createDataFrame([], "cid binary, payload binary, nbytes bigint")
-        self.extents = spark.createDataFrame([], "object string, version bigint, seq bigint, cid binary, off bigint, len bigint")
+        self._store = Parts(spark.createDataFrame([], "cid binary, payload binary, nbytes bigint"))
+        self._extents = Parts(spark.createDataFrame([], "object string, version bigint, seq bigint, cid binary, off bigint, len bigint"))
         self.sizes: dict[str, list[int]] = {}
-        self.seen = 0
 
-    def _ingest(self, name: str, data: bytes, average: int, fixed: bool) -> DataFrame:
-        cut = saved(chunks(self.spark.createDataFrame([(name, bytearray(data))], "object string, data binary"), "object", "data", average, fixed), "chunks")
-        fresh = cut.dropDuplicates(["cid"]).join(self.store.select("cid"), "cid", "left_anti")
-        self.store = saved(self.store.unionByName(fresh.select("cid", "payload", "nbytes")), "store")
+    @property
+    def store(self) -> DataFrame:
+        """(cid, payload, nbytes): the chunks, each once."""
+        return self._store.all()
+
+    @property
+    def extents(self) -> DataFrame:
+        return self._extents.all()
+
+    def _keep(self, cut: DataFrame) -> DataFrame:
+        """Adds the chunks that the store lacks; the extents of cut."""
+        self._store.add(cut.dropDuplicates(["cid"]).join(self.store.select("cid"), "cid", "left_anti"))
         return cut.select("object", "start", "cid", F.lit(0).cast("bigint").alias("off"), F.col("nbytes").alias("len"))
 
+    def _ingest(self, name: str, data: bytes, average: int, fixed: bool) -> DataFrame:
+        return self._keep(saved(chunks(self.spark.createDataFrame([(name, bytearray(data))], "object string, data binary"), "object", "data", average, fixed), "chunks"))
+
+    def create_all(self, df: DataFrame, name: str, payload: str, average: int = 4096, fixed: bool = False) -> int:
+        """An object per row of df, cut where the rows lie; only names and sizes reach the driver. Returns how many."""
+        rows = df.select(F.col(name).cast("string").alias("object"), F.coalesce(F.col(payload).cast("binary"), F.lit(bytearray())).alias("data"))
+        sizes = {r["object"]: r["n"] for r in rows.groupBy("object").agg(F.max(F.octet_length("data")).alias("n"), F.count("*").alias("k")).where("k = 1").collect()}
+        if len(sizes) < rows.count() or any(x is None or len(x.encode()) > 63 or x in self.sizes for x in sizes):
+            raise ValueError("names must be new, distinct and of at most 63 bytes")
+        cut = saved(chunks(rows, "object", "data", average, fixed), "chunks")
+        self._extents.add(self._keep(cut).join(cut.select("object", "start", "seq"), ["object", "start"]).withColumn("version", F.lit(0).cast("bigint")))
+        self.sizes |= {x: [n] for x, n in sizes.items()}
+        return len(sizes)
+
+    def create_files(self, path: str, average: int = 4096) -> int:
+        """An object per file under path that has bytes (Spark's scan passes over empty ones), named by the last part of its path."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        return self.create_all(files.withColumn("name", F.element_at(F.split("path", "/"), -1)), "name", "content", average)
+
+    def save(self, path: str, raw: bool = False) -> int:
+        """Writes the chunks and extents that path lacks and commits; returns the generation."""
+        from palimpsest.catalog import Catalog
+
+        cat, codec = Catalog(path), "none" if raw else "zstd"
+        return cat.commit(cat.generation(), {"kind": "objects", "sizes": self.sizes, "store": self._store.store(path, codec), "extents": self._extents.store(path, codec)})
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, generation: int | None = None) -> ByteStore:
+        from palimpsest.catalog import Catalog, StoreError
+
+        c = Catalog(path).read(generation)
+        if c["kind"] != "objects":
+            raise StoreError(f"{path!r} holds a {c['kind']}, not byte objects")
+        out = cls(spark)
+        out._store.load(path, c["store"])
+        out._extents.load(path, c["extents"])
+        out.sizes = c["sizes"]
+        return out
+
     def create(self, name: str, data: bytes, average: int = 4096, fixed: bool = False) -> None:
         if len(name.encode()) > 63:
             raise ValueError("a name has at most 63 bytes")
@@ -72,7 +118,7 @@ class ByteStore:
         self._append(name, splice(placed(self.extents.where("false")), 0, 0, self._ingest(name, data, average, fixed), 0), len(data))
 
     def _append(self, name: str, rows: DataFrame, size: int) -> int:
-        self.extents = saved(self.extents.unionByName(rows), "extents")
+        self._extents.add(rows)
         self.sizes[name].append(size)
         return len(self.sizes[name]) - 1
 
@@ -139,22 +185,21 @@ class ByteStore:
     def delete(self, name: str) -> None:
         self._version(name, -1)
         del self.sizes[name]
-        self.extents = saved(self.extents.where(F.col("object") != name), "extents")
+        self._extents.replace(self.extents.where(F.col("object") != name))
 
     def trim_history(self, name: str, keep: int) -> int:
         """Keeps the newest versions, renumbered from 0; returns how many went."""
         drop = max(len(self.sizes[name]) - max(keep, 1), 0)
         mine = F.col("object") == name
-        self.extents = saved(self.extents.where(~mine | (F.col("version") >= drop)).withColumn("version", F.when(mine, F.col("version") - drop).otherwise(F.col("version"))), "extents")
+        self._extents.replace(self.extents.where(~mine | (F.col("version") >= drop)).withColumn("version", F.when(mine, F.col("version") - drop).otherwise(F.col("version"))))
         self.sizes[name] = self.sizes[name][drop:]
         return drop
 
     def vacuum(self) -> int:
         """Drops chunks no version uses."""
-        live = saved(self.store.join(self.extents.select("cid").distinct(), "cid", "left_semi"), "store")
-        n = self.store.count() - live.count()
-        self.store = live
-        return n
+        before = self.store.count()
+        self._store.replace(self.store.join(self.extents.select("cid").distinct(), "cid", "left_semi"))
+        return before - self.store.count()
 
     def range_changed(self, name: str, a: int, b: int, offset: int, length: int) -> bool:
         """Whether bytes [offset, offset + length) differ in how they are made up; false only if they are equal."""
@@ -167,7 +212,7 @@ class ByteStore:
     def range_history(self, name: str, offset: int, length: int, limit: int | None = None) -> list[int]:
         """Versions in which the range's make-up differs from the version before, in one pass over all manifests."""
         w = window(placed(self.extents.where(F.col("object") == name)), offset, offset + length)
-        sig = w.groupBy("version").agg(F.hash(F.array_sort(F.collect_list(F.struct((F.col("start") - offset).alias("rel"), "cid", "off", "len")))).alias("h"))
+        sig = w.groupBy("version").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct((F.col("start") - offset).alias("rel"), "cid", "off", "len")))).cast("binary"), 256).alias("h"))
         every = self.spark.range(len(self.sizes[name])).withColumnRenamed("id", "version").join(sig, "version", "left")
         order = Window.orderBy("version")  # one row per version of one object
         out = [r["version"] for r in every.withColumn("was", F.lag("h").over(order)).where("version > 0 and not (h <=> was)").orderBy("version").collect()]

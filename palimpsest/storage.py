@@ -23,6 +23,50 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+class Parts:
+    """A table that only grows: each addition is written once, and many small parts are merged into one."""
+
+    MOST = 16
+
+    def __init__(self, empty: DataFrame):
+        self.schema, self.spark = empty.schema, empty.sparkSession
+        #: (rows, the name of their copy in a store or None).
+        self.parts: list[tuple[DataFrame, str | None]] = []
+
+    def all(self) -> DataFrame:
+        out = self.spark.createDataFrame([], self.schema)
+        for rows, _ in self.parts:
+            out = out.unionByName(rows)
+        return out
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        rows = saved(rows.select(*self.schema.names), "part")
+        self.parts.append((rows, None))
+        fresh = [i for i, (_, name) in enumerate(self.parts) if name is None]
+        if len(fresh) > self.MOST:
+            merged = self.parts[fresh[0]][0]
+            for i in fresh[1:]:
+                merged = merged.unionByName(self.parts[i][0])
+            self.parts = [p for p in self.parts if p[1] is not None] + [(saved(merged, "part"), None)]
+        return rows
+
+    def replace(self, rows: DataFrame) -> None:
+        self.parts = [(saved(rows.select(*self.schema.names), "part"), None)]
+
+    def store(self, path: str, codec: str = "zstd") -> list[str]:
+        """Writes what path lacks and returns the names of all parts, for a commit."""
+        for i, (rows, name) in enumerate(self.parts):
+            if name is None or not name.startswith(f"{path}/"):
+                name = f"{path}/part-{uuid.uuid4().hex}"
+                rows.write.option("compression", codec).parquet(name)
+                self.parts[i] = (rows, name)
+        return [name.rpartition("/")[2] for _, name in self.parts]
+
+    def load(self, path: str, names: list[str]) -> Parts:
+        self.parts = [(self.spark.read.schema(self.schema).parquet(f"{path}/{n}"), f"{path}/{n}") for n in names]
+        return self
+
+
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as Parquet to shared scratch storage and read back."""
     path = f"{scratch_dir(df.sparkSession)}/{name}"

@@ -6,6 +6,7 @@ version is read, so Catalyst prunes and folds them; compact_column and compact w
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -48,6 +49,8 @@ class State:
     ops: list[Op] = field(default_factory=list)
     #: Changes where row ids change their meaning: only compact() does that.
     numbering: int = 0
+    #: Where a store holds the base; set_column makes another one.
+    stored: str | None = None
 
 
 class Table:
@@ -167,7 +170,7 @@ class Table:
         if have != got or values.count() != have:
             raise ValueError(f"{values.count()} values for {have} rows")
         name = f"__set{self.versions}_{column}"
-        state.base = state.base.join(values.select("row_id", F.col("value").alias(name)), "row_id")
+        state.base, state.stored = state.base.join(values.select("row_id", F.col("value").alias(name)), "row_id"), None
         return self._push(column, "set", name)
 
     def pending_ops(self, column: str) -> int:
@@ -253,14 +256,13 @@ class Table:
 
     def touched_versions(self, row_id: int, column: str) -> list[int]:
         """The table versions in which a cell changed or its row went."""
-        seen, last = [], None
-        for v in range(self.versions):
-            r = self.rows(v, [column]).where(F.col("row_id") == row_id).select(F.col(f"`{column}`")).first()
-            now = ("gone",) if r is None else ("is", r[0])
-            if last is not None and now != last:
-                seen.append(v)
-            last = now
-        return seen
+        c = F.col(f"`{column}`")
+        each = [self.rows(v, [column]).where(F.col("row_id") == row_id).select(F.lit(v).alias("v"), c.alias("x")) for v in range(self.versions)]
+        rows = each[0]
+        for r in each[1:]:
+            rows = rows.unionByName(r)
+        now = {r["v"]: ("is", r["x"]) for r in rows.collect()}  # one job; a row a version at most
+        return [v for v in range(1, self.versions) if now.get(v) != now.get(v - 1)]
 
     def distinct_exact(self, column: str, version: int = -1) -> int:
         """Distinct values over physical rows, null counting as one."""
@@ -277,6 +279,55 @@ class Table:
         counts = rows.agg(F.count("*").alias("n"), F.count_if(c.isNull()).alias("nulls"))
         return counts.join(sketch.estimate(sketch.registers(rows.select(c.alias("v")), "v")))
 
+    # persistence
+    def save(self, path: str, raw: bool = False) -> int:
+        """Commits the table under path: bases are written once, whatever the number of versions over them, and edits are
+        kept as operations in the commit. Edits by a Column function have no lasting form and are folded first, which
+        makes a version. Returns the generation."""
+        from palimpsest.catalog import Catalog
+
+        for c in {op.column for op in self.states[-1].ops if op.kind == "expr"}:
+            self.compact_column(c)
+        if any(op.kind == "expr" for s in self.states[:-1] for op in s.ops):
+            self._forget_functions(path)
+        cat, codec, n = Catalog(path), "none" if raw else "zstd", uuid.uuid4().hex
+        for s in self.states:
+            if s.stored is None or not s.stored.startswith(f"{path}/"):
+                s.stored = f"{path}/base-{uuid.uuid4().hex}"
+                s.base.write.option("compression", codec).parquet(s.stored)
+        self.dead.write.option("compression", codec).parquet(f"{path}/dead-{n}")
+        states = [{"base": s.stored.rpartition("/")[2], "first": s.first, "numbering": s.numbering, "ops": [[op.version, op.column, op.kind, [list(a.items()) if isinstance(a, dict) else a for a in op.args]] for op in s.ops]} for s in self.states]
+        body = {"kind": "table", "columns": self.columns, "latest": self.lineage.latest, "roots": self.lineage.roots, "states": states, "dead": f"dead-{n}"}
+        return cat.commit(cat.generation(), body)
+
+    def _forget_functions(self, path: str) -> None:
+        """Older generations that hold an edit by a function: versions with it become bases of their own."""
+        out = []
+        for i, s in enumerate(self.states):
+            marks = sorted({op.version for op in s.ops if op.kind == "expr"})
+            plain = [op for op in s.ops if op.kind != "expr" and (not marks or op.version < marks[0])]
+            out.append(State(s.base, s.first, plain, s.numbering, s.stored))
+            end = self.states[i + 1].first if i + 1 < len(self.states) else self.lineage.latest + 1
+            for v in range(marks[0], end) if marks else ():
+                out.append(State(saved(self.physical(v), "base"), v, [], s.numbering))
+                born = self.dead.where((F.col("born") == s.first) & (F.col("removed_v") <= end)).withColumn("born", F.lit(v).cast("bigint"))
+                self.dead = self.dead.unionByName(born)
+        self.states = out
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, generation: int | None = None) -> Table:
+        from palimpsest.catalog import Catalog, StoreError
+
+        c = Catalog(path).read(generation)
+        if c["kind"] != "table":
+            raise StoreError(f"{path!r} holds a {c['kind']}, not a table")
+        out = cls.__new__(cls)
+        out.spark, out.columns, out.lineage = spark, c["columns"], Lineage([tuple(r) for r in c["roots"]], c["latest"])
+        op = lambda v, column, kind, args: Op(v, column, kind, (dict(map(tuple, args[0])),) if kind == "map" else tuple(args))
+        out.states = [State(spark.read.parquet(f"{path}/{s['base']}"), s["first"], [op(*x) for x in s["ops"]], s["numbering"], f"{path}/{s['base']}") for s in c["states"]]
+        out.dead = spark.read.schema("row_id bigint, removed_v bigint, born bigint").parquet(f"{path}/{c['dead']}")
+        return out
+
     def to_parquet(self, path: str, version: int = -1) -> None:
         self.rows(version).drop("row_id").write.parquet(path)
 
