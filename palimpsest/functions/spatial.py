@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from palimpsest.functions.codec import residual, restore
+
 AXES = ("x", "y", "z")
 
 
@@ -27,6 +29,16 @@ def byte_levels(c: Column, low: Column, span: Column) -> Column:
     return F.round((c - low) / F.when(span == 0, 1.0).otherwise(span) * 255).cast("int")
 
 
+def exact_encode(c: Column, step: float) -> Column:
+    """The nearest multiple of step and the bits that make up the difference, so that decoding gives c bit for bit."""
+    q = grid_encode(c, step)
+    return F.struct(q.alias("q"), residual(c, grid_decode(q, step)).alias("bits"))
+
+
+def exact_decode(e: Column, step: float) -> Column:
+    return restore(grid_decode(e["q"], step), e["bits"])
+
+
 def spread(v: Column) -> Column:
     """Bits of a 21-bit number three apart."""
     x = v.bitwiseAND(0x1FFFFF)

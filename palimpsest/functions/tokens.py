@@ -5,12 +5,16 @@ Token ids are positive; id ESCAPE + b stands for the byte b of text outside the
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import UNIT, glued, pair_counts, units
+from palimpsest.functions.text import PAIRS_HELD, UNIT, glued, units
+from palimpsest.storage import saved
 
 ESCAPE = 0xFFFFFF00
 MOST_UNITS, MOST_BYTES = 12, 64
@@ -31,39 +35,82 @@ def learn(df: DataFrame, text: str, known: DataFrame | None = None) -> DataFrame
     return known.select("id", "text").unionByName(fresh.select("id", "text"))
 
 
-def train(df: DataFrame, text: str, merges: int = 1000, min_count: int = 4) -> DataFrame:
-    """The learned dictionary with the most frequent unit pairs as further entries, ties by text."""
-    base = learn(df, text)
-    top = pair_counts(df, text).where(F.col("n") >= min_count).withColumn("text", F.concat("a", "b")).where(F.octet_length("text") <= MOST_BYTES).orderBy(F.desc("n"), "text").limit(merges).select("text").distinct()
-    start = (base.agg(F.max("id")).first()[0] or 0) + 1
+def train(df: DataFrame, text: str, merges: int = 1000, min_count: int = 4, rounds: int = 1) -> DataFrame:
+    """The learned dictionary with frequent sequences of its entries as further ones. Each round cuts the texts greedily
+    by the dictionary so far and adds the most frequent adjacent pairs of up to 12 units and 64 bytes, ties by text; it
+    ends early when none is left. Only the new entries, `merges` a round at most, pass the driver."""
     from palimpsest.operators.ordering import global_rank
 
-    return base.unionByName(global_rank(top.join(base, "text", "left_anti"), [F.col("text")], "id", start).select("id", "text"))
+    known = saved(learn(df, text), "dictionary")
+    for _ in range(rounds):
+        entries = _broadcast(df, known)
+        fresh = _entry_pairs(df, text, entries).where(F.col("n") >= min_count).orderBy(F.desc("n"), "text").limit(merges).select("text")
+        fresh = saved(fresh, "merges")
+        if fresh.isEmpty():
+            break
+        start = (known.agg(F.max("id")).first()[0] or 0) + 1
+        known = saved(known.unionByName(global_rank(fresh, [F.col("text")], "id", start).select("id", "text")), "dictionary")
+    return known
+
+
+def _entry_pairs(df: DataFrame, text: str, entries) -> DataFrame:
+    """(text, n): how often two adjacent entries make up a text that isn't one yet."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([k.decode("utf-8", "replace") for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["text", "n"])
+            counts.clear()
+            return out
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                cut = list(_greedy(_UNIT.findall((t or "").encode()), entries.value))
+                for (x, m, i), (y, n, j) in zip(cut, cut[1:]):
+                    if i is not None and j is not None and m + n <= MOST_UNITS and len(x) + len(y) <= MOST_BYTES and x + y not in entries.value:
+                        counts[x + y] += 1
+                if len(counts) > PAIRS_HELD:
+                    yield flush()
+        yield flush()
+
+    return df.select(F.col(text).cast("string")).mapInArrow(run, "text string, n bigint").groupBy("text").agg(F.sum("n").alias("n"))
+
+
+def _greedy(u: list[bytes], ids: dict[bytes, int]) -> Iterator[tuple[bytes, int, int | None]]:
+    """(bytes, units, id) of the longest entry at each place; id None for a unit that isn't one."""
+    i = 0
+    while i < len(u):
+        for n in range(min(MOST_UNITS, len(u) - i), 0, -1):
+            x = b"".join(u[i : i + n])
+            if (k := ids.get(x)) is not None:
+                break
+        yield x, n, k
+        i += n
+
+
+def _broadcast(df: DataFrame, dictionary: DataFrame):
+    rows = dictionary.limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"the dictionary has more than {MOST_ENTRIES} entries")
+    return df.sparkSession.sparkContext.broadcast({(bytes(r["text"]) if not isinstance(r["text"], str) else r["text"].encode()): r["id"] for r in rows})
+
+
+def ruled_out(dictionary: DataFrame, needle: str) -> bool:
+    """Whether no text of which the dictionary was learned can hold needle: its inner units are whole units of such a
+    text, so one that is short enough to be an entry and isn't rules it out."""
+    inner = [x.decode() for x in _UNIT.findall(needle.encode())[1:-1] if len(x) <= MOST_BYTES]
+    return bool(inner) and dictionary.where(F.col("text").isin(inner)).select("text").distinct().count() < len(set(inner))
 
 
 def tokenize(df: DataFrame, text: str, dictionary: DataFrame, out: str = "tokens") -> DataFrame:
     """df with token ids: the longest dictionary entry over up to 12 units at each place, else the unit's bytes escaped."""
-    rows = dictionary.limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"the dictionary has more than {MOST_ENTRIES} entries")
-    known = df.sparkSession.sparkContext.broadcast({(bytes(r["text"]) if not isinstance(r["text"], str) else r["text"].encode()): r["id"] for r in rows})
+    known = _broadcast(df, dictionary)
 
     @F.pandas_udf("array<bigint>")
     def run(s: pd.Series) -> pd.Series:
-        ids, result = known.value, []
-        for t in s:
-            u, out_ids, i = _UNIT.findall((t or "").encode()), [], 0
-            while i < len(u):
-                for n in range(min(MOST_UNITS, len(u) - i), 0, -1):
-                    if (k := ids.get(b"".join(u[i : i + n]))) is not None:
-                        out_ids.append(k)
-                        i += n
-                        break
-                else:
-                    out_ids += [ESCAPE + b for b in u[i]]
-                    i += 1
-            result.append(out_ids)
-        return pd.Series(result)
+        ids = known.value
+        cut = lambda t: [y for x, _, k in _greedy(_UNIT.findall((t or "").encode()), ids) for y in ([k] if k is not None else [ESCAPE + b for b in x])]
+        return s.map(cut)
 
     return df.withColumn(out, run(F.col(text)))
 

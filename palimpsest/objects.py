@@ -6,6 +6,8 @@ new manifest from the old one by expressions; bytes move only when new ones come
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,6 +49,20 @@ def assemble(extents: DataFrame, store: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "part"))).alias("p")).select(*by, glued("p", "part").alias("payload"))
 
 
+def range_aggregate(extents: DataFrame, store: DataFrame, low: int, high: int, *by: str) -> DataFrame:
+    """(by..., min, max, sum) of the bytes [low, high) of placed extents: each extent's part adds up in its task, so no
+    object is put together; objects without a byte there are left out."""
+    part = F.substr("payload", F.col("off").cast("int") + 1, F.col("len").cast("int"))
+
+    @F.pandas_udf("low int, high int, total bigint")
+    def fold(s: pd.Series) -> pd.DataFrame:
+        each = [np.frombuffer(bytes(x), np.uint8) for x in s]
+        return pd.DataFrame({"low": [int(x.min()) for x in each], "high": [int(x.max()) for x in each], "total": [int(x.sum(dtype=np.int64)) for x in each]})
+
+    rows = window(extents, low, high).where("len > 0").join(store.select("cid", "payload"), "cid").select(*by, fold(part).alias("f"))
+    return rows.groupBy(*by).agg(F.min("f.low").alias("min"), F.max("f.high").alias("max"), F.sum("f.total").alias("sum"))
+
+
 class ByteStore:
     """Named byte objects with history."""
 
@@ -232,6 +248,27 @@ class ByteStore:
         whole = assemble(placed(self.extents.join(F.broadcast(latest), ["object", "version"])), self.store, "object")
         return whole.select("object", F.explode(byte_offsets(F.col("payload"), needle)).alias("byte_off")).orderBy("object", "byte_off").limit(limit)
 
+    def aggregate(self, name: str, offset: int, length: int, version: int = -1) -> tuple[int, int, int] | None:
+        """Least byte, greatest byte and sum of a range of a version; None if it is empty. Ends needn't meet chunks."""
+        r = range_aggregate(self.at(name, version), self.store, max(offset, 0), max(offset, 0) + length, "object").first()
+        return (r["min"], r["max"], r["sum"]) if r else None
+
+    def extent_counts(self, name: str) -> DataFrame:
+        """(version, extents, fresh): the extents of each version, and those of chunks that the version before lacks."""
+        mine = self.extents.where(F.col("object") == name).select("version", "cid")
+        before = mine.select((F.col("version") + 1).alias("version"), "cid", F.lit(True).alias("had")).distinct()
+        return mine.join(before, ["version", "cid"], "left").groupBy("version").agg(F.count("*").alias("extents"), F.count_if(F.col("had").isNull()).alias("fresh"))
+
+    def cut_frames(self, name: str, frames: DataFrame, first: int, end: int) -> int:
+        """Removes the frames [first, end) of a video of which frames (idx, start, nbytes, idr) are the table. end must be
+        a key frame or lie past the last one: a cut inside a group would need its rest encoded anew."""
+        edge = frames.where(F.col("idx").isin(first, end)).select("idx", "start", "idr").collect()
+        at = {r["idx"]: r for r in edge}
+        if first not in at or end <= first or (end in at and not at[end]["idr"]):
+            raise ValueError(f"frames {first} to {end} don't end at a key frame")
+        till = at[end]["start"] if end in at else frames.agg(F.max(F.col("start") + F.col("nbytes"))).first()[0]
+        return self.cut(name, at[first]["start"], till - at[first]["start"])
+
     def objects(self) -> list[str]:
         return list(self.sizes)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.dataset import Dataset
-from palimpsest.functions import dna, spatial, tokens
+from palimpsest.functions import codec, dna, spatial, tokens
 from palimpsest.functions import text as T
 from palimpsest.operators import aggregates, chunking, merge, similarity, sketch
 from palimpsest.operators.ordering import global_rank
@@ -524,6 +524,17 @@ def range_read(spark, sf):
     return assemble(window(e, 1000, 1500), store, "object").select(F.col("object").alias("doc_id"), F.hex("payload").alias("part"))
 
 
+@query(f"""SELECT doc_id, list_min(b)::INTEGER AS min, list_max(b)::INTEGER AS max, list_sum(b)::BIGINT AS sum
+FROM (SELECT doc_id, [('0x' || substr(h, (2 * i - 1)::BIGINT, 2))::INTEGER FOR i IN range(101, least(1101, length(h) // 2 + 1))] AS b FROM ({HEX}) WHERE length(h) > 200)""")
+def object_range_aggregates(spark, sf):
+    from palimpsest.objects import placed, range_aggregate
+
+    c = text_chunks(spark, sf)
+    e = placed(c.select(F.col("doc_id").alias("object"), F.lit(0).alias("version"), "seq", "cid", F.lit(0).cast("bigint").alias("off"), F.col("nbytes").alias("len")))
+    store = c.select("cid", "payload").dropDuplicates(["cid"])
+    return range_aggregate(e, store, 100, 1100, "object").withColumnRenamed("object", "doc_id")
+
+
 @query(f"SELECT doc_id, md5(unhex(substr(h, 1, 3000) || hex(encode('SPLICED')) || substr(h, 3201))) AS text_md5 FROM ({HEX}) WHERE length(h) > 3200")
 def splice_update(spark, sf):
     from palimpsest.objects import assemble, placed, splice
@@ -686,6 +697,13 @@ def mesh_max_error(spark, sf):
     return spatial.max_error(v, back).select(F.round("max_error", 9).alias("max_error"))
 
 
+@query(f"SELECT idx, x, y, z FROM ({VERTS})")
+def exact_quantize(spark, sf):
+    v = vertices(spark, sf)
+    coded = saved(v.select("idx", *[spatial.exact_encode(F.col(a), 0.01).alias(a) for a in "xyz"]), "coded")
+    return coded.select("idx", *[spatial.exact_decode(F.col(a), 0.01).alias(a) for a in "xyz"])
+
+
 def _spread(v: str) -> str:
     return " + ".join(f"((({v}) // {1 << i}) % 2) * {1 << (3 * i)}" for i in range(21))
 
@@ -728,6 +746,18 @@ def frame_groups(spark, sf):
     return spatial.gops(f).select("video", "idx", "gop", "next_gop")
 
 
+# codecs
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def lz_round_trip(spark, sf):
+    coded = saved(docs(spark, sf).select("doc_id", codec.compress(F.col("text")).alias("data")), "coded")
+    return coded.select("doc_id", F.md5(codec.decompress(F.col("data"))).alias("text_md5"))
+
+
+@query("SELECT event_id AS row_id FROM events WHERE value > 0")
+def validity_bitmap(spark, sf):
+    return codec.live_ids(saved(codec.bitmaps(read(spark, sf, "events"), "event_id", F.col("value") > 0, 4096), "bits"), 4096)
+
+
 # streaming
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windowed_counts(spark, sf):
