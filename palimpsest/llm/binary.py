@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.common import binary_column, saved, scratch_dir, small_batches
-from palimpsest.llm.tokens import encoder, proof
+from palimpsest.llm.tokens import encoder, load, proof
 
 ROW = 2048
 POOL = 1 << 21
@@ -155,8 +155,9 @@ def table_schema(b: pa.RecordBatch) -> pa.Schema:
     return pa.schema([b.schema.field(i) for i in (0, 4, 5, 6)])
 
 
-def write_binary(packed: DataFrame, folder: str, row: int = ROW) -> DataFrame:
-    """Writes each task's rows as ids-N.u32 and positions-N.u32 (rows x row matrices), cu_seqlens-N.i32 with its row
+def write_binary(packed: DataFrame, folder: str, row: int = ROW, id_bytes: int = 4) -> DataFrame:
+    """Writes each task's rows as ids-N.uW, a matrix of rows x row ids of id_bytes (2 or 4) bytes each, resets-N.bits, a
+    bit per id that tells where the position ids start anew (each row takes whole bytes), cu_seqlens-N.i32 with its row
     offsets row_starts-N.i64, the segments' documents in segments-N.arrow, and meta-N.json. Files are written under a temporary name and renamed, so a repeated task
     leaves whole files. folder is a path or URI every executor can write. Returns (part, rows, tokens) per task."""
 
@@ -167,7 +168,7 @@ def write_binary(packed: DataFrame, folder: str, row: int = ROW) -> DataFrame:
         target.create_dir(path, recursive=True)
         ctx = TaskContext.get()
         part, suffix = ctx.partitionId(), f".tmp-{ctx.taskAttemptId()}"
-        names = [f"ids-{part}.u32", f"positions-{part}.u32", f"cu_seqlens-{part}.i32", f"row_starts-{part}.i64", f"segments-{part}.arrow"]
+        names = [f"ids-{part}.u{8 * id_bytes}", f"resets-{part}.bits", f"cu_seqlens-{part}.i32", f"row_starts-{part}.i64", f"segments-{part}.arrow"]
         rows = tokens = cut = 0
         out, table = None, None
         for b in batches:
@@ -175,8 +176,8 @@ def write_binary(packed: DataFrame, folder: str, row: int = ROW) -> DataFrame:
                 out = [target.open_output_stream(f"{path}/{n}{suffix}") for n in names]
                 table = pa.ipc.new_stream(out[4], table_schema(b))
             for ids, cu, positions in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                out[0].write(ids)
-                out[1].write(positions)
+                out[0].write(np.frombuffer(ids, "<u4").astype(f"<u{id_bytes}", copy=False).tobytes())
+                out[1].write(np.packbits(np.frombuffer(positions, "<u4") == 0).tobytes())
                 out[2].write(np.array(cu, "<i4").tobytes())
                 out[3].write(np.array([cut], "<i8").tobytes())
                 rows, tokens, cut = rows + 1, tokens + cu[-1], cut + len(cu)
@@ -189,13 +190,19 @@ def write_binary(packed: DataFrame, folder: str, row: int = ROW) -> DataFrame:
                 f.close()
                 target.move(f"{path}/{n}{suffix}", f"{path}/{n}")
             with target.open_output_stream(f"{path}/meta-{part}.json") as f:
-                f.write(json.dumps({"rows": rows, "row": row, "tokens": tokens}).encode())
+                f.write(json.dumps({"rows": rows, "row": row, "id_bytes": id_bytes, "tokens": tokens}).encode())
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, rows, tokens)], names=["part", "rows", "tokens"])
 
     return packed.mapInArrow(run, "part bigint, rows bigint, tokens bigint")
 
 
-def read_binary(written: DataFrame, folder: str, like: DataFrame, row: int = ROW) -> DataFrame:
+def positions_of(reset: np.ndarray) -> bytes:
+    """Position ids from the bits that tell where they start anew."""
+    at = np.arange(len(reset))
+    return (at - np.maximum.accumulate(np.where(reset, at, 0))).astype("<u4").tobytes()
+
+
+def read_binary(written: DataFrame, folder: str, like: DataFrame, row: int = ROW, id_bytes: int = 4) -> DataFrame:
     """Packed rows, as pack_rows made them (like has their schema), from the files that write_binary wrote for each part of written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,15 +211,16 @@ def read_binary(written: DataFrame, folder: str, like: DataFrame, row: int = ROW
         target, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
         for b in batches:
             for part in b.column(0).to_pylist():
-                ids, positions, cuts, starts, table = (target.open_input_file(f"{path}/{n}") for n in (f"ids-{part}.u32", f"positions-{part}.u32", f"cu_seqlens-{part}.i32", f"row_starts-{part}.i64", f"segments-{part}.arrow"))
+                ids, resets, cuts, starts, table = (target.open_input_file(f"{path}/{n}") for n in (f"ids-{part}.u{8 * id_bytes}", f"resets-{part}.bits", f"cu_seqlens-{part}.i32", f"row_starts-{part}.i64", f"segments-{part}.arrow"))
                 begun = int(np.frombuffer(starts.read(8), "<i8")[0])
                 for own in pa.ipc.open_stream(table):
                     ends = np.frombuffer(starts.read(8 * own.num_rows), "<i8")
                     cu = np.frombuffer(cuts.read(4 * int(ends[-1] - begun)), "<i4")
                     at = np.concatenate([[begun], ends]) - begun
                     begun = int(ends[-1])
-                    whole = [pa.array([f.read(4 * row) for _ in range(own.num_rows)], pa.binary()) for f in (ids, positions)]
-                    cols = [own.column(0), whole[0], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(cu, pa.int32())), whole[1], *own.columns[1:]]
+                    rows = [np.frombuffer(ids.read(id_bytes * row), f"<u{id_bytes}").astype("<u4").tobytes() for _ in range(own.num_rows)]
+                    places = [positions_of(np.unpackbits(np.frombuffer(resets.read((row + 7) // 8), np.uint8), count=row)) for _ in range(own.num_rows)]
+                    cols = [own.column(0), pa.array(rows, pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(cu, pa.int32())), pa.array(places, pa.binary()), *own.columns[1:]]
                     yield pa.RecordBatch.from_arrays(cols, names=["sequence_id", "ids", "cu_seqlens", "positions", "docs", "starts", "doc_tokens"])
 
     return written.select("part").mapInArrow(run, like.schema)
@@ -220,7 +228,8 @@ def read_binary(written: DataFrame, folder: str, like: DataFrame, row: int = ROW
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments read back from the files that were written."""
-    packed = pack_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
-    folder = scratch_dir(spark)
-    written = saved(write_binary(packed, f"{folder}/files"), "written")
-    return segments(read_binary(written.repartition(max(1, written.count())), f"{folder}/files", packed))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packed = pack_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    folder, width = f"{scratch_dir(spark)}/files", 2 if load(path).get_vocab_size() <= 65536 else 4
+    written = saved(write_binary(packed, folder, id_bytes=width), "written")
+    return segments(read_binary(written.repartition(max(1, written.count())), folder, packed, id_bytes=width))
