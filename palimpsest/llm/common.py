@@ -3,39 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor shares.
-
-    The setting is read from the session. Only a local master may lack it; there a temporary folder is set once.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            base = known.get()
-        elif spark.sparkContext.master.startswith("local"):
-            base = tempfile.mkdtemp(prefix="scratch-")
-            spark.sparkContext.setCheckpointDir(base)
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written as Parquet to the shared scratch folder and read back: cuts lineage, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from palimpsest.storage import saved, scratch_dir  # noqa: F401
 
 
 def release(spark: SparkSession) -> None:
@@ -94,16 +70,50 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Nodes of which a task keeps a forest before it passes it on.
+FOREST_NODES = 500_000
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) as edges from each node to the least one it reaches over a task's edges: fewer, with the same components."""
+    up: dict = {}
+    schema = None
+
+    def root(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    def flush() -> pa.RecordBatch:
+        rows = [(x, r) for x in list(up) if (r := root(x)) != x]
+        up.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        schema = batch.schema
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = root(a), root(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        if len(up) > FOREST_NODES:
+            yield flush()
+    if schema is not None:
+        yield flush()
+
+
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     edges: (a, b) of one orderable type, in any order, loops and repeats allowed. Returns (node, component), the
-    component being its smallest node; nodes without edges are absent. Each round is two aggregations and joins on
+    component being its smallest node; nodes without edges are absent. Tasks first thin their edges to forests. Each round is two aggregations and joins on
     node with a checkpoint, so lineage stays short; the number of rounds is logarithmic in the longest path.
     """
+    kind = edges.schema["a"].dataType.simpleString()
+    edges = edges.select("a", "b").mapInArrow(forest, f"a {kind}, b {kind}")
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
     before = None
-    for _ in range(most_rounds):
+    for _ in count() if most_rounds is None else range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

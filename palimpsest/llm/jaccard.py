@@ -52,7 +52,9 @@ RECORD, FLUSH, PART_BYTES, SET_BYTES = 20, 400_000, 24 << 20, 8 << 20
 CLASS = 1.05
 #: Holders of one signature up to which their task pairs them; more are cut into blocks of half as many.
 HOLDERS = 2048
-#: Rows up to which a list of ids is broadcast (8 bytes each); a longer one is joined by shuffle.
+#: Pairs of one bucket that one task filters.
+CELL_PAIRS = 1_000_000
+#: Rows up to which a list of ids (8 bytes each) or of sets with their sizes (32 bytes) is broadcast; a longer one is joined by shuffle.
 BROADCAST_IDS = 500_000
 LAST_CHANNEL = 4
 
@@ -387,16 +389,30 @@ def expand(t: Threshold, slots: int):
 
 
 def filtered(t: Threshold):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = lambda name: b.column(b.schema.get_field_index(name)).to_pylist()  # noqa: B023, E731
-            rows = zip(col("a_node"), col("b_node"), col("a_n"), col("b_n"), col("a_least"), col("b_least"), col("a_bits"), col("b_bits"))
-            kept = [(a, c, min(la, lc)) for a, c, na, nc, la, lc, x, y in rows if unequal(x, y) <= t.differing(na + nc)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], pa.int64()) for i in range(3)], names=["a", "b", "least"])
+    """Of one bucket the pairs whose parity bitmaps don't rule them out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        full, edge = table.filter(table.column("b").is_null()), table.filter(table.column("b").is_valid())
+        known = dict(zip(full.column("a").to_pylist(), zip(full.column("n").to_pylist(), full.column("bits").to_pylist())))
+        out = []
+        for a, b in zip(edge.column("a").to_pylist(), edge.column("b").to_pylist()):
+            (n, x), (m, y) = known[a], known[b]
+            if unequal(x, y) <= t.differing(n + m):
+                out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64()), "bucket": pa.array([edge.column("bucket")[0].as_py()] * len(out), pa.int32())})
 
     return run
 
 
+def packed(h: np.ndarray) -> bytes:
+    """Sorted hashes as eight byte planes of their steps, the lowest first; the high ones are nearly all 0 and compress."""
+    return np.ascontiguousarray(np.diff(h, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=U)
+
+
 def verify(t: Threshold):
     def run(table: pa.Table) -> pa.Table:
         sets: dict[int, np.ndarray] = {}
@@ -404,7 +420,7 @@ def verify(t: Threshold):
         full = table.filter(table.column("data").is_valid())
         for node, data in zip(full.column("a").to_pylist(), full.column("data").to_pylist()):
             if node not in sets:
-                sets[node] = np.frombuffer(data, U)
+                sets[node] = unpacked(data)
         out = []
         for a, b in zip(edge.column("a").to_pylist(), edge.column("b").to_pylist()):
             x, y = sorted((sets[a], sets[b]), key=len)
@@ -417,7 +433,7 @@ def verify(t: Threshold):
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int, wanted: DataFrame) -> DataFrame:
-    """(node, data): the sorted hashes of the sets of the wanted (id, node) rows."""
+    """(node, data): the packed hashes of the sets of the wanted (id, node) rows."""
     wanted = wanted.checkpoint()
     ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
     few = wanted.count() <= BROADCAST_IDS
@@ -426,7 +442,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(x, k) for x in binary_column(b, "__text")]
-            yield pa.RecordBatch.from_arrays([pa.array([set_ids(h, seed)[0] for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_ids(h, seed)[0] for h in sets], pa.int64()), pa.array([packed(h) for h in sets], pa.binary())], names=["node", "data"])
 
     return texts.mapInArrow(run, "node bigint, data binary")
 
@@ -457,18 +473,28 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     if n_blocks:
         packed = packed.unionByName(blocks.repartition(max(shuffle_partitions(spark), n_blocks // 8)).mapInArrow(expand(t, parts), "slot int, data binary"))
     pairs = packed.repartition(parts, "slot").groupBy("slot").applyInArrow(distinct_pairs, "a bigint, b bigint")
-    short = nodes.select(F.shiftright("node", 23).alias("short"), "node", "n", "least", "bits")
-    ends = [short.select(F.col("short").alias(x), F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"), F.col("least").alias(f"{x}_least"), F.col("bits").alias(f"{x}_bits")) for x in "ab"]
-    sizes = [e.drop(f"{x}_bits", f"{x}_least") for e, x in zip(ends, "ab")]
+    short = nodes.select(F.shiftright("node", 23).alias("short"), "node", "n", "least")
+    ends = [short.select(F.col("short").alias(x), F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"), F.col("least").alias(f"{x}_least")) for x in "ab"]
     near = F.greatest("a_n", "b_n") * num <= F.least("a_n", "b_n") * den
     twins = short.groupBy("short").agg(F.count("*").alias("holders")).where("holders > 1").select(F.col("short").alias("a"), F.col("short").alias("b"))
-    pairs = pairs.unionByName(twins)
-    pairs = pairs.join(sizes[0], "a").join(sizes[1], "b").where((F.col("a_node") != F.col("b_node")) & near).select(F.least("a_node", "b_node").alias("a_node"), F.greatest("a_node", "b_node").alias("b_node"))
-    pairs = saved(pairs.distinct(), "met")
-    release(spark)
-    pairs = pairs.join(ends[0].drop("a"), "a_node").join(ends[1].drop("b"), "b_node").mapInArrow(filtered(t), "a bigint, b bigint, least bigint")
+    if nodes.count() <= BROADCAST_IDS:
+        ends = [F.broadcast(e) for e in ends]
+    pairs = pairs.unionByName(twins).join(ends[0], "a").join(ends[1], "b").where(((F.col("a") != F.col("b")) | (F.col("a_node") < F.col("b_node"))) & near)
     buckets = max(shuffle_partitions(spark), mass * 8 // SET_BYTES)
-    pairs = saved(pairs.select("a", "b", F.pmod(F.xxhash64("least"), F.lit(buckets)).cast("int").alias("bucket")), "candidates")
+    bucket = F.pmod(F.xxhash64(F.least("a_least", "b_least")), F.lit(buckets)).cast("int")
+    pairs = saved(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), bucket.alias("bucket")), "met")
+    release(spark)
+    # Pairs and the bitmaps of their sets meet by bucket, so a bitmap travels once a bucket and not once a pair.
+    full = pairs.groupBy("bucket").agg(F.ceil(F.count("*") / CELL_PAIRS).cast("int").alias("cells")).where("cells > 1").checkpoint()
+    cell = F.lit(0)
+    if not full.isEmpty():  # a bucket with many pairs is cut by its pairs' second set
+        pairs, cell = pairs.join(full, "bucket", "left"), F.pmod(F.xxhash64("b"), F.coalesce("cells", F.lit(1))).cast("int")
+    pairs = pairs.select("bucket", cell.alias("cell"), "a", "b")
+    ends = pairs.select("bucket", "cell", F.col("a").alias("node")).unionByName(pairs.select("bucket", "cell", F.col("b").alias("node"))).distinct()
+    shipped = ends.join(nodes.select("node", "n", "bits"), "node").select("bucket", "cell", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "n", "bits")
+    work = shipped.unionByName(pairs.select("bucket", "cell", "a", "b", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("bits"))).repartition(buckets, "bucket", "cell")
+    pairs = saved(work.groupBy("bucket", "cell").applyInArrow(filtered(t), "a bigint, b bigint, bucket int"), "candidates")
+    release(spark)
     ends = pairs.select("bucket", F.col("a").alias("node")).unionByName(pairs.select("bucket", F.col("b").alias("node"))).distinct()
     heavy = ends.join(nodes.select("node", "n"), "node").groupBy("bucket").agg(F.ceil(F.sum("n") * 8 / (4 * SET_BYTES)).cast("int").alias("grid")).where("grid > 1").checkpoint()
     if not heavy.isEmpty():  # a bucket's sets are cut by node, and each cell of the grid has two of the cuts
@@ -490,7 +516,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows, edges = links(docs, id_col, text_col, k, num, den)
     nodes = rows.where("n > 0").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(nodes.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    # Links to sets without copies are counted where they lie; only sets with copies are looked up.
+    many = nodes.where("copies > 1").select(F.col("node").alias("b"), "copies").checkpoint()
+    counted = both.join(F.broadcast(many) if many.count() <= BROADCAST_IDS else many, "b", "left")
+    degree = counted.groupBy(F.col("a").alias("node")).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("others"))
     member = components(edges)
     first = member.join(nodes, "node").groupBy("component").agg(F.min("first").alias("lowest"))
     group = member.join(first, "component").select("node", "lowest")

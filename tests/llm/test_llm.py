@@ -386,6 +386,7 @@ def test_hot_signatures_and_heavy_buckets(spark, docs, monkeypatch):
     again = J.distinct_pairs(J.pa.table({"data": J.pa.array(rest, J.pa.binary())}))
     assert sorted(zip(*whole.to_pydict().values())) == sorted(zip(*again.to_pydict().values()))
     monkeypatch.setattr(J, "SET_BYTES", 2000)
+    monkeypatch.setattr(J, "CELL_PAIRS", 50)
     assert sorted(map(tuple, J.jaccard_groups(df).collect())) == plain
 
 
@@ -410,10 +411,10 @@ def test_binary_round_trip(spark, docs, tmp_path):
     for d, t, *_ in rows:
         assert (np.concatenate([parts[d][s] for s in sorted(parts[d])]) == ids_of(t)).all()
     assert segments(packed).where("not resets").count() == 0 and segments(packed).count() == sum(map(len, parts.values()))
-    written = write_binary(packed, str(tmp_path / "bin"), 64).collect()
-    total = sum(np.fromfile(tmp_path / "bin" / f"ids-{r['part']}.u32", "<u4").size for r in written)
+    written = write_binary(packed, str(tmp_path / "bin"), 64, 2).collect()
+    total = sum(np.fromfile(tmp_path / "bin" / f"ids-{r['part']}.u16", "<u2").size for r in written)
     assert total == 64 * sum(r["rows"] for r in written) == 64 * packed.count()
-    back = read_binary(spark.createDataFrame(written), str(tmp_path / "bin"), packed, 64)
+    back = read_binary(spark.createDataFrame(written), str(tmp_path / "bin"), packed, 64, 2)
     assert sorted(map(repr, back.collect())) == sorted(map(repr, packed.collect()))
     assert pack_rows(empty, TOKENIZER).count() == 0
     lengths = [int(x) for x in np.random.default_rng(2).integers(0, 65, 500)]
