@@ -1,15 +1,18 @@
 """Operator 7: n-gram scoring by the longest matching context of any length.
 
-The training corpus is indexed like a suffix array cut by key ranges: every n-gram is a key in a sorted array, an array
-shard holds one range of keys, and queries find their key's range by binary search; counts of the sorted pieces that
-tasks contribute are summed. A token is scored from the longest context before it, in its document, that the training
-texts contain: P = (c(context, token) + MU * p(token)) / (c(context) + MU), p being the add-one unigram. Contexts lie on
-a ladder of lengths 1, 2, 3, 4, 6, 8, 12, 16, ... up to the longest document, so nothing is bounded but lengths above
-four are rounded down to the ladder.
-
-Rounds of two lengths climb the ladder. After each a bitmap of fixed size (ALIVE_BITS) tells which contexts may still
-matter - held by a queried text, or by two training places - and only positions behind them enter the next round. A
-training text contains itself, so where its context is found once both counts are one without asking.
+The training corpus is indexed like a suffix array cut by key ranges: every n-gram that can matter is a key in a sorted
+array, an array shard holds one range of keys, and queries find their key's range by binary search; counts of the sorted
+pieces that tasks contribute are summed. A token is scored from the longest context before it, in its document, that the
+training texts contain: P = (c(context, token) + MU * p(token)) / (c(context) + MU), p being the add-one unigram. That
+context is exact at any length. With M(t) the length and C(t) the count of the longest n-gram ending at t that occurs in
+training, the context of t is the one of M(t - 1), and it goes on with the token if M(t) = M(t - 1) + 1, C(t) times.
+
+Lengths 1 to 4 are counted over whole texts in two rounds. A bitmap tells after each which n-grams may still matter -
+held by a queried text and found, or found at two training places - and only what lies behind them goes on. What is left
+are stretches of texts all of whose 4-grams matter; every longer match lies within them. There M is found digit by digit
+in base RADIX, the highest first, each round asking for the next digit's lengths; training stretches count the lengths
+that a bitmap of the questions holds. A training text contains itself, so its longest context is all that goes before;
+one round counts the prefixes of all lengths, from places whose shorter prefix was asked for.
 Queries ask for sets of keys per block of rows; answers are written to the shared folder by block and read by the
 task that scores that block, so texts are never shuffled and no table is broadcast whole.
 
@@ -20,7 +23,7 @@ rows every count is 0; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +31,21 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import binary_column, fold, located, release, scratch_dir, shuffle_partitions, small_batches
+from palimpsest.llm.common import binary_column, fold, located, release, saved, scratch_dir, shuffle_partitions, small_batches
 from palimpsest.llm.hashing import BASE, U, mix, word_hashes
 
 MU = 2.0
 BLOCK_ROWS = 2048
+#: Words of texts that are laid end to end and worked on at once.
+GROUP_WORDS = 300_000
 FLUSH_KEYS = 4_000_000
 PART_KEYS = 2_000_000
-ALIVE_BITS = 26
+#: Bitmaps have a bit a word, within these bounds of their logarithm.
+LEAST_BITS, MOST_BITS = 20, 29
+#: Bits of a key in a bitmap of questions.
+PROBES = 3
+#: The length up to which all n-grams are counted by the rounds over whole texts, and the base of longer lengths' digits.
+WHOLE, RADIX = 4, 8
 END = U(0x5BF03635DCD1F867)
 _pow = [np.ones(1, U), np.ones(1, U)]
 
@@ -48,52 +58,54 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0], _pow[1]
 
 
-class Text:
-    """Token hashes of a document (end token last) and its n-gram keys."""
+class Texts:
+    """Token hashes of texts, or stretches of them, laid end to end: where each begins, whether it is held out, and the
+    keys of n-grams by their last token."""
 
-    def __init__(self, text: bytes):
-        self.tokens = np.concatenate([word_hashes(text), [END]])
-        self.n = len(self.tokens)
-        up, self.down = powers(self.n)
-        self.sums = np.zeros(self.n + 1, U)
-        np.cumsum(self.tokens * up[: self.n], out=self.sums[1:])
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, held: np.ndarray):
+        self.tokens, self.lengths, self.starts = tokens, lengths, np.cumsum(lengths) - lengths
+        self.held = np.repeat(held, lengths)
+        #: Tokens from the text's first to this one: the longest n-gram that ends here.
+        self.room = np.arange(1, len(tokens) + 1) - np.repeat(self.starts, lengths)
+        up, self.down = powers(len(tokens))
+        self.sums = np.zeros(len(tokens) + 1, U)
+        np.cumsum(tokens * up[: len(tokens)], out=self.sums[1:])
 
-    def keys(self, start: np.ndarray, order: int, base: int) -> np.ndarray:
-        """48-bit keys of the n-grams of an order at the given starts; the lowest bit marks the base order."""
-        h = mix((self.sums[start + order] - self.sums[start]) * self.down[start] + U(order * 0x9E37))
-        return ((h >> U(16)) & U(2**48 - 2)) | U(order == base)
+    def keys(self, end: np.ndarray, order: int | np.ndarray, base: int = 0) -> np.ndarray:
+        """48-bit keys of the n-grams of an order with their last token at end; the lowest bit marks the base order."""
+        start = end + 1 - order
+        h = mix((self.sums[end + 1] - self.sums[start]) * self.down[start] + np.asarray(order, U) * U(0x9E37))
+        return ((h >> U(16)) & U(2**48 - 2)) | U(base > 0 and order == base)
+
+    def alive(self, bits: np.ndarray, order: int) -> np.ndarray:
+        """Whether the n-gram of an order that ends at each token is marked."""
+        out = self.room >= order
+        at = np.flatnonzero(out)
+        out[at] = alive(bits, self.keys(at, order, order))
+        return out
 
 
 def ladder(longest: int) -> list[list[int]]:
-    """Rounds of context lengths up to that of the longest document."""
-    out = [[1, 2], [3, 4]]
-    while out[-1][-1] < longest:
-        step = out[-1][-1]
-        out.append([step * 3 // 2, step * 2])
-    return out
+    """The context lengths up to that of the longest document, none left out, as they are counted: two rounds, and the rest."""
+    return [[1, 2], [3, 4], list(range(WHOLE + 1, longest + 1))]
 
 
-def wanted(t: Text, held: bool, depths: list[int], last: bool, bits: np.ndarray | None, before: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(keys asked for, positions still of interest) of one document in one round."""
-    pos = np.arange(t.n)
-    if bits is not None:
-        pos = pos[pos >= before]
-        k = t.keys(pos - before, before, before)
-        pos = pos[alive(bits, k)]
-    ask = []
-    for i, d in enumerate(depths):
-        p = pos[pos >= d]
-        if not held:
-            top = depths[i + 1] if i + 1 < len(depths) else depths[-1] * 3 // 2
-            p = p[p < top] if not (last and i + 1 == len(depths)) else p
-        if len(p):
-            ask += [t.keys(p - d, d, depths[-1]), t.keys(p - d, d + 1, depths[-1])]
-    return ask, pos
+def places(keys: np.ndarray, width: int, probe: int) -> np.ndarray:
+    """Bits of keys in a bitmap of 2 ** width: the first probe keeps their order, later ones that of their first 12 bits."""
+    if not probe:
+        return keys >> U(48 - width)
+    return (keys >> U(36)) << U(width - 12) | mix(keys + U(probe << 48)) >> U(76 - width)
 
 
-def alive(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys >> U(48 - ALIVE_BITS)
-    return (bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
+def alive(bits: np.ndarray, keys: np.ndarray, probes: int = 1) -> np.ndarray:
+    out, width = None, len(bits).bit_length() + 2
+    for probe in range(probes):
+        at = places(keys if out is None else keys[out], width, probe)
+        on = np.flatnonzero((bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1)
+        out = on if out is None else out[on]
+    got = np.zeros(len(keys), bool)
+    got[out] = True
+    return got
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
@@ -106,129 +118,345 @@ def unplanes(data: bytes, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def emit(docs: DataFrame, depths: list[int], before: int, last: bool, first: bool, bits, parts: int) -> DataFrame:
-    """Sorted, delta-coded key sets of a round: kind 0 the counts of training n-grams, 1 and 2 what held-out and
-    training texts ask for, by part and block."""
-    orders = sorted({o for d in depths for o in (d, d + 1)})
+def groups(b: pa.RecordBatch) -> Iterator[tuple[int, Texts]]:
+    """(block, texts) of consecutive rows of a batch, in their order: a block's texts up to GROUP_WORDS."""
+    own, flags, tokens, words = None, [], [], 0
+    for block, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), binary_column(b, "__text")):
+        if tokens and (block != own or words > GROUP_WORDS):
+            yield own, Texts(np.concatenate(tokens), np.array([len(x) for x in tokens]), np.array(flags))
+            flags, tokens, words = [], [], 0
+        own = block
+        flags.append(held)
+        tokens.append(np.append(word_hashes(text), END))
+        words += len(tokens[-1])
+    if tokens:
+        yield own, Texts(np.concatenate(tokens), np.array([len(x) for x in tokens]), np.array(flags))
+
+
+class Pools:
+    """Keys by kind: 0 n-grams of training texts, 1 and 2 what held-out and training texts of one block ask for."""
+
+    def __init__(self, parts: int):
+        self.parts, self.block, self.keys, self.held = parts, None, {0: [], 1: [], 2: []}, {0: 0, 1: 0, 2: 0}
+
+    def add(self, kind: int, keys: np.ndarray) -> None:
+        if len(keys):
+            self.keys[kind].append(keys)
+            self.held[kind] += len(keys)
+
+    def enter(self, block: int) -> Iterator[pa.RecordBatch]:
+        """What is full, or asked by another block than the one that follows."""
+        for kind in self.keys:
+            if self.held[kind] > FLUSH_KEYS or kind and block != self.block:
+                yield from self.flush(kind)
+        self.block = block
+
+    def flush(self, kind: int) -> Iterator[pa.RecordBatch]:
+        """Sorted, delta-coded key sets by part; kind 0 with counts."""
+        if not self.keys[kind]:
+            return
+        key, n = np.unique(np.concatenate(self.keys[kind]), return_counts=True)
+        self.keys[kind].clear()
+        self.held[kind] = 0
+        part = (key * U(self.parts)) >> U(48) if self.parts < 65536 else (key >> U(16)) * U(self.parts) >> U(32)
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        rows = [(int(part[a]), kind, self.block, e - a, planes(np.diff(key[a:e], prepend=U(0)), 6), planes(n[a:e], 4) if kind == 0 else b"") for a, e in zip(at, np.append(at[1:], len(key)))]
+        c = list(zip(*rows))
+        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary()), pa.array(c[5], pa.binary())], names=["part", "kind", "block", "n", "keys", "counts"])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for kind in self.keys:
+            yield from self.flush(kind)
+
+
+KEYS = "part int, kind int, block bigint, n bigint, keys binary, counts binary"
+ANSWERS = "block bigint, n bigint, keys binary, counts binary"
+
+
+def ends(t: Texts, order: int, marks: np.ndarray | None, before: int) -> np.ndarray:
+    """Whether an n-gram of an order ends at each token, all of whose shorter ones of the order before are marked."""
+    out = t.room >= order
+    if marks is not None:
+        for back in range(order - before + 1):
+            out[back:] &= marks[: len(marks) - back]
+    return out
+
+
+def emit(docs: DataFrame, depths: list[int], bits, parts: int) -> DataFrame:
+    """Counts and questions of a round over whole texts."""
+    before = depths[0] - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pools = Pools(parts)
+        for b in batches:
+            for block, t in groups(b):
+                yield from pools.enter(block)
+                marks = t.alive(bits.value, before) if bits is not None else None
+                for d in depths:
+                    here = ends(t, d, marks, before)
+                    ask = ~t.held if d == 1 else (t.room == d) & ~t.held  # a training text asks for its words and its prefixes
+                    at = np.flatnonzero(here)
+                    k = t.keys(at, d, depths[-1])
+                    pools.add(0, k[~t.held[at]])
+                    pools.add(1, k[t.held[at]])
+                    pools.add(2, k[ask[at]])
+        yield from pools.rest()
+
+    return docs.mapInArrow(run, KEYS)
+
+
+class Stretches(Texts):
+    """Runs of tokens all of whose n-grams of the order WHOLE are marked: at is their place in the texts, lead whether a
+    run begins with its text."""
+
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, held: np.ndarray, lead: np.ndarray, at: np.ndarray | None = None):
+        super().__init__(tokens, lengths, held)
+        self.lead, self.at = lead, at
+
+    @classmethod
+    def of(cls, t: Texts, bits: np.ndarray) -> Stretches:
+        mark = np.concatenate([[False], t.alive(bits, WHOLE), [False]])
+        first, last = np.flatnonzero(mark[1:] & ~mark[:-1]), np.flatnonzero(mark[:-1] & ~mark[1:])
+        long = last - first > 1
+        first, length = first[long] - WHOLE + 1, (last - first)[long] + WHOLE - 1
+        at = np.arange(int(length.sum())) + np.repeat(first - (np.cumsum(length) - length), length)
+        return cls(t.tokens[at], length, t.held[first], t.room[first] == 1, at)
+
+    def prefixes(self) -> np.ndarray:
+        """Places where a prefix of a training text longer than WHOLE ends."""
+        return np.flatnonzero(np.repeat(self.lead, self.lengths) & ~self.held & (self.room > WHOLE))
+
+    def lifted(self, steps: list[int], look: Callable, path: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of held-out texts where an n-gram longer than WHOLE ends, the greatest length known to match, its
+        count or 0 for WHOLE) after the rounds of these steps; path gets the lengths after each."""
+        at = np.flatnonzero(self.held & (self.room > WHOLE))
+        length, count, room = np.full(len(at), WHOLE), np.zeros(len(at), np.int64), self.room[at]
+        for step in steps:
+            i = np.arange(len(at))
+            for _ in range(RADIX - 1):
+                i = i[length[i] + step <= room[i]]
+                c = look(self.keys(at[i], length[i] + step), 0)
+                i, c = i[c > 0], c[c > 0]
+                length[i] += step
+                count[i] = c
+            if path is not None:
+                path.append(length.copy())
+        return at, length, count
+
+
+    def asked(self, bits: np.ndarray, step: int, top: int) -> Iterator[np.ndarray]:
+        """Keys of all n-grams longer than WHOLE that a round's bitmap of questions holds."""
+        at = np.flatnonzero(self.room >= WHOLE + max(step, 1))
+        n, most = WHOLE, int(self.room[at].max(initial=0))
+        if not step:  # prefixes: the first tokens of the n-grams whose shorter ones were asked for
+            at -= WHOLE
+            end = np.repeat(self.starts + self.lengths, self.lengths)
+            while (n := n + 1) <= most and len(at):
+                at = at[at + n <= end[at]]
+                k = self.keys(at + n - 1, n)
+                on = alive(bits, k, PROBES)
+                at, k = at[on], k[on]
+                yield k
+            return
+        yield from self.below(bits, at, WHOLE, top, step)
+
+    def below(self, bits: np.ndarray, at: np.ndarray, n: int, big: int, step: int) -> Iterator[np.ndarray]:
+        """Keys of the n-grams ending at these places, whose n-gram is known to match in the rounds above step big: their
+        longer ones are looked at by digits as questions are, so only lengths that questions came by are tested."""
+        if big > step:
+            yield from self.below(bits, at, n, big // RADIX, step)
+        for longer in range(n + big, n + RADIX * big, big):
+            at = at[self.room[at] >= longer]
+            if not len(at):
+                break
+            k = self.keys(at, longer)
+            on = alive(bits, k, PROBES)
+            if big == step:
+                yield k[on]
+            elif on.any():
+                yield from self.below(bits, at[on], longer, big // RADIX, step)
+
+
+def reduced(docs: DataFrame, bits) -> DataFrame:
+    """(block, longest, lengths, held, lead, tokens) of the stretches of texts, a row or none for each group of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value if bits is not None else None
-        pools: dict[int, list[np.ndarray]] = {0: [], 1: [], 2: []}
-        held_keys, block = 0, None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for kind, pool in pools.items():
-                if not sum(map(len, pool)):
-                    pool.clear()
-                    continue
-                key, n = np.unique(np.concatenate(pool), return_counts=True)
-                pool.clear()
-                part = (key * U(parts)) >> U(48) if parts < 65536 else (key >> U(16)) * U(parts) >> U(32)
-                at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                rows = [(int(part[a]), kind, block, e - a, planes(np.diff(key[a:e], prepend=U(0)), 6), planes(n[a:e], 4) if kind == 0 else b"") for a, e in zip(at, np.append(at[1:], len(key)))]
-                c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary()), pa.array(c[5], pa.binary())], names=["part", "kind", "block", "n", "keys", "counts"])
+        for b in batches:
+            for block, t in groups(b):
+                s = Stretches.of(t, bits.value)
+                if len(s.lengths):
+                    flags = s.held[s.starts]
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(s.lengths.max())]), *(pa.array([x.tobytes()], pa.binary()) for x in (s.lengths.astype("<i8"), flags, s.lead, s.tokens.astype("<u8")))], names=["block", "longest", "lengths", "held", "lead", "tokens"])
+
+    return docs.mapInArrow(run, "block bigint, longest bigint, lengths binary, held binary, lead binary, tokens binary")
+
+
+def emit_long(stretches: DataFrame, step: int, steps: list[int], folders: list[str], bits, parts: int) -> DataFrame:
+    """Questions of a round over stretches, and with a bitmap of them the counts it needs. Step 0 is that of prefixes.
+    Without a bitmap the lengths found after each round before count as questions too, so that it holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pools, known, waiting, words = Pools(parts), Known(folders), [], 0
+
+        def count() -> Iterator[pa.RecordBatch]:
+            s = Stretches(*map(np.concatenate, zip(*waiting)))
+            waiting.clear()
+            for k in s.asked(bits.value, step, steps[0] if steps else step):
+                pools.add(0, k)
+                if pools.held[0] > FLUSH_KEYS:
+                    yield from pools.flush(0)
 
         for b in batches:
-            for own, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), binary_column(b, "__text")):
-                if block is not None and (own != block or held_keys > FLUSH_KEYS):
-                    yield from flush()
-                    held_keys = 0
-                block = own
-                t = Text(text)
-                ask, pos = wanted(t, held, depths, last, known, before)
-                if first:
-                    ask.append(t.keys(np.arange(t.n), 1, depths[-1]))
-                pools[1 if held else 2] += ask
-                held_keys += sum(map(len, ask))
-                if not held and len(pos):
-                    for o in orders:
-                        # An order's n-grams are contexts of, or end with, the positions of interest.
-                        start = pos - (o if o in depths else o - 1)
-                        if o in depths and o - 1 in depths:
-                            start = np.union1d(pos - o, pos - o + 1) if known is not None else np.arange(t.n - o + 1)
-                        start = start[(start >= 0) & (start + o <= t.n)] if known is not None else np.arange(max(t.n - o + 1, 0))
-                        pools[0].append(t.keys(start, o, depths[-1]))
-                        held_keys += len(start)
-        if block is not None:
-            yield from flush()
-
-    return docs.mapInArrow(run, "part int, kind int, block bigint, n bigint, keys binary, counts binary")
-
-
-def answer(table: pa.Table) -> pa.Table:
-    """Answers of one shard: per block the sorted keys found and their counts; block -1 with the alive bits, block -2
-    with the shard's number of distinct keys and sum."""
-    keys, counts, kinds, blocks = [], [], [], []
-    for kind, block, n, k, c in zip(*(table.column(x).to_pylist() for x in ("kind", "block", "n", "keys", "counts"))):
-        keys.append(np.cumsum(unplanes(k, n, 6), dtype=U))
-        counts.append(unplanes(c, n, 4).astype(np.int64) if kind == 0 else np.zeros(n, np.int64))
-        kinds.append(np.full(n, kind, np.int8))
-        blocks.append(np.full(n, block, np.int64))
-    key, count, kind, block = (np.concatenate(x) for x in (keys, counts, kinds, blocks))
-    order = np.argsort(key, kind="stable")
-    key, count, kind, block = key[order], count[order], kind[order], block[order]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    total = np.add.reduceat(count, start)
-    queried = np.maximum.reduceat((kind == 1).astype(np.int8), start) > 0
-    distinct = key[start]
-    live = distinct[(distinct & U(1) == 1) & ((total >= 2) | (queried & (total >= 1)))] >> U(48 - ALIVE_BITS)
-    out: list[list] = [[], [], []]
-    if len(live):
-        low = int(live[0]) // 8
-        seg = np.zeros(int(live[-1]) // 8 - low + 1, np.uint8)
-        np.bitwise_or.at(seg, (live >> U(3)).astype(np.int64) - low, U(1).astype(np.uint8) << (live & U(7)).astype(np.uint8))
-        for o, v in zip(out, (-1, np.array([low], "<i8").tobytes(), seg.tobytes())):
-            o.append(v)
-    each = np.repeat(total, np.diff(np.append(start, len(key))))
-    got = ((kind == 1) & (each >= 1)) | ((kind == 2) & (each >= 2))
-    key, each, block = key[got], each[got], block[got]
-    order = np.argsort(block, kind="stable")
-    key, each, block = key[order], each[order], block[order]
-    at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
-    for a, e in zip(at, np.append(at[1:], len(block)) if len(block) else []):
-        for o, v in zip(out, (int(block[a]), key[a:e].astype("<u8").tobytes(), each[a:e].astype("<i8").tobytes())):
-            o.append(v)
-    return pa.table({"block": pa.array(out[0], pa.int64()), "keys": pa.array(out[1], pa.binary()), "counts": pa.array(out[2], pa.binary())})
-
-
-def answers(folders: list[str], block: int) -> tuple[np.ndarray, np.ndarray]:
-    """All answers for a block, sorted by key, from the shared folder."""
-    from pyarrow import fs
-
-    keys, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for folder in folders:
-        target, path = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
-        for f in target.get_file_info(fs.FileSelector(f"{path}/block={block}", allow_not_found=True)):
-            if f.path.endswith(".parquet"):
-                t = pq.ParquetFile(target.open_input_file(f.path)).read()
-                keys += [np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()]
-                counts += [np.frombuffer(x, "<i8") for x in t.column("counts").to_pylist()]
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    return key[order], count[order]
-
-
-def score_text(t: Text, held: bool, rounds: list[list[int]], look, n_all: int, n_types: int) -> tuple[int, float, float]:
-    """(tokens with a count, base score, score); look(keys, default) gives counts."""
-    alone = 0 if held else 1
-    c = look(t.keys(np.arange(t.n), 1, rounds[0][-1]), alone)
+            for block, _, lengths, held, lead, tokens in zip(*(c.to_pylist() for c in b.columns)):
+                yield from pools.enter(block)
+                own = np.frombuffer(tokens, "<u8"), np.frombuffer(lengths, "<i8"), np.frombuffer(held, bool), np.frombuffer(lead, bool)
+                s = Stretches(*own)
+                if not step:
+                    at = s.prefixes()
+                    pools.add(2, s.keys(at, s.room[at]))
+                else:
+                    path: list = []
+                    at, length, _ = s.lifted(steps, known.of(block), path)
+                    for known_to in path if bits is None else []:
+                        on = known_to > WHOLE
+                        pools.add(1, s.keys(at[on], known_to[on]))
+                    for digit in range(1, RADIX):
+                        i = length + digit * step <= s.room[at]
+                        pools.add(1, s.keys(at[i], length[i] + digit * step))
+                if bits is not None:
+                    train = ~own[2]
+                    waiting.append((own[0][~s.held], own[1][train], own[2][train], own[3][train]))
+                    words += len(waiting[-1][0])
+                    if words > GROUP_WORDS:
+                        yield from count()
+                        words = 0
+        if waiting:
+            yield from count()
+        yield from pools.rest()
+
+    return stretches.mapInArrow(run, KEYS)
+
+
+def bitmap_row(key: np.ndarray, width: int, probes: int = 1) -> tuple[int, int, bytes, bytes] | None:
+    """Block -1, the first byte and the bytes of a bitmap of keys."""
+    if not len(key):
+        return None
+    at = np.concatenate([places(key, width, probe) for probe in range(probes)])
+    low = int(at.min()) // 8
+    seg = np.zeros(int(at.max()) // 8 - low + 1, np.uint8)
+    np.bitwise_or.at(seg, (at >> U(3)).astype(np.int64) - low, U(1).astype(np.uint8) << (at & U(7)).astype(np.uint8))
+    return -1, len(key), np.array([low], "<i8").tobytes(), seg.tobytes()
+
+
+def answered(rows: list[tuple]) -> pa.Table:
+    c = list(zip(*rows)) if rows else [[]] * 4
+    return pa.table({n: pa.array(x, k) for n, x, k in zip(("block", "n", "keys", "counts"), c, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))})
+
+
+def questions(width: int):
+    """A bitmap of the keys that one shard is asked for."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key = [np.cumsum(unplanes(k, n, 6), dtype=U) for n, k in zip(table.column("n").to_pylist(), table.column("keys").to_pylist())]
+        row = bitmap_row(np.unique(np.concatenate(key)), width, PROBES)
+        return answered([row] if row else [])
+
+    return run
+
+
+def answer(width: int):
+    """Answers of one shard: per block the sorted keys found and their counts; block -1 with a bitmap of the base order,
+    block -2 with the number and sum of the counted keys of another order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts, kinds, blocks = [], [], [], []
+        for kind, block, n, k, c in zip(*(table.column(x).to_pylist() for x in ("kind", "block", "n", "keys", "counts"))):
+            keys.append(np.cumsum(unplanes(k, n, 6), dtype=U))
+            counts.append(unplanes(c, n, 4).astype(np.int64) if kind == 0 else np.zeros(n, np.int64))
+            kinds.append(np.full(n, kind, np.int8))
+            blocks.append(np.full(n, block, np.int64))
+        key, count, kind, block = (np.concatenate(x) for x in (keys, counts, kinds, blocks))
+        order = np.argsort(key, kind="stable")
+        key, count, kind, block = key[order], count[order], kind[order], block[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        total = np.add.reduceat(count, start)
+        queried = np.maximum.reduceat((kind == 1).astype(np.int8), start) > 0
+        distinct = key[start]
+        rows = [bitmap_row(distinct[(distinct & U(1) == 1) & ((total >= 2) | (queried & (total >= 1)))], width)]
+        other = total[(distinct & U(1) == 0) & (total > 0)]
+        rows = [r for r in rows if r] + [(-2, len(other), np.array([int(other.sum())], "<i8").tobytes(), b"")]
+        each = np.repeat(total, np.diff(np.append(start, len(key))))
+        got = ((kind == 1) & (each >= 1)) | ((kind == 2) & (each >= 2))
+        key, each, block = key[got], each[got], block[got]
+        order = np.argsort(block, kind="stable")
+        key, each, block = key[order], each[order], block[order]
+        at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
+        for a, e in zip(at, np.append(at[1:], len(block)) if len(block) else []):
+            rows.append((int(block[a]), int(e - a), planes(np.diff(key[a:e], prepend=U(0)), 6), planes(each[a:e], 5)))
+        return answered(rows)
+
+    return run
+
+
+class Known:
+    """Answers from the shared folder, of one block at a time."""
+
+    def __init__(self, folders: list[str]):
+        self.folders, self.block, self.key, self.count = folders, None, None, None
+
+    def of(self, block: int) -> Callable[[np.ndarray, int], np.ndarray]:
+        """look(keys, default) gives counts."""
+        from pyarrow import fs
+
+        if self.block != block or self.key is None:
+            keys, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+            for folder in self.folders:
+                target, path = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+                for f in target.get_file_info(fs.FileSelector(f"{path}/block={block}", allow_not_found=True)):
+                    if f.path.endswith(".parquet"):
+                        t = pq.ParquetFile(target.open_input_file(f.path)).read()
+                        for n, k, c in zip(*(t.column(x).to_pylist() for x in ("n", "keys", "counts"))):
+                            keys.append(np.cumsum(unplanes(k, n, 6), dtype=U))
+                            counts.append(unplanes(c, n, 5).astype(np.int64))
+            key, count = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(key, kind="stable")
+            self.block, self.key, self.count = block, key[order], count[order]
+        return self.look
+
+    def look(self, keys: np.ndarray, default: int) -> np.ndarray:
+        if not len(self.key):
+            return np.full(len(keys), default, np.int64)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return np.where(self.key[at] == keys, self.count[at], default)
+
+
+def score_texts(t: Texts, look: Callable, marks: list, steps: list[int], n_all: int, n_types: int) -> list[np.ndarray]:
+    """(tokens, those with a count, base score, score) of each text; marks are the bitmaps after the rounds."""
+    every = np.arange(len(t.tokens))
+    c = look(t.keys(every, 1, 2), 0)
+    c[~t.held] = np.maximum(c[~t.held], 1)
     p = (c + 1) / (n_all + n_types + 1)
-    context, both = np.zeros(t.n), np.zeros(t.n)
-    pos = np.arange(t.n)
-    for depths in rounds:
+    # Length and count of the longest n-gram that ends at each token and occurs in training.
+    length, count = np.where(t.held, 0, t.room), np.where(t.held, 0, 1)
+    found = (c > 0) & (t.held | (t.room == 1))
+    length[found], count[found] = 1, c[found]
+    for depths, bits in zip(([2], [3, 4]), (None, *marks)):
+        before = t.alive(bits, depths[0] - 1) if bits is not None else None
         for d in depths:
-            pos = pos[pos >= d]
-            if not len(pos):
-                break
-            x = look(t.keys(pos - d, d, depths[-1]), alone)
-            if held:
-                pos, x = pos[x > 0], x[x > 0]
-                if not len(pos):
-                    break
-            context[pos], both[pos] = x, look(t.keys(pos - d, d + 1, depths[-1]), alone)
-    prob = np.where(context > 0, (both + MU * p) / (context + MU), p)
-    return int((c > 0).sum()), float(np.log10(p).sum()), float(np.log10(prob).sum())
+            at = np.flatnonzero(ends(t, d, before, depths[0] - 1) & (t.held | (t.room == d)))
+            x = look(t.keys(at, d, d // 2 * 2), 0)
+            at, x = at[x > 0], x[x > 0]
+            length[at], count[at] = d, x
+    if len(marks) == 2:
+        s = Stretches.of(t, marks[1])
+        at = s.prefixes()
+        count[s.at[at]] = look(s.keys(at, s.room[at]), 1)
+        at, m, x = s.lifted(steps, look)
+        at, m, x = s.at[at[x > 0]], m[x > 0], x[x > 0]
+        length[at], count[at] = m, x
+    context, both = np.append(0, count[:-1]), np.where(length == np.append(0, length[:-1]) + 1, count, 0)
+    prob = np.where((t.room > 1) & (context > 0), (both + MU * p) / (context + MU), p)
+    return [t.lengths, *(np.add.reduceat(x, t.starts) for x in ((c > 0).astype(np.int64), np.log10(p), np.log10(prob)))]
 
 
 def ngram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
@@ -237,71 +465,63 @@ def ngram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     docs = located(docs.select(docs[id_col].alias("id"), docs[text_col].alias("__text")))
-    rows = docs.select(F.xxhash64("__loc.file", F.floor(docs["__loc.row"] / BLOCK_ROWS)).alias("block"), (fold(docs["id"], folds) == held_fold).alias("held"), "__text", "id")
-    size = F.octet_length(F.coalesce("__text", F.lit("")))
-    mass, longest = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
-    rounds, folders, bits, bitmap, before = ladder(longest // 2 + 1), [], None, None, 0
-    done: list[list[int]] = []
-    for i, depths in enumerate(rounds):
-        parts = max(shuffle_partitions(spark), int(mass / 6 * 3 / PART_KEYS))
-        out = emit(rows, depths, before, i + 1 == len(rounds), not i, bits, parts).groupBy("part").applyInArrow(answer, "block bigint, keys binary, counts binary")
-        folder = f"{scratch_dir(spark)}/round-{i}"
-        out.repartition("block").write.partitionBy("block").parquet(folder)
-        folders.append(folder)
-        del out
+    rows = docs.select(F.xxhash64("__loc.file", F.floor(docs["__loc.row"] / BLOCK_ROWS)).bitwiseAND(F.lit(2**63 - 1)).alias("block"), (fold(docs["id"], folds) == held_fold).alias("held"), "__text", "id")
+    mass = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
+    width = min(MOST_BITS, max(LEAST_BITS, (mass // 6).bit_length() + 1))
+    parts = max(shuffle_partitions(spark), int(mass / 6 * 2 / PART_KEYS))
+    folders: list[str] = []
+
+    def told(keys: DataFrame, rule: Callable) -> str:
+        folder = f"{scratch_dir(spark)}/round"
+        keys.groupBy("part").applyInArrow(rule(width), ANSWERS).repartition("block").write.partitionBy("block").parquet(folder)
         release(spark)
-        done.append(depths)
-        bitmap = np.zeros(1 << (ALIVE_BITS - 3), np.uint8)
-        schema = "keys binary, counts binary, block bigint"
-        for r in spark.read.schema(schema).parquet(folder).where("block = -1").toLocalIterator():
+        return folder
+
+    def bitmap(folder: str):
+        """A broadcast of the round's bitmap, None if it is empty."""
+        out = np.zeros(1 << (width - 3), np.uint8)
+        for r in special(spark, folder, -1).toLocalIterator():
             low, seg = int(np.frombuffer(r["keys"], "<i8")[0]), np.frombuffer(r["counts"], np.uint8)
-            bitmap[low : low + len(seg)] |= seg
-        if not bitmap.any():
+            out[low : low + len(seg)] |= seg
+        return spark.sparkContext.broadcast(out) if out.any() else None
+
+    marks: list = []
+    n_types = n_all = 0
+    for depths in ladder(WHOLE)[:2]:
+        folders.append(told(emit(rows, depths, marks[-1] if marks else None, parts), answer))
+        if not marks:
+            for r in special(spark, folders[0], -2).toLocalIterator():
+                n_types, n_all = n_types + r["n"], n_all + int(np.frombuffer(r["keys"], "<i8")[0])
+        found = bitmap(folders[-1])
+        if found is None:
             break
-        bits, before = spark.sparkContext.broadcast(bitmap), depths[-1]
-    words = rows.where("not held").select("__text").mapInArrow(vocabulary, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    n_types, n_all = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        marks.append(found)
+    steps: list[int] = []
+    if len(marks) == 2:
+        left = saved(reduced(rows, marks[1]), "stretches")
+        longest = left.agg(F.max("longest")).first()[0] or 0
+        for step in [0, *reversed([RADIX**i for i in range(longest.bit_length()) if RADIX**i <= longest - WHOLE])]:
+            asked = bitmap(told(emit_long(left, step, steps, folders, None, parts), questions))
+            if asked is not None:
+                folders.append(told(emit_long(left, step, steps, folders, asked, parts), answer))
+                asked.unpersist()
+            steps = [*steps, step] if step else steps
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, table = None, (np.zeros(0, U), np.zeros(0, np.int64))
-
-        def look(keys: np.ndarray, default: int) -> np.ndarray:
-            if not len(table[0]):
-                return np.full(len(keys), default, np.int64)
-            at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-            return np.where(table[0][at] == keys, table[1][at], default)
-
+        known = Known(folders)
         for b in batches:
-            out = []
-            for own, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), binary_column(b, "__text")):
-                if own != block:
-                    block, table = own, answers(folders, own)
-                t = Text(text)
-                out.append((held, t.n, *score_text(t, held, done, look, n_all, n_types)))
-            c = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(3), pa.array(c[0], pa.bool_()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array([n_all] * len(out), pa.int64()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.float64())], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            if not b.num_rows:
+                continue
+            out = [score_texts(t, known.of(block), [m.value for m in marks], steps, n_all, n_types) for block, t in groups(b)]
+            n, c, base, score = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(np.full(len(n), n_all), pa.int64()), pa.array(base), pa.array(score)], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n) of the tokens of a task's texts, pooled."""
-    pool, held = [], 0
-
-    def flush() -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(pool), return_counts=True)
-        pool.clear()
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
-
-    for b in batches:
-        for text in binary_column(b, "__text"):
-            pool.append(np.concatenate([word_hashes(text), [END]]))
-            held += len(pool[-1])
-            if held > FLUSH_KEYS:
-                yield flush()
-                held = 0
-    if pool:
-        yield flush()
+def special(spark: SparkSession, folder: str, block: int) -> DataFrame:
+    """A round's rows that answer no block."""
+    return spark.read.schema("n bigint, keys binary, counts binary, block bigint").parquet(folder).where(F.col("block") == block)
 
 
 def op7_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,6 +297,39 @@ def test_ngram_scores(docs):
     assert ngram_scores(empty).count() == 0
 
 
+def test_ngram_scores_longest_context(spark):
+    """Contexts of all lengths, also between 4, 8, 12, 64 and 72: copies cut anywhere, nested and repeated passages, whole copies."""
+    from palimpsest.llm.scoring import MU, ngram_scores
+
+    r = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(300)]
+    base = [list(r.choice(vocab, int(n))) for n in (30, 60, 90, 150, 150)]
+    rows = [" ".join(b) for b in base] + ["a a a a a a a a a a a a b", "a a a a a a a a a a a a a a", "b a a a a a a b"]
+    for _ in range(80):
+        b = base[int(r.integers(0, len(base)))]
+        i = int(r.integers(0, len(b) - 6))
+        rows.append(" ".join([*r.choice(vocab, int(r.integers(0, 4))), *b[i : i + int(r.integers(5, len(b)))], *r.choice(vocab, int(r.integers(0, 4)))]))
+        j = int(r.integers(1, len(b)))
+        rows.append(" ".join([*b[:j], "cut", *b[int(r.integers(0, j)) :]]))
+    texts = {i: (zlib.crc32(str(i).encode()) % 7 == 2, [*t.split(), None]) for i, t in enumerate(rows)}
+    train = [w for held, w in texts.values() if not held]
+    uni = collections.Counter(x for w in train for x in w)
+    grams = collections.Counter(hash(tuple(w[i:j])) for w in train for i in range(len(w)) for j in range(i + 1, len(w) + 1))
+    n, v, longest = sum(uni.values()), len(uni), set()
+    got = ngram_scores(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string").repartition(3)).collect()
+    assert len(got) == len(rows) and any(held for held, _ in texts.values())
+    for row in got:
+        held, w = texts[row["doc_id"]]
+        score = 0.0
+        for t in range(len(w)):
+            p = (uni[w[t]] + 1) / (n + v + 1)
+            k = max((k for k in range(1, t + 1) if grams[hash(tuple(w[t - k : t]))]), default=0)
+            longest |= {k} if held else set()
+            score += math.log10((grams[hash(tuple(w[t - k : t + 1]))] + MU * p) / (grams[hash(tuple(w[t - k : t]))] + MU) if k else p)
+        assert math.isclose(row["score"], score, rel_tol=1e-9), (row["doc_id"], held)
+    assert longest >= {*range(0, 40), 65, 71, 73}
+
+
 def test_language(spark, docs):
     from palimpsest.llm.langid import identify
 
