@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import count
 
 import pyarrow as pa
@@ -20,11 +22,51 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, unless the session has its own setting: whole texts make them large, and
-    Spark's 10,000 rows are held by the JVM and by Python at once."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Arrow batches of at most so many rows and bytes, unless the session has its own settings: whole texts make them
+    large, and Spark's 10,000 rows are held by the JVM and by Python at once."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+@cache
+def libc():
+    try:
+        return ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
+    except (OSError, TypeError):
+        return None
+
+
+def trim() -> None:
+    """Returns freed memory to the system. Python workers live on between tasks and would keep the peak of each."""
+    pa.default_memory_pool().release_unused()
+    if libc() is not None:
+        libc().malloc_trim(0)
+
+
+def lean(fn: Callable) -> Callable:
+    """A function for mapInArrow that returns its memory at the task's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def lean_group(fn: Callable) -> Callable:
+    """A function for applyInArrow that returns its memory after each group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return fn(table)
+        finally:
+            trim()
+
+    return run
 
 
 def scanned(df: DataFrame) -> DataFrame:
@@ -110,7 +152,7 @@ def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     node with a checkpoint, so lineage stays short; the number of rounds is logarithmic in the longest path.
     """
     kind = edges.schema["a"].dataType.simpleString()
-    edges = edges.select("a", "b").mapInArrow(forest, f"a {kind}, b {kind}")
+    edges = edges.select("a", "b").mapInArrow(lean(forest), f"a {kind}, b {kind}")
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
     before = None
     for _ in count() if most_rounds is None else range(most_rounds):

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import binary_column, components, release, saved, shuffle_partitions, small_batches
+from palimpsest.llm.common import binary_column, components, lean, lean_group, release, saved, shuffle_partitions, small_batches
 from palimpsest.llm.hashing import U, mix, shingle_set
 
 #: Frequent shingles: at least so many distinct sets of one task's pool, summed; and at most so many shingles, broadcast as 8 bytes each.
@@ -54,6 +54,7 @@ CLASS = 1.05
 HOLDERS = 2048
 #: Pairs of one bucket that one task filters.
 CELL_PAIRS = 1_000_000
+SLICE = 1 << 16
 #: Rows up to which a list of ids (8 bytes each) or of sets with their sizes (32 bytes) is broadcast; a longer one is joined by shuffle.
 BROADCAST_IDS = 500_000
 LAST_CHANNEL = 4
@@ -214,7 +215,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int) ->
             yield frequent()
 
     cols = docs.select(docs[id_col].alias("id"), docs[text_col].alias("__text"))
-    return cols.mapInArrow(run, f"kind int, id {kind}, n bigint, node bigint, check bigint, least bigint, bits binary")
+    return cols.mapInArrow(lean(run), f"kind int, id {kind}, n bigint, node bigint, check bigint, least bigint, bits binary")
 
 
 def index(docs: DataFrame, text_col: str, k: int, seed: int, t: Threshold, hot: np.ndarray, parts: int) -> DataFrame:
@@ -275,7 +276,7 @@ def index(docs: DataFrame, text_col: str, k: int, seed: int, t: Threshold, hot:
         if held:
             yield flush()
 
-    return docs.select(docs[text_col].alias("__text")).mapInArrow(run, "part int, data binary")
+    return docs.select(docs[text_col].alias("__text")).mapInArrow(lean(run), "part int, data binary")
 
 
 class Records:
@@ -388,18 +389,26 @@ def expand(t: Threshold, slots: int):
     return run
 
 
+def kept(edges: pa.Table, rule) -> pa.Table:
+    """The edges (a, b) that a rule accepts; only SLICE of them are Python numbers at once."""
+    out = np.zeros(edges.num_rows, bool)
+    for at in range(0, edges.num_rows, SLICE):
+        some = edges.slice(at, SLICE)
+        out[at : at + SLICE] = [rule(a, b) for a, b in zip(some.column("a").to_pylist(), some.column("b").to_pylist())]
+    return edges.filter(pa.array(out))
+
+
 def filtered(t: Threshold):
     """Of one bucket the pairs whose parity bitmaps don't rule them out."""
 
     def run(table: pa.Table) -> pa.Table:
         full, edge = table.filter(table.column("b").is_null()), table.filter(table.column("b").is_valid())
         known = dict(zip(full.column("a").to_pylist(), zip(full.column("n").to_pylist(), full.column("bits").to_pylist())))
-        out = []
-        for a, b in zip(edge.column("a").to_pylist(), edge.column("b").to_pylist()):
+        def near(a: int, b: int) -> bool:
             (n, x), (m, y) = known[a], known[b]
-            if unequal(x, y) <= t.differing(n + m):
-                out.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64()), "bucket": pa.array([edge.column("bucket")[0].as_py()] * len(out), pa.int32())})
+            return unequal(x, y) <= t.differing(n + m)
+
+        return kept(edge, near).select(["a", "b", "bucket"])
 
     return run
 
@@ -421,13 +430,12 @@ def verify(t: Threshold):
         for node, data in zip(full.column("a").to_pylist(), full.column("data").to_pylist()):
             if node not in sets:
                 sets[node] = unpacked(data)
-        out = []
-        for a, b in zip(edge.column("a").to_pylist(), edge.column("b").to_pylist()):
+        def linked(a: int, b: int) -> bool:
             x, y = sorted((sets[a], sets[b]), key=len)
             both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            if t.den * both >= t.num * (len(x) + len(y) - both):
-                out.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+            return t.den * both >= t.num * (len(x) + len(y) - both)
+
+        return kept(edge, linked).select(["a", "b"])
 
     return run
 
@@ -444,7 +452,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int,
             sets = [shingle_set(x, k) for x in binary_column(b, "__text")]
             yield pa.RecordBatch.from_arrays([pa.array([set_ids(h, seed)[0] for h in sets], pa.int64()), pa.array([packed(h) for h in sets], pa.binary())], names=["node", "data"])
 
-    return texts.mapInArrow(run, "node bigint, data binary")
+    return texts.mapInArrow(lean(run), "node bigint, data binary")
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 70, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -464,15 +472,15 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     mass = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle_partitions(spark), mass * RECORD // PART_BYTES)
     records = index(docs, text_col, k, seed, t, hot, parts).repartition(parts, "part")
-    met = saved(records.groupBy("part").applyInArrow(matches(t, parts), "slot int, data binary, left binary, right binary"), "matches")
+    met = saved(records.groupBy("part").applyInArrow(lean_group(matches(t, parts)), "slot int, data binary, left binary, right binary"), "matches")
     del records
     release(spark)
     packed = met.where("slot is not null").select("slot", "data")
     blocks = met.where("left is not null").select("left", "right")
     n_blocks = blocks.count()
     if n_blocks:
-        packed = packed.unionByName(blocks.repartition(max(shuffle_partitions(spark), n_blocks // 8)).mapInArrow(expand(t, parts), "slot int, data binary"))
-    pairs = packed.repartition(parts, "slot").groupBy("slot").applyInArrow(distinct_pairs, "a bigint, b bigint")
+        packed = packed.unionByName(blocks.repartition(max(shuffle_partitions(spark), n_blocks // 8)).mapInArrow(lean(expand(t, parts)), "slot int, data binary"))
+    pairs = packed.repartition(parts, "slot").groupBy("slot").applyInArrow(lean_group(distinct_pairs), "a bigint, b bigint")
     short = nodes.select(F.shiftright("node", 23).alias("short"), "node", "n", "least")
     ends = [short.select(F.col("short").alias(x), F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"), F.col("least").alias(f"{x}_least")) for x in "ab"]
     near = F.greatest("a_n", "b_n") * num <= F.least("a_n", "b_n") * den
@@ -493,7 +501,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     ends = pairs.select("bucket", "cell", F.col("a").alias("node")).unionByName(pairs.select("bucket", "cell", F.col("b").alias("node"))).distinct()
     shipped = ends.join(nodes.select("node", "n", "bits"), "node").select("bucket", "cell", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "n", "bits")
     work = shipped.unionByName(pairs.select("bucket", "cell", "a", "b", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("bits"))).repartition(buckets, "bucket", "cell")
-    pairs = saved(work.groupBy("bucket", "cell").applyInArrow(filtered(t), "a bigint, b bigint, bucket int"), "candidates")
+    pairs = saved(work.groupBy("bucket", "cell").applyInArrow(lean_group(filtered(t)), "a bigint, b bigint, bucket int"), "candidates")
     release(spark)
     ends = pairs.select("bucket", F.col("a").alias("node")).unionByName(pairs.select("bucket", F.col("b").alias("node"))).distinct()
     heavy = ends.join(nodes.select("node", "n"), "node").groupBy("bucket").agg(F.ceil(F.sum("n") * 8 / (4 * SET_BYTES)).cast("int").alias("grid")).where("grid > 1").checkpoint()
@@ -507,7 +515,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     placed = placed.checkpoint()
     shipped = sets.join(F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed, "node").select("bucket", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "data")
     work = shipped.unionByName(pairs.select("bucket", "a", "b", F.lit(None).cast("binary").alias("data"))).repartition(buckets, "bucket")
-    edges = saved(work.groupBy("bucket").applyInArrow(verify(t), "a bigint, b bigint"), "links")
+    edges = saved(work.groupBy("bucket").applyInArrow(lean_group(verify(t)), "a bigint, b bigint"), "links")
     return rows.select("id", "n", "node"), edges
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import binary_column, fold, numbered, small_batches
+from palimpsest.llm.common import binary_column, fold, lean, numbered, small_batches
 
 BUCKETS = 1 << 15
 MAX_LABELS = 512
@@ -88,7 +88,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") ->
             yield pa.RecordBatch.from_arrays([pa.array([label] * (len(at) + 1)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(s[at], n[label]))], names=["label", "bucket", "n"])
 
     # One row per label with its counts: at most MAX_LABELS x BUCKETS numbers reach the driver.
-    summed = rows.mapInArrow(run, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")).cache()
+    summed = rows.mapInArrow(lean(run), "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")).cache()
     try:
         if summed.where("bucket = -1").limit(MAX_LABELS + 1).count() > MAX_LABELS:
             raise ValueError(f"more than {MAX_LABELS} labels")
@@ -151,7 +151,7 @@ def scored(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], tex
             scores = [0.0 if t is None else float(1 / np.exp(t - t[k]).sum()) for t, k in zip(totals, best)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(lean(run), f"{schema}, lang_pred string, score double")
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm.common import binary_column, small_batches
+from palimpsest.llm.common import binary_column, lean, small_batches
 from palimpsest.llm.tokens import encoder, proof
 
 TIERS = (4096, 2048, 1024, 512, 256, 128)
@@ -180,7 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield out
 
     schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint, window bigint, step_id bigint" + ", ids binary" * with_ids
-    return docs.select(docs[id_col].alias(id_col), docs[text_col].alias("__text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias(id_col), docs[text_col].alias("__text")).mapInArrow(lean(run), schema)
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

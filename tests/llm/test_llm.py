@@ -330,6 +330,32 @@ def test_ngram_scores_longest_context(spark):
     assert longest >= {*range(0, 40), 65, 71, 73}
 
 
+def test_workers_give_memory_back(spark):
+    """A worker that peaked at over 300 MB of small pieces, with one left at the top, doesn't keep them; batches are bounded in bytes."""
+    from palimpsest.llm.common import lean, small_batches
+
+    def run(batches):
+        import pyarrow as pa
+
+        pieces = [bytearray(50_000) for _ in range(7000)]
+        globals()["__top"] = [pieces[-1]]
+        del pieces
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([0] * b.num_rows)], names=["id"])
+
+    def resident(batches):
+        import pyarrow as pa
+
+        for b in lean(run)(batches):
+            pass
+        mb = int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+        yield pa.RecordBatch.from_arrays([pa.array([mb])], names=["id"])
+
+    small_batches(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) == 8 << 20
+    assert spark.range(1).coalesce(1).mapInArrow(resident, "id bigint").first()[0] < 300
+
+
 def test_language(spark, docs):
     from palimpsest.llm.langid import identify
 
