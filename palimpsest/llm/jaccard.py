@@ -13,6 +13,12 @@ signature per segment, and segments are allocated by cost:
 * sets that still lack credit enter indexes of growing M, the last with one segment per shingle.
 
 A pair is guaranteed where one side has the credit; where both lack it, both enter the next index. So nothing is lost.
+Segments of one shingle have no one-deletion neighbour: it would be empty and the same for all sets.
+
+Families of near copies grow with the table, and the index would meet each of their pairs at many signatures. So each set
+has FAMILY_KEYS keys of two min-hashes, and a key of FAMILY sets or more makes a family. A pair that shares a family isn't
+emitted by the index; it belongs to the first family it shares, whose sets meet whole in one task, or in a grid of tasks
+for blocks of them, and are all compared by products of shingle incidences. No such pair travels before it is a link.
 Signatures travel as packed bytes of signature, predecessor, set, size class and the set's least signature. A pair of
 unequal size is never emitted; one whose least signatures are equal is emitted there only, any other at the start of each
 run of consecutive segments that it matches on. Holders of a signature that many sets share
@@ -37,6 +43,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +59,15 @@ RECORD, FLUSH, PART_BYTES, SET_BYTES = 20, 400_000, 24 << 20, 8 << 20
 CLASS = 1.05
 #: Holders of one signature up to which their task pairs them; more are cut into blocks of half as many.
 HOLDERS = 2048
-#: Pairs of one bucket that one task filters.
-CELL_PAIRS = 1_000_000
+#: Pairs of one bucket that one task filters, and that one verifies.
+CELL_PAIRS, VERIFY_PAIRS = 1_000_000, 100_000
+#: A family has so many sets at least; each set has so many keys. A task compares two blocks of at most so many sets and shingles, about.
+FAMILY, FAMILY_KEYS, BLOCK_SETS, BLOCK_SHINGLES = 64, 6, 2048, 1 << 20
+#: Shingles that at least one in so many pairs of a cell share are multiplied, so many at once; the others' pairs are listed, so many at once.
+COMMON, COLUMNS, LISTED = 64, 1024, 4_000_000
 SLICE = 1 << 16
-#: Rows up to which a list of ids (8 bytes each) or of sets with their sizes (32 bytes) is broadcast; a longer one is joined by shuffle.
+#: Rows up to which a list of ids (8 bytes each) or of sets with their sizes or families (32 bytes) is broadcast; a longer one is joined
+#: by shuffle, and of families only the larger are formed.
 BROADCAST_IDS = 500_000
 LAST_CHANNEL = 4
 
@@ -127,8 +139,10 @@ def signatures(h: np.ndarray, cold: np.ndarray, t: Threshold) -> Iterator[tuple[
             continue
         _, seed = segments(k, 1, m)
         exact = mix(sums[used] + seed[used])
-        of = np.searchsorted(at, np.arange(n), side="right") - 1
-        both = np.concatenate([exact, mix(sums[of] - own + seed[of])])
+        of = np.repeat(np.arange(m), size)
+        many = size[of] > 1
+        of, own_many = of[many], own[many]
+        both = np.concatenate([exact, mix(sums[of] - own_many + seed[of])])
         yield both, np.zeros(len(both), U)
         if len(used) + int((size > 1).sum()) >= need:
             continue
@@ -170,11 +184,43 @@ def chain(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sig, prev
 
 
-NAMES = ["kind", "id", "n", "node", "check", "least", "bits"]
+_salts = mix(np.arange(1, 2 * FAMILY_KEYS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+
+
+def family_keys(h: np.ndarray) -> np.ndarray:
+    """The set's keys, none of them 0: each of two min-hashes, the elements nearest to fixed points."""
+    low = (h[:, None] ^ _salts).min(0) if len(h) < 4096 else np.array([(h ^ x).min() for x in _salts], U)
+    return (mix(low[::2] + mix(low[1::2])) >> U(33)).astype(np.int32) | 1
+
+
+class Families:
+    """The families of sets that have any, by the upper 40 bits of nodes; sets with none have the last row."""
+
+    def __init__(self, short: np.ndarray, keys: np.ndarray):
+        order = np.argsort(short)
+        self.short, self.keys = short[order], np.concatenate([keys[order], np.zeros((1, FAMILY_KEYS), np.int32)])
+
+    def of(self, short: np.ndarray) -> np.ndarray:
+        if not len(self.short):
+            return np.zeros(len(short), np.int64)
+        at = np.minimum(np.searchsorted(self.short, short), len(self.short) - 1)
+        return np.where(self.short[at] == short, at, len(self.short))
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether rows i and j have a family in common."""
+        out = np.zeros(np.broadcast_shapes(i.shape, j.shape), bool)
+        for k in self.keys.T:
+            out |= (k[i] == k[j]) & (k[i] != 0)
+        return out
+
+
+NO_FAMILIES = Families(np.zeros(0, U), np.zeros((0, FAMILY_KEYS), np.int32))
+
+NAMES = ["kind", "id", "n", "node", "check", "least", "bits", "keys"]
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int) -> DataFrame:
-    """kind 0: id, n, node, check, least (hash), bits per row; kind 1: shingles frequent in a task's pool with their counts."""
+    """kind 0: id, n, node, check, least (hash), bits, keys per row; kind 1: shingles frequent in a task's pool with their counts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,16 +238,17 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int) ->
             c = np.diff(np.append(at, len(x)))
             x, c = x[at[c >= HOT_LOCAL]], c[c >= HOT_LOCAL]
             none = pa.nulls(len(x), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.nulls(len(x), id_type), pa.array(c), pa.array(x.view(np.int64)), none, none, pa.nulls(len(x), pa.binary())], names=NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.nulls(len(x), id_type), pa.array(c), pa.array(x.view(np.int64)), none, none, pa.nulls(len(x), pa.binary()), pa.nulls(len(x), pa.list_(pa.int32()))], names=NAMES)
 
         for b in batches:
             id_type = b.column(0).type
-            rows, bits = [], []
+            rows, bits, keys = [], [], []
             for text in binary_column(b, "__text"):
                 h = shingle_set(text, k)
                 node, check = set_ids(h, seed)
                 rows.append((len(h), node, check, int(h[0] >> U(1)) if len(h) else 0))
                 bits.append(parity(h))
+                keys.append(family_keys(h) if len(h) else None)
                 if len(h) and node not in seen:
                     seen.add(node)
                     pool.append(h)
@@ -210,12 +257,12 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int) ->
                         yield frequent()
                         held = 0
             cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), b.column(0), *cols, pa.array(bits, pa.binary())], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), b.column(0), *cols, pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int32()))], names=NAMES)
         if pool:
             yield frequent()
 
     cols = docs.select(docs[id_col].alias("id"), docs[text_col].alias("__text"))
-    return cols.mapInArrow(lean(run), f"kind int, id {kind}, n bigint, node bigint, check bigint, least bigint, bits binary")
+    return cols.mapInArrow(lean(run), f"kind int, id {kind}, n bigint, node bigint, check bigint, least bigint, bits binary, keys array<int>")
 
 
 def index(docs: DataFrame, text_col: str, k: int, seed: int, t: Threshold, hot: np.ndarray, parts: int) -> DataFrame:
@@ -338,8 +385,9 @@ def distinct_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
 
 
-def matches(t: Threshold, slots: int):
-    """Of one part of the index the candidate pairs (the upper 40 bits of nodes) by slot, and pairs of blocks (left, right)."""
+def matches(t: Threshold, slots: int, known=None):
+    """Of one part of the index the candidate pairs (the upper 40 bits of nodes) by slot, and pairs of blocks (left, right).
+    known is a broadcast of families, whose pairs are left out."""
 
     def run(table: pa.Table) -> pa.Table:
         rec = Records.read(table.column("data").to_pylist())
@@ -348,22 +396,33 @@ def matches(t: Threshold, slots: int):
         again = np.concatenate([[False], s[1:] == s[:-1]])
         rec = rec[order[again | np.concatenate([again[1:], [False]])]]
         del order, s, again
-        rec = rec[np.lexsort((rec.node, rec.sig))]
+        families = known.value if known else NO_FAMILIES
+        first = families.keys[families.of(rec.node), 0]
+        order = np.lexsort((rec.node, first, rec.sig))
+        rec = rec[order]
         if len(rec.sig):
             rec = rec[np.concatenate([[True], (rec.sig[1:] != rec.sig[:-1]) | (rec.node[1:] != rec.node[:-1])])]
-        sig = rec.sig
+        sig, own = rec.sig, families.of(rec.node)
+        first = families.keys[own, 0]
+        # The first holder that may make a pair with each: of those of one first family, the one after the last.
+        after = np.flatnonzero(np.concatenate([(sig[1:] != sig[:-1]) | (first[1:] != first[:-1]) | (first[1:] == 0), [True]])) + 1 if len(sig) else np.zeros(0, np.int64)
+        after = np.repeat(after, np.diff(after, prepend=0))
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
         held = np.diff(np.append(start, len(sig)))
         blocks = []
         for at, n in zip(start[held > HOLDERS], held[held > HOLDERS]):
-            own = [rec[i : min(i + HOLDERS // 2, at + n)].pack() for i in range(at, at + n, HOLDERS // 2)]
-            blocks += [(x, y) for i, x in enumerate(own) for y in own[i:]]
-        found, waiting, d = [], 0, 1
+            cuts = [(i, min(i + HOLDERS // 2, at + n)) for i in range(at, at + n, HOLDERS // 2)]
+            data = [rec[i:e].pack() for i, e in cuts]
+            blocks += [(x, data[k + m]) for k, x in enumerate(data) for m, (_, e) in enumerate(cuts[k:]) if after[cuts[k][0]] < e]
+        found, waiting, d = [], 0, 0
         live = np.flatnonzero(np.repeat(held <= HOLDERS, held))
-        while len(live := live[live + d < len(sig)]) and len(live := live[sig[live] == sig[live + d]]):
-            met = live[rec.meets(live, rec, live + d, t.classes)]
+        while len(live := live[after[live] + d < len(sig)]) and len(live := live[sig[live] == sig[after[live] + d]]):
+            to = after[live] + d
+            on = np.flatnonzero(rec.meets(live, rec, to, t.classes))
+            on = on[~families.shared(own[live[on]], own[to[on]])]
+            met, to = live[on], to[on]
             if len(met):
-                found.append(np.stack([rec.node[met], rec.node[met + d]], 1))
+                found.append(np.stack([rec.node[met], rec.node[to]], 1))
                 waiting += len(met)
             if waiting > 1_000_000:
                 found, waiting = [np.unique(np.sort(np.concatenate(found), axis=1).view("V16")).view(U).reshape(-1, 2)], 0
@@ -375,14 +434,17 @@ def matches(t: Threshold, slots: int):
     return run
 
 
-def expand(t: Threshold, slots: int):
+def expand(t: Threshold, slots: int, known=None):
     """Candidate pairs by slot of pairs of blocks of holders of one signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        families = known.value if known else NO_FAMILIES
         for batch in batches:
             for left, right in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
                 x, y = Records.read([left]), Records.read([right])
                 i, j = np.nonzero(x.meets((slice(None), None), y, slice(None), t.classes))
+                on = ~families.shared(families.of(x.node)[i], families.of(y.node)[j])
+                i, j = i[on], j[on]
                 rows = list(packed_pairs([np.stack([x.node[i], y.node[j]], 1)], slots))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slot", "data"])
 
@@ -403,12 +465,21 @@ def filtered(t: Threshold):
 
     def run(table: pa.Table) -> pa.Table:
         full, edge = table.filter(table.column("b").is_null()), table.filter(table.column("b").is_valid())
-        known = dict(zip(full.column("a").to_pylist(), zip(full.column("n").to_pylist(), full.column("bits").to_pylist())))
-        def near(a: int, b: int) -> bool:
-            (n, x), (m, y) = known[a], known[b]
-            return unequal(x, y) <= t.differing(n + m)
-
-        return kept(edge, near).select(["a", "b", "bucket"])
+        order = np.argsort(full.column("a").to_numpy())
+        node, n, bits = full.column("a").to_numpy()[order], full.column("n").to_numpy()[order], full.column("bits").take(order)
+        i, j = (np.searchsorted(node, edge.column(c).to_numpy()) for c in "ab")
+        length = pc.binary_length(bits).to_numpy()
+        width, most = np.minimum(length[i], length[j]), t.differing(n[i] + n[j])
+        near = np.zeros(edge.num_rows, bool)
+        for w in np.unique(width):
+            at = np.flatnonzero(width == w)
+            some, of = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+            maps = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, w // 8), 0) for x in bits.take(some).to_pylist()])
+            step = max(1, 8 * SLICE // int(w))
+            for low in range(0, len(at), step):
+                on, x, y = at[low : low + step], of[: len(at)][low : low + step], of[len(at) :][low : low + step]
+                near[on] = np.bitwise_count(maps[x] ^ maps[y]).sum(1) <= most[on]
+        return edge.filter(pa.array(near)).select(["a", "b", "bucket"])
 
     return run
 
@@ -422,14 +493,77 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=U)
 
 
-def verify(t: Threshold):
+def common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """The number of shingles that each of xs shares with each of ys."""
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    h = np.concatenate(xs)
+    vocabulary, of_x = np.unique(h, return_inverse=True)
+    row_x, h = np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(ys)
+    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    on = vocabulary[at] == h
+    of_y, row_y = at[on], np.repeat(np.arange(len(ys)), [len(y) for y in ys])[on]
+    n_x, n_y = (np.bincount(of, minlength=len(vocabulary)) for of in (of_x, of_y))
+    dense = n_x * n_y >= max(2, out.size // COMMON)
+    column = np.cumsum(dense) - 1
+    for low in range(0, int(dense.sum()), COLUMNS):
+        sides = []
+        for of, row, n in ((of_x, row_x, len(xs)), (of_y, row_y, len(ys))):
+            some = np.flatnonzero(dense[of] & (column[of] >= low) & (column[of] < low + COLUMNS))
+            side = np.zeros((n, COLUMNS), np.float32)
+            side[row[some], column[of[some]] - low] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    order = np.argsort(of_y, kind="stable")
+    row_y, start = row_y[order], np.cumsum(n_y) - n_y
+    rest = np.flatnonzero(~dense[of_x] & (n_y[of_x] > 0))
+    ends = np.cumsum(n_y[of_x[rest]])
+    at = 0
+    while at < len(rest):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LISTED)))
+        some = rest[at:to]
+        n = n_y[of_x[some]]
+        j = row_y[np.repeat(start[of_x[some]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        out += np.bincount(np.repeat(row_x[some], n) * len(ys) + j, minlength=out.size).reshape(out.shape)
+        at = to
+    return out
+
+
+def linked_in_family(t: Threshold, families: Families, k: int, left: dict[int, np.ndarray], right: dict[int, np.ndarray] | None) -> pa.Table:
+    """The linked pairs of two blocks of a family by key k, or of one if right is None, that share no family of an earlier key."""
+    x = np.array(list(left), np.int64)
+    y = x if right is None else np.array(list(right), np.int64)
+    xs = list(left.values())
+    ys = xs if right is None else list(right.values())
+    i, j = (families.of(z.view(U) >> U(23)) for z in (x, y))
+    open_ = np.triu(np.ones((len(x), len(y)), bool), 1) if right is None else np.ones((len(x), len(y)), bool)
+    for q in families.keys.T[:k]:
+        open_ &= (q[i][:, None] != q[j]) | (q[i] == 0)[:, None]
+    if open_.any():
+        both = common(xs, ys)
+        total = np.array([len(z) for z in xs])[:, None] + np.array([len(z) for z in ys])
+        open_ &= t.den * both >= t.num * (total - both)
+    i, j = np.nonzero(open_)
+    return pa.table({"a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j])})
+
+
+def verify(t: Threshold, known=None):
+    """The links among the pairs of a bucket, or of two blocks of a family: its bucket is negative, side says which block."""
+
     def run(table: pa.Table) -> pa.Table:
-        sets: dict[int, np.ndarray] = {}
         edge = table.filter(table.column("data").is_null())
         full = table.filter(table.column("data").is_valid())
-        for node, data in zip(full.column("a").to_pylist(), full.column("data").to_pylist()):
+        sides: dict[int, dict[int, np.ndarray]] = {}
+        for node, side, data in zip(full.column("a").to_pylist(), full.column("side").to_pylist(), full.column("data").to_pylist()):
+            sets = sides.setdefault(side, {})
             if node not in sets:
                 sets[node] = unpacked(data)
+        bucket, x, y = (table.column(c)[0].as_py() for c in ("bucket", "x", "y"))
+        if bucket < 0:
+            if x != y and len(sides) < 2:
+                return edge.select(["a", "b"])
+            return linked_in_family(t, known.value, -(bucket + 1) >> 32, sides[x], sides[y] if x != y else None)
+        sets = sides.get(0, {})
+
         def linked(a: int, b: int) -> bool:
             x, y = sorted((sets[a], sets[b]), key=len)
             both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
@@ -440,6 +574,30 @@ def verify(t: Threshold):
     return run
 
 
+def family_sets(nodes: DataFrame, twins: DataFrame) -> tuple[DataFrame, Families]:
+    """(bucket, x, y, side, node): the sets of each cell of a family's grid of blocks; and the families. Sets that share the
+    upper bits of a node with another one have no family. If too many sets had one, only larger families are formed."""
+    single = nodes.join(F.broadcast(twins.select(F.col("a").alias("twin"))), F.shiftright("node", 23) == F.col("twin"), "left_anti")
+    each = single.select("node", "n", F.posexplode("keys").alias("k", "key"))
+    groups = each.groupBy("k", "key").agg(F.count("*").alias("sets"), F.sum("n").alias("mass")).where(F.col("sets") >= FAMILY)
+    groups = groups.select("k", "key", "sets", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("mass") / BLOCK_SHINGLES)).cast("int").alias("blocks")).checkpoint()
+    least = FAMILY
+    while True:
+        large = groups.where(F.col("sets") >= least)
+        some = each.join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, ["k", "key"]).select("node", "k", "key", "blocks").checkpoint()
+        of = some.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("k", "key"))).alias("keys"))
+        of = of.select("node", *[F.coalesce(F.col("keys")[k], F.lit(0)).alias(f"k{k}") for k in range(FAMILY_KEYS)])
+        if some.select("node").distinct().count() <= BROADCAST_IDS:
+            break
+        least *= 2
+    table = of.toArrow()
+    families = Families(table.column("node").to_numpy().view(U) >> U(23), np.stack([table.column(f"k{k}").to_numpy() for k in range(FAMILY_KEYS)], 1).astype(np.int32))
+    side = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    cells = some.select("node", "k", "key", side.alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    bucket = -F.lit(1) - F.shiftleft(F.col("k").cast("bigint"), 32) - F.col("key")
+    return cells.select(bucket.alias("bucket"), F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "node"), families
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int, seed: int, wanted: DataFrame) -> DataFrame:
     """(node, data): the packed hashes of the sets of the wanted (id, node) rows."""
     wanted = wanted.checkpoint()
@@ -462,7 +620,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     while True:
         both = saved(describe(docs, id_col, text_col, k, seed), "sets")
         rows = both.where("kind = 0")
-        nodes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("least").alias("least"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n0"), F.any_value("bits").alias("bits"))
+        nodes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("least").alias("least"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n0"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys"))
         nodes = saved(nodes, "nodes")
         if nodes.where("c0 <> c1 or n <> n0").isEmpty():
             break
@@ -471,20 +629,22 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     hot = np.sort(hot.column("node").to_numpy().view(U))
     mass = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle_partitions(spark), mass * RECORD // PART_BYTES)
+    short = nodes.select(F.shiftright("node", 23).alias("short"), "node", "n", "least")
+    twins = short.groupBy("short").agg(F.count("*").alias("holders")).where("holders > 1").select(F.col("short").alias("a"), F.col("short").alias("b")).checkpoint()
+    members, families = family_sets(nodes, twins)
+    families = spark.sparkContext.broadcast(families)
     records = index(docs, text_col, k, seed, t, hot, parts).repartition(parts, "part")
-    met = saved(records.groupBy("part").applyInArrow(lean_group(matches(t, parts)), "slot int, data binary, left binary, right binary"), "matches")
+    met = saved(records.groupBy("part").applyInArrow(lean_group(matches(t, parts, families)), "slot int, data binary, left binary, right binary"), "matches")
     del records
     release(spark)
     packed = met.where("slot is not null").select("slot", "data")
     blocks = met.where("left is not null").select("left", "right")
     n_blocks = blocks.count()
     if n_blocks:
-        packed = packed.unionByName(blocks.repartition(max(shuffle_partitions(spark), n_blocks // 8)).mapInArrow(lean(expand(t, parts)), "slot int, data binary"))
+        packed = packed.unionByName(blocks.repartition(max(shuffle_partitions(spark), n_blocks // 8)).mapInArrow(lean(expand(t, parts, families)), "slot int, data binary"))
     pairs = packed.repartition(parts, "slot").groupBy("slot").applyInArrow(lean_group(distinct_pairs), "a bigint, b bigint")
-    short = nodes.select(F.shiftright("node", 23).alias("short"), "node", "n", "least")
     ends = [short.select(F.col("short").alias(x), F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"), F.col("least").alias(f"{x}_least")) for x in "ab"]
     near = F.greatest("a_n", "b_n") * num <= F.least("a_n", "b_n") * den
-    twins = short.groupBy("short").agg(F.count("*").alias("holders")).where("holders > 1").select(F.col("short").alias("a"), F.col("short").alias("b"))
     if nodes.count() <= BROADCAST_IDS:
         ends = [F.broadcast(e) for e in ends]
     pairs = pairs.unionByName(twins).join(ends[0], "a").join(ends[1], "b").where(((F.col("a") != F.col("b")) | (F.col("a_node") < F.col("b_node"))) & near)
@@ -504,18 +664,22 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     pairs = saved(work.groupBy("bucket", "cell").applyInArrow(lean_group(filtered(t)), "a bigint, b bigint, bucket int"), "candidates")
     release(spark)
     ends = pairs.select("bucket", F.col("a").alias("node")).unionByName(pairs.select("bucket", F.col("b").alias("node"))).distinct()
-    heavy = ends.join(nodes.select("node", "n"), "node").groupBy("bucket").agg(F.ceil(F.sum("n") * 8 / (4 * SET_BYTES)).cast("int").alias("grid")).where("grid > 1").checkpoint()
+    weight = ends.join(nodes.select("node", "n"), "node").groupBy("bucket").agg(F.sum("n").alias("mass"))
+    grid = F.greatest(F.ceil(F.col("mass") * 8 / (4 * SET_BYTES)), F.ceil(F.sqrt(F.col("held") / VERIFY_PAIRS))).cast("int")
+    heavy = pairs.groupBy("bucket").agg(F.count("*").alias("held")).join(weight, "bucket").select("bucket", grid.alias("grid")).where("grid > 1").checkpoint()
+    x, y = F.lit(0), F.lit(0)
     if not heavy.isEmpty():  # a bucket's sets are cut by node, and each cell of the grid has two of the cuts
-        cut = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.coalesce("grid", F.lit(1)))
-        pairs = pairs.join(heavy, "bucket", "left").select("a", "b", F.struct("bucket", F.least(cut("a"), cut("b")).alias("x"), F.greatest(cut("a"), cut("b")).alias("y")).alias("bucket"))
-        pairs = saved(pairs, "cells")
-    placed = pairs.select("bucket", F.col("a").alias("node")).unionByName(pairs.select("bucket", F.col("b").alias("node"))).distinct()
+        cut = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.coalesce("grid", F.lit(1))).cast("int")
+        pairs, x, y = pairs.join(heavy, "bucket", "left"), F.least(cut("a"), cut("b")), F.greatest(cut("a"), cut("b"))
+    pairs = saved(pairs.select(F.col("bucket").cast("bigint").alias("bucket"), x.alias("x"), y.alias("y"), "a", "b"), "cells")
+    cell = ["bucket", "x", "y"]
+    placed = pairs.select(*cell, F.lit(0).alias("side"), F.col("a").alias("node")).unionByName(pairs.select(*cell, F.lit(0).alias("side"), F.col("b").alias("node"))).distinct()
+    placed = placed.unionByName(members).checkpoint()
     wanted = placed.select("node").distinct().join(nodes, "node").select("id", "node")
     sets = shingle_sets(docs, id_col, text_col, k, seed, wanted)
-    placed = placed.checkpoint()
-    shipped = sets.join(F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed, "node").select("bucket", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "data")
-    work = shipped.unionByName(pairs.select("bucket", "a", "b", F.lit(None).cast("binary").alias("data"))).repartition(buckets, "bucket")
-    edges = saved(work.groupBy("bucket").applyInArrow(lean_group(verify(t)), "a bigint, b bigint"), "links")
+    shipped = sets.join(F.broadcast(placed) if placed.count() <= BROADCAST_IDS else placed, "node").select(*cell, "side", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "data")
+    work = shipped.unionByName(pairs.select(*cell, F.lit(0).alias("side"), "a", "b", F.lit(None).cast("binary").alias("data"))).repartition(buckets, *cell)
+    edges = saved(work.groupBy(*cell).applyInArrow(lean_group(verify(t, families)), "a bigint, b bigint"), "links")
     return rows.select("id", "n", "node"), edges
 
 

@@ -449,6 +449,80 @@ def test_hot_signatures_and_heavy_buckets(spark, docs, monkeypatch):
     assert sorted(map(tuple, J.jaccard_groups(df).collect())) == plain
 
 
+def test_families_of_near_copies(spark, monkeypatch):
+    """Pairs of a family aren't met in the index, and blocks of families give every link once."""
+    from palimpsest.llm import jaccard as J
+
+    r = np.random.default_rng(12)
+    rows = []
+    for f, n in enumerate((70, 40, 9)):
+        base = [f"w{i}" for i in r.integers(0, 900, 150)]
+        for _ in range(n):
+            w = list(base)
+            for at in r.integers(0, 150, int(r.integers(0, 12))):
+                w[at] = f"c{r.integers(0, 999)}"
+            rows.append((len(rows), " ".join(w if r.random() < 0.8 else w[: int(r.integers(90, 150))])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    near = [[j for j, b in enumerate(sets) if j != i and 100 * len(a & b) >= 70 * len(a | b)] for i, a in enumerate(sets)]
+    assert 1000 < sum(map(len, near)) < 70 * 69 + 40 * 39 + 9 * 8
+    monkeypatch.setattr(J, "FAMILY", 4)
+    monkeypatch.setattr(J, "BLOCK_SETS", 7)
+    assert [x["n_similar"] for x in sorted(J.jaccard_groups(df).collect())] == [len(x) for x in near]
+    monkeypatch.setattr(J, "BROADCAST_IDS", 80)  # sets of the smaller families go by the index
+    assert [x["n_similar"] for x in sorted(J.jaccard_groups(df).collect())] == [len(x) for x in near]
+    hashed = [J.shingle_set(t.encode()) for _, t in rows]
+    for common, listed in ((1, 100), (64, 4_000_000), (10**9, 50)):
+        monkeypatch.setattr(J, "COMMON", common)
+        monkeypatch.setattr(J, "LISTED", listed)
+        assert (J.common(hashed[:60], hashed[50:]) == [[len(a & b) for b in sets[50:]] for a in sets[:60]]).all()
+    index = J.index(df, "text", 3, 0, J.Threshold(70, 100), np.zeros(0, np.uint64), 1).toArrow()
+    nodes = {J.set_ids(h, 0)[0] >> 23: J.family_keys(h) for h in hashed}
+    families = J.Families(np.array(list(nodes), np.uint64), np.stack(list(nodes.values())))
+
+    class Known:
+        value = families
+
+    for holders in (2048, 8):
+        monkeypatch.setattr(J, "HOLDERS", holders)
+        met = J.matches(J.Threshold(70, 100), 1, Known)(index)
+        data = met.column("data").drop_null().to_pylist()
+        for b in J.expand(J.Threshold(70, 100), 1, Known)(iter(met.filter(met.column("left").is_valid()).select(["left", "right"]).to_batches())):
+            data += b.column("data").to_pylist()
+        pairs = J.distinct_pairs(J.pa.table({"data": J.pa.array(data, J.pa.binary())}))
+        a, b = (families.of(pairs.column(c).to_numpy().view(np.uint64)) for c in "ab")
+        assert len(a) and not families.shared(a, b).any()
+
+
+def test_bitmap_filter():
+    """The filter of many pairs at once keeps what single comparisons keep."""
+    from palimpsest.llm import jaccard as J
+
+    r, t = np.random.default_rng(6), J.Threshold(70, 100)
+    sets = [np.unique(r.integers(0, 2**64, int(n), dtype=np.uint64)) for n in r.integers(1, 700, 60)]
+    sets += [x[r.random(len(x)) < 0.9] for x in sets if len(x) > 20]
+    pairs = list(itertools.combinations(range(len(sets)), 2))
+    full = [(i, None, len(x), J.parity(x), 5) for i, x in enumerate(sets)]
+    rows = list(zip(*full + [(a, b, None, None, 5) for a, b in pairs]))
+    kinds = (J.pa.int64(), J.pa.int64(), J.pa.int64(), J.pa.binary(), J.pa.int32())
+    got = J.filtered(t)(J.pa.table({k: J.pa.array(x, kind) for k, x, kind in zip(("a", "b", "n", "bits", "bucket"), rows, kinds)}))
+    near = [(a, b) for a, b in pairs if J.unequal(J.parity(sets[a]), J.parity(sets[b])) <= t.differing(len(sets[a]) + len(sets[b]))]
+    assert list(zip(got.column("a").to_pylist(), got.column("b").to_pylist())) == near and 20 < len(near) < len(pairs)
+
+
+def test_empty_neighbours_are_no_signatures():
+    """Sets of one shingle a segment share no signature of an empty segment."""
+    from palimpsest.llm import jaccard as J
+
+    r = np.random.default_rng(5)
+    seen: set = set()
+    for _ in range(200):
+        h = np.unique(r.integers(0, 2**64, 6, dtype=np.uint64))
+        own = {int(x) for s, _ in J.signatures(h, np.ones(len(h), bool), J.Threshold(70, 100)) for x in s}
+        assert not own & seen
+        seen |= own
+
+
 def ids_of(t):
     from palimpsest.llm.tokens import load
 
