@@ -12,7 +12,7 @@ held by a queried text and found, or found at two training places - and only wha
 are stretches of texts all of whose 4-grams matter; every longer match lies within them. There M is found digit by digit
 in base RADIX, the highest first, each round asking for the next digit's lengths; training stretches count the lengths
 that a bitmap of the questions holds. A training text contains itself, so its longest context is all that goes before;
-one round counts the prefixes of all lengths, from places whose shorter prefix was asked for.
+one round counts the prefixes of all lengths: a text's own in one step, others from places whose shorter prefix was asked for.
 Queries ask for sets of keys per block of rows; answers are written to the shared folder by block and read by the
 task that scores that block, so texts are never shuffled and no table is broadcast whole.
 
@@ -31,7 +31,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import binary_column, fold, located, release, saved, scratch_dir, shuffle_partitions, small_batches
+from palimpsest.llm.common import binary_column, fold, lean, lean_group, located, release, saved, scratch_dir, shuffle_partitions, small_batches
 from palimpsest.llm.hashing import BASE, U, mix, word_hashes
 
 MU = 2.0
@@ -155,9 +155,12 @@ class Pools:
         """Sorted, delta-coded key sets by part; kind 0 with counts."""
         if not self.keys[kind]:
             return
-        key, n = np.unique(np.concatenate(self.keys[kind]), return_counts=True)
+        key = np.concatenate(self.keys[kind])
         self.keys[kind].clear()
         self.held[kind] = 0
+        key.sort()
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n, key = np.diff(at, append=len(key)), key[at]
         part = (key * U(self.parts)) >> U(48) if self.parts < 65536 else (key >> U(16)) * U(self.parts) >> U(32)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         rows = [(int(part[a]), kind, self.block, e - a, planes(np.diff(key[a:e], prepend=U(0)), 6), planes(n[a:e], 4) if kind == 0 else b"") for a, e in zip(at, np.append(at[1:], len(key)))]
@@ -202,7 +205,7 @@ def emit(docs: DataFrame, depths: list[int], bits, parts: int) -> DataFrame:
                     pools.add(2, k[ask[at]])
         yield from pools.rest()
 
-    return docs.mapInArrow(run, KEYS)
+    return docs.mapInArrow(lean(run), KEYS)
 
 
 class Stretches(Texts):
@@ -248,8 +251,13 @@ class Stretches(Texts):
         """Keys of all n-grams longer than WHOLE that a round's bitmap of questions holds."""
         at = np.flatnonzero(self.room >= WHOLE + max(step, 1))
         n, most = WHOLE, int(self.room[at].max(initial=0))
-        if not step:  # prefixes: the first tokens of the n-grams whose shorter ones were asked for
+        if not step:  # prefixes: a text asked for all of its own; elsewhere the first tokens of the n-grams whose shorter ones were asked for
+            own = self.prefixes()
+            yield self.keys(own, self.room[own])
             at -= WHOLE
+            inside = self.room > 1
+            inside[self.starts] = ~self.lead
+            at = at[inside[at]]
             end = np.repeat(self.starts + self.lengths, self.lengths)
             while (n := n + 1) <= most and len(at):
                 at = at[at + n <= end[at]]
@@ -288,7 +296,7 @@ def reduced(docs: DataFrame, bits) -> DataFrame:
                     flags = s.held[s.starts]
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(s.lengths.max())]), *(pa.array([x.tobytes()], pa.binary()) for x in (s.lengths.astype("<i8"), flags, s.lead, s.tokens.astype("<u8")))], names=["block", "longest", "lengths", "held", "lead", "tokens"])
 
-    return docs.mapInArrow(run, "block bigint, longest bigint, lengths binary, held binary, lead binary, tokens binary")
+    return docs.mapInArrow(lean(run), "block bigint, longest bigint, lengths binary, held binary, lead binary, tokens binary")
 
 
 def emit_long(stretches: DataFrame, step: int, steps: list[int], folders: list[str], bits, parts: int) -> DataFrame:
@@ -334,7 +342,7 @@ def emit_long(stretches: DataFrame, step: int, steps: list[int], folders: list[s
             yield from count()
         yield from pools.rest()
 
-    return stretches.mapInArrow(run, KEYS)
+    return stretches.mapInArrow(lean(run), KEYS)
 
 
 def bitmap_row(key: np.ndarray, width: int, probes: int = 1) -> tuple[int, int, bytes, bytes] | None:
@@ -473,16 +481,18 @@ def ngram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def told(keys: DataFrame, rule: Callable) -> str:
         folder = f"{scratch_dir(spark)}/round"
-        keys.groupBy("part").applyInArrow(rule(width), ANSWERS).repartition("block").write.partitionBy("block").parquet(folder)
+        keys.groupBy("part").applyInArrow(lean_group(rule(width)), ANSWERS).repartition("block").write.partitionBy("block").parquet(folder)
         release(spark)
         return folder
 
     def bitmap(folder: str):
-        """A broadcast of the round's bitmap, None if it is empty."""
+        """A broadcast of the round's bitmap, None if it is empty. Its rows are read once and then deleted."""
         out = np.zeros(1 << (width - 3), np.uint8)
         for r in special(spark, folder, -1).toLocalIterator():
             low, seg = int(np.frombuffer(r["keys"], "<i8")[0]), np.frombuffer(r["counts"], np.uint8)
             out[low : low + len(seg)] |= seg
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/block=-1")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         return spark.sparkContext.broadcast(out) if out.any() else None
 
     marks: list = []
@@ -504,7 +514,7 @@ def ngram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             asked = bitmap(told(emit_long(left, step, steps, folders, None, parts), questions))
             if asked is not None:
                 folders.append(told(emit_long(left, step, steps, folders, asked, parts), answer))
-                asked.unpersist()
+                asked.destroy()
             steps = [*steps, step] if step else steps
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,7 +526,7 @@ def ngram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n, c, base, score = (np.concatenate(x) for x in zip(*out))
             yield pa.RecordBatch.from_arrays([b.column(3), b.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(np.full(len(n), n_all), pa.int64()), pa.array(base), pa.array(score)], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def special(spark: SparkSession, folder: str, block: int) -> DataFrame:

@@ -330,6 +330,28 @@ def test_ngram_scores_longest_context(spark):
     assert longest >= {*range(0, 40), 65, 71, 73}
 
 
+def test_prefixes_of_long_texts_are_asked_at_once():
+    """A text's own prefixes take one step, not one for each length; prefixes of others are still found inside."""
+    from palimpsest.llm import scoring as S
+
+    r = np.random.default_rng(9)
+    first, other = (r.integers(0, 2**63, n, dtype=np.uint64) for n in (3000, 40))
+    tokens = np.concatenate([first, other, first[:20], other])  # a second text: other; a third: the first 20 words, then other
+    s = S.Stretches(tokens, np.array([3000, 40, 60]), np.zeros(3, bool), np.ones(3, bool))
+    own = s.prefixes()
+    asked = s.keys(own, s.room[own])
+    width = 22
+    row = S.bitmap_row(np.unique(asked), width, S.PROBES)
+    bits, low = np.zeros(1 << (width - 3), np.uint8), int(np.frombuffer(row[2], "<i8")[0])
+    bits[low : low + len(row[3])] = np.frombuffer(row[3], np.uint8)
+    steps = list(s.asked(bits, 0, 0))
+    assert len(steps) < 60
+    got = dict(zip(*np.unique(np.concatenate(steps), return_counts=True)))
+    assert all(got[k] == 1 for k in s.keys(np.arange(20, 3000), np.arange(21, 3001)))  # longer than 20 words only in the first
+    assert all(got[k] == 2 for k in s.keys(np.arange(4, 20), np.arange(5, 21)))
+    assert all(got[k] == 2 for k in s.keys(np.arange(3004, 3040), np.arange(5, 41)))  # at the second's start and inside the third
+
+
 def test_workers_give_memory_back(spark):
     """A worker that peaked at over 300 MB of small pieces, with one left at the top, doesn't keep them; batches are bounded in bytes."""
     from palimpsest.llm.common import lean, small_batches
