@@ -40,6 +40,8 @@ BLOCK_ROWS = 2048
 GROUP_WORDS = 300_000
 FLUSH_KEYS = 4_000_000
 PART_KEYS = 2_000_000
+#: Keys of one batch that a task passes on, and the files of a round's bitmap.
+BATCH_KEYS, BITMAP_FILES = 400_000, 16
 #: Bitmaps have a bit a word, within these bounds of their logarithm.
 LEAST_BITS, MOST_BITS = 20, 29
 #: Bits of a key in a bitmap of questions.
@@ -163,9 +165,15 @@ class Pools:
         n, key = np.diff(at, append=len(key)), key[at]
         part = (key * U(self.parts)) >> U(48) if self.parts < 65536 else (key >> U(16)) * U(self.parts) >> U(32)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        rows = [(int(part[a]), kind, self.block, e - a, planes(np.diff(key[a:e], prepend=U(0)), 6), planes(n[a:e], 4) if kind == 0 else b"") for a, e in zip(at, np.append(at[1:], len(key)))]
+        end = np.append(at[1:], len(key))
+        cut = np.flatnonzero(np.diff(at // BATCH_KEYS, prepend=-1))
+        for i, j in zip(cut, np.append(cut[1:], len(at))):
+            yield self.batch([(int(part[a]), kind, self.block, e - a, planes(np.diff(key[a:e], prepend=U(0)), 6), planes(n[a:e], 4) if kind == 0 else b"") for a, e in zip(at[i:j], end[i:j])])
+
+    @staticmethod
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
         c = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary()), pa.array(c[5], pa.binary())], names=["part", "kind", "block", "n", "keys", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.binary()), pa.array(c[5], pa.binary())], names=["part", "kind", "block", "n", "keys", "counts"])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         for kind in self.keys:
@@ -377,17 +385,19 @@ def answer(width: int):
     block -2 with the number and sum of the counted keys of another order."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, counts, kinds, blocks = [], [], [], []
-        for kind, block, n, k, c in zip(*(table.column(x).to_pylist() for x in ("kind", "block", "n", "keys", "counts"))):
-            keys.append(np.cumsum(unplanes(k, n, 6), dtype=U))
-            counts.append(unplanes(c, n, 4).astype(np.int64) if kind == 0 else np.zeros(n, np.int64))
-            kinds.append(np.full(n, kind, np.int8))
-            blocks.append(np.full(n, block, np.int64))
-        key, count, kind, block = (np.concatenate(x) for x in (keys, counts, kinds, blocks))
-        order = np.argsort(key, kind="stable")
-        key, count, kind, block = key[order], count[order], kind[order], block[order]
+        kind_of, block_of, sizes = (table.column(x).to_numpy() for x in ("kind", "block", "n"))
+        at, keys, counts = 0, np.zeros(int(sizes.sum()), U), np.zeros(int(sizes.sum()), np.uint32)
+        for kind, n, k, c in zip(kind_of, sizes.tolist(), table.column("keys"), table.column("counts")):
+            np.cumsum(unplanes(k.as_py(), n, 6), dtype=U, out=keys[at : at + n])
+            if kind == 0:
+                counts[at : at + n] = unplanes(c.as_py(), n, 4)
+            at += n
+        order = np.argsort(keys, kind="stable")
+        key, count, of = keys[order], counts[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        kind = kind_of.astype(np.int8)[of]
+        del keys, counts, order
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        total = np.add.reduceat(count, start)
+        total = np.add.reduceat(count, start, dtype=np.int64)
         queried = np.maximum.reduceat((kind == 1).astype(np.int8), start) > 0
         distinct = key[start]
         rows = [bitmap_row(distinct[(distinct & U(1) == 1) & ((total >= 2) | (queried & (total >= 1)))], width)]
@@ -395,7 +405,7 @@ def answer(width: int):
         rows = [r for r in rows if r] + [(-2, len(other), np.array([int(other.sum())], "<i8").tobytes(), b"")]
         each = np.repeat(total, np.diff(np.append(start, len(key))))
         got = ((kind == 1) & (each >= 1)) | ((kind == 2) & (each >= 2))
-        key, each, block = key[got], each[got], block[got]
+        key, each, block = key[got], each[got], block_of[of[got]]
         order = np.argsort(block, kind="stable")
         key, each, block = key[order], each[order], block[order]
         at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
@@ -478,14 +488,15 @@ def ngram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     width = min(MOST_BITS, max(LEAST_BITS, (mass // 6).bit_length() + 1))
     parts = max(shuffle_partitions(spark), int(mass / 6 * 2 / PART_KEYS))
     folders: list[str] = []
+    spread = F.when(F.col("block") == -1, F.pmod(F.xxhash64("keys"), F.lit(BITMAP_FILES))).otherwise(0)
 
-    def told(keys: DataFrame, rule: Callable) -> str:
+    def told(keys: DataFrame, rule: Callable, width: int = width) -> str:
         folder = f"{scratch_dir(spark)}/round"
-        keys.groupBy("part").applyInArrow(lean_group(rule(width)), ANSWERS).repartition("block").write.partitionBy("block").parquet(folder)
+        keys.groupBy("part").applyInArrow(lean_group(rule(width)), ANSWERS).repartition("block", spread).write.partitionBy("block").parquet(folder)
         release(spark)
         return folder
 
-    def bitmap(folder: str):
+    def bitmap(folder: str, width: int = width):
         """A broadcast of the round's bitmap, None if it is empty. Its rows are read once and then deleted."""
         out = np.zeros(1 << (width - 3), np.uint8)
         for r in special(spark, folder, -1).toLocalIterator():
@@ -509,11 +520,13 @@ def ngram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     steps: list[int] = []
     if len(marks) == 2:
         left = saved(reduced(rows, marks[1]), "stretches")
-        longest = left.agg(F.max("longest")).first()[0] or 0
+        longest, size = left.agg(F.max("longest"), F.sum(F.octet_length("tokens"))).first()
+        longest, small, long_folders = longest or 0, min(width, max(LEAST_BITS, ((size or 0) // 8).bit_length() + 2)), []
         for step in [0, *reversed([RADIX**i for i in range(longest.bit_length()) if RADIX**i <= longest - WHOLE])]:
-            asked = bitmap(told(emit_long(left, step, steps, folders, None, parts), questions))
+            asked = bitmap(told(emit_long(left, step, steps, long_folders, None, parts), questions, small), small)
             if asked is not None:
-                folders.append(told(emit_long(left, step, steps, folders, asked, parts), answer))
+                folders.append(told(emit_long(left, step, steps, long_folders, asked, parts), answer))
+                long_folders = [*long_folders, folders[-1]] if step else []
                 asked.destroy()
             steps = [*steps, step] if step else steps
 

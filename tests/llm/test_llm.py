@@ -352,6 +352,22 @@ def test_prefixes_of_long_texts_are_asked_at_once():
     assert all(got[k] == 2 for k in s.keys(np.arange(3004, 3040), np.arange(5, 41)))  # at the second's start and inside the third
 
 
+def test_keys_leave_in_bounded_batches():
+    """A pool's keys leave their task in batches of a bounded number of keys, with the counts of all of them."""
+    from palimpsest.llm import scoring as S
+
+    keys = np.random.default_rng(2).integers(0, 2**48, 1_500_000).astype(np.uint64)
+    pools = S.Pools(64)
+    list(pools.enter(7))
+    pools.add(0, keys)
+    pools.add(0, keys[:1000])
+    batches = list(pools.flush(0))
+    assert all(sum(b.column("n").to_pylist()) <= S.BATCH_KEYS + len(keys) // 32 for b in batches) and len(batches) > 2
+    got = [[np.cumsum(S.unplanes(k, n, 6), dtype=np.uint64), S.unplanes(c, n, 4)] for b in batches for n, k, c in zip(*(b.column(x).to_pylist() for x in ("n", "keys", "counts")))]
+    key, n = np.unique(np.concatenate([keys, keys[:1000]]), return_counts=True)
+    assert (np.concatenate([k for k, _ in got]) == key).all() and (np.concatenate([c for _, c in got]) == n).all()
+
+
 def test_workers_give_memory_back(spark):
     """A worker that peaked at over 300 MB of small pieces, with one left at the top, doesn't keep them; batches are bounded in bytes."""
     from palimpsest.llm.common import lean, small_batches
