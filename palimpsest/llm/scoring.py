@@ -11,7 +11,8 @@ Lengths 1 to 4 are counted over whole texts in two rounds. A bitmap tells after
 held by a queried text and found, or found at two training places - and only what lies behind them goes on. What is left
 are stretches of texts all of whose 4-grams matter; every longer match lies within them. There M is found digit by digit
 in base RADIX, the highest first, each round asking for the next digit's lengths; training stretches count the lengths
-that a bitmap of the questions holds. A training text contains itself, so its longest context is all that goes before;
+that a bitmap of the questions holds. Those rounds read stretches all of whose 4-grams are held by a queried text and found,
+as no match of one goes beyond; they are deleted after the last round. A training text contains itself, so its longest context is all that goes before;
 one round counts the prefixes of all lengths: a text's own in one step, others from places whose shorter prefix was asked for.
 Queries ask for sets of keys per block of rows; answers are written to the shared folder by block and read by the
 task that scores that block, so texts are never shuffled and no table is broadcast whole.
@@ -31,24 +32,29 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import binary_column, fold, lean, lean_group, located, release, saved, scratch_dir, shuffle_partitions, small_batches
-from palimpsest.llm.hashing import BASE, U, mix, word_hashes
+from palimpsest.llm.common import binary_column, fold, lean, lean_group, located, release, scratch_dir, shuffle_partitions, small_batches
+from palimpsest.llm.hashing import BASE, U, joined_hashes
 
 MU = 2.0
 BLOCK_ROWS = 2048
-#: Words of texts that are laid end to end and worked on at once.
-GROUP_WORDS = 300_000
+#: Bytes of texts, and words of stretches, that are laid end to end and worked on at once.
+GROUP_BYTES, GROUP_WORDS = 1_500_000, 300_000
 FLUSH_KEYS = 4_000_000
 PART_KEYS = 2_000_000
 #: Keys of one batch that a task passes on, and the files of a round's bitmap.
 BATCH_KEYS, BITMAP_FILES = 400_000, 16
 #: Bitmaps have a bit a word, within these bounds of their logarithm.
 LEAST_BITS, MOST_BITS = 20, 29
+#: By how much the logarithm is less for the keys that held-out texts ask for.
+SHARED_BITS = 2
 #: Bits of a key in a bitmap of questions.
 PROBES = 3
 #: The length up to which all n-grams are counted by the rounds over whole texts, and the base of longer lengths' digits.
 WHOLE, RADIX = 4, 8
 END = U(0x5BF03635DCD1F867)
+BIT = U(1).astype(np.uint8) << np.arange(8, dtype=np.uint8)
+#: Odd factors of keys, and by probe of bits after the first.
+MIXERS, PROBERS = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)), (U(1), U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 _pow = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -75,9 +81,21 @@ class Texts:
 
     def keys(self, end: np.ndarray, order: int | np.ndarray, base: int = 0) -> np.ndarray:
         """48-bit keys of the n-grams of an order with their last token at end; the lowest bit marks the base order."""
-        start = end + 1 - order
-        h = mix((self.sums[end + 1] - self.sums[start]) * self.down[start] + np.asarray(order, U) * U(0x9E37))
-        return ((h >> U(16)) & U(2**48 - 2)) | U(base > 0 and order == base)
+        after = end + 1
+        start = after - order
+        h = self.sums[after]
+        h -= self.sums[start]
+        h *= self.down[start]
+        h += np.asarray(order, U) * U(0x9E37)
+        h ^= h >> U(30)
+        h *= MIXERS[0]
+        h ^= h >> U(27)
+        h *= MIXERS[1]
+        h >>= U(16)
+        h &= U(2**48 - 2)
+        if base > 0 and order == base:
+            h |= U(1)
+        return h
 
     def alive(self, bits: np.ndarray, order: int) -> np.ndarray:
         """Whether the n-gram of an order that ends at each token is marked."""
@@ -96,14 +114,17 @@ def places(keys: np.ndarray, width: int, probe: int) -> np.ndarray:
     """Bits of keys in a bitmap of 2 ** width: the first probe keeps their order, later ones that of their first 12 bits."""
     if not probe:
         return keys >> U(48 - width)
-    return (keys >> U(36)) << U(width - 12) | mix(keys + U(probe << 48)) >> U(76 - width)
+    at = keys * PROBERS[probe]
+    at >>= U(76 - width)
+    at |= (keys >> U(36)) << U(width - 12)
+    return at
 
 
 def alive(bits: np.ndarray, keys: np.ndarray, probes: int = 1) -> np.ndarray:
     out, width = None, len(bits).bit_length() + 2
     for probe in range(probes):
         at = places(keys if out is None else keys[out], width, probe)
-        on = np.flatnonzero((bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1)
+        on = np.flatnonzero(bits[(at >> U(3)).view(np.int64)] & BIT[(at & U(7)).view(np.int64)])
         out = on if out is None else out[on]
     got = np.zeros(len(keys), bool)
     got[out] = True
@@ -121,18 +142,25 @@ def unplanes(data: bytes, n: int, width: int) -> np.ndarray:
 
 
 def groups(b: pa.RecordBatch) -> Iterator[tuple[int, Texts]]:
-    """(block, texts) of consecutive rows of a batch, in their order: a block's texts up to GROUP_WORDS."""
-    own, flags, tokens, words = None, [], [], 0
+    """(block, texts) of consecutive rows of a batch, in their order: a block's texts up to GROUP_BYTES."""
+
+    def made() -> Texts:
+        words, n = joined_hashes(texts)
+        tokens = np.full(len(words) + len(n), END)
+        tokens[np.arange(len(words)) + np.repeat(np.arange(len(n)), n)] = words
+        return Texts(tokens, n + 1, np.array(flags))
+
+    own, flags, texts, size = None, [], [], 0
     for block, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), binary_column(b, "__text")):
-        if tokens and (block != own or words > GROUP_WORDS):
-            yield own, Texts(np.concatenate(tokens), np.array([len(x) for x in tokens]), np.array(flags))
-            flags, tokens, words = [], [], 0
+        if texts and (block != own or size + len(text) > GROUP_BYTES):
+            yield own, made()
+            flags, texts, size = [], [], 0
         own = block
         flags.append(held)
-        tokens.append(np.append(word_hashes(text), END))
-        words += len(tokens[-1])
-    if tokens:
-        yield own, Texts(np.concatenate(tokens), np.array([len(x) for x in tokens]), np.array(flags))
+        texts.append(text)
+        size += len(text) + 1
+    if texts:
+        yield own, made()
 
 
 class Pools:
@@ -225,8 +253,8 @@ class Stretches(Texts):
         self.lead, self.at = lead, at
 
     @classmethod
-    def of(cls, t: Texts, bits: np.ndarray) -> Stretches:
-        mark = np.concatenate([[False], t.alive(bits, WHOLE), [False]])
+    def of(cls, t: Texts, marks: np.ndarray) -> Stretches:
+        mark = np.concatenate([[False], marks, [False]])
         first, last = np.flatnonzero(mark[1:] & ~mark[:-1]), np.flatnonzero(mark[:-1] & ~mark[1:])
         long = last - first > 1
         first, length = first[long] - WHOLE + 1, (last - first)[long] + WHOLE - 1
@@ -266,16 +294,30 @@ class Stretches(Texts):
             inside = self.room > 1
             inside[self.starts] = ~self.lead
             at = at[inside[at]]
-            end = np.repeat(self.starts + self.lengths, self.lengths)
-            while (n := n + 1) <= most and len(at):
-                at = at[at + n <= end[at]]
-                k = self.keys(at + n - 1, n)
-                on = alive(bits, k, PROBES)
-                at, k = at[on], k[on]
-                yield k
+            at = at[alive(bits, self.keys(at + WHOLE, WHOLE + 1), PROBES)]
+            yield from self.within(bits, at)
             return
         yield from self.below(bits, at, WHOLE, top, step)
 
+    def within(self, bits: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        """Keys of all prefixes that begin at these places, of which the shortest was asked for. Where a length was asked
+        for, so were all shorter ones: the greatest is found by leaps."""
+        room = np.repeat(self.starts + self.lengths, self.lengths)[at] - at
+        n = np.full(len(at), WHOLE + 1)
+        for leap in (RADIX**3, RADIX**2, RADIX, 1):
+            i = np.arange(len(at))
+            while len(i := i[n[i] + leap <= room[i]]):
+                n[i] += leap
+                on = alive(bits, self.keys(at[i] + n[i] - 1, n[i]), PROBES)
+                n[i[~on]] -= leap
+                i = i[on]
+        n -= WHOLE
+        total = np.cumsum(n)
+        cut = np.flatnonzero(np.diff(total // BATCH_KEYS, prepend=-1))
+        for a, e in zip(cut, np.append(cut[1:], len(at))):
+            first, own = np.repeat(at[a:e], n[a:e]), np.arange(n[a:e].sum()) - np.repeat(total[a:e] - n[a:e] - (total[a] - n[a]), n[a:e])
+            yield self.keys(first + own + WHOLE, own + WHOLE + 1)
+
     def below(self, bits: np.ndarray, at: np.ndarray, n: int, big: int, step: int) -> Iterator[np.ndarray]:
         """Keys of the n-grams ending at these places, whose n-gram is known to match in the rounds above step big: their
         longer ones are looked at by digits as questions are, so only lengths that questions came by are tested."""
@@ -293,18 +335,27 @@ class Stretches(Texts):
                 yield from self.below(bits, at[on], longer, big // RADIX, step)
 
 
-def reduced(docs: DataFrame, bits) -> DataFrame:
-    """(block, longest, lengths, held, lead, tokens) of the stretches of texts, a row or none for each group of them."""
+STRETCHES = "block bigint, longest bigint, lengths binary, held binary, lead binary, tokens binary, use int"
+
+
+def reduced(docs: DataFrame, bits, shared) -> DataFrame:
+    """STRETCHES of texts, two rows or fewer for each group of them: use 0, those of training texts, for prefixes; use 1,
+    those all of whose 4-grams are in the bitmap of what held-out texts ask for and training texts have, for the digits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, t in groups(b):
-                s = Stretches.of(t, bits.value)
-                if len(s.lengths):
-                    flags = s.held[s.starts]
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(s.lengths.max())]), *(pa.array([x.tobytes()], pa.binary()) for x in (s.lengths.astype("<i8"), flags, s.lead, s.tokens.astype("<u8")))], names=["block", "longest", "lengths", "held", "lead", "tokens"])
+                marks = t.alive(bits.value, WHOLE)
+                at = np.flatnonzero(marks)
+                both = np.zeros(len(marks), bool)
+                both[at] = alive(shared.value, t.keys(at, WHOLE, WHOLE))
+                for use, on in enumerate((marks & ~t.held, both)):
+                    s = Stretches.of(t, on)
+                    if len(s.lengths):
+                        flags = s.held[s.starts]
+                        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(s.lengths.max())]), *(pa.array([x.tobytes()], pa.binary()) for x in (s.lengths.astype("<i8"), flags, s.lead, s.tokens.astype("<u8"))), pa.array([use], pa.int32())], names=["block", "longest", "lengths", "held", "lead", "tokens", "use"])
 
-    return docs.mapInArrow(lean(run), "block bigint, longest bigint, lengths binary, held binary, lead binary, tokens binary")
+    return docs.mapInArrow(lean(run), STRETCHES)
 
 
 def emit_long(stretches: DataFrame, step: int, steps: list[int], folders: list[str], bits, parts: int) -> DataFrame:
@@ -323,7 +374,7 @@ def emit_long(stretches: DataFrame, step: int, steps: list[int], folders: list[s
                     yield from pools.flush(0)
 
         for b in batches:
-            for block, _, lengths, held, lead, tokens in zip(*(c.to_pylist() for c in b.columns)):
+            for block, _, lengths, held, lead, tokens in zip(*(c.to_pylist() for c in b.columns[:6])):
                 yield from pools.enter(block)
                 own = np.frombuffer(tokens, "<u8"), np.frombuffer(lengths, "<i8"), np.frombuffer(held, bool), np.frombuffer(lead, bool)
                 s = Stretches(*own)
@@ -353,15 +404,15 @@ def emit_long(stretches: DataFrame, step: int, steps: list[int], folders: list[s
     return stretches.mapInArrow(lean(run), KEYS)
 
 
-def bitmap_row(key: np.ndarray, width: int, probes: int = 1) -> tuple[int, int, bytes, bytes] | None:
-    """Block -1, the first byte and the bytes of a bitmap of keys."""
+def bitmap_row(key: np.ndarray, width: int, probes: int = 1, block: int = -1) -> tuple[int, int, bytes, bytes] | None:
+    """Block, the first byte and the bytes of a bitmap of keys."""
     if not len(key):
         return None
     at = np.concatenate([places(key, width, probe) for probe in range(probes)])
     low = int(at.min()) // 8
     seg = np.zeros(int(at.max()) // 8 - low + 1, np.uint8)
     np.bitwise_or.at(seg, (at >> U(3)).astype(np.int64) - low, U(1).astype(np.uint8) << (at & U(7)).astype(np.uint8))
-    return -1, len(key), np.array([low], "<i8").tobytes(), seg.tobytes()
+    return block, len(key), np.array([low], "<i8").tobytes(), seg.tobytes()
 
 
 def answered(rows: list[tuple]) -> pa.Table:
@@ -382,7 +433,8 @@ def questions(width: int):
 
 def answer(width: int):
     """Answers of one shard: per block the sorted keys found and their counts; block -1 with a bitmap of the base order,
-    block -2 with the number and sum of the counted keys of another order."""
+    block -2 with the number and sum of the counted keys of another order, block -3 with a bitmap of those of the base order
+    that held-out texts ask for."""
 
     def run(table: pa.Table) -> pa.Table:
         kind_of, block_of, sizes = (table.column(x).to_numpy() for x in ("kind", "block", "n"))
@@ -400,8 +452,9 @@ def answer(width: int):
         total = np.add.reduceat(count, start, dtype=np.int64)
         queried = np.maximum.reduceat((kind == 1).astype(np.int8), start) > 0
         distinct = key[start]
-        rows = [bitmap_row(distinct[(distinct & U(1) == 1) & ((total >= 2) | (queried & (total >= 1)))], width)]
-        other = total[(distinct & U(1) == 0) & (total > 0)]
+        base, shared = distinct & U(1) == 1, queried & (total >= 1)
+        rows = [bitmap_row(distinct[base & ((total >= 2) | shared)], width), bitmap_row(distinct[base & shared], width - SHARED_BITS, 1, -3)]
+        other = total[~base & (total > 0)]
         rows = [r for r in rows if r] + [(-2, len(other), np.array([int(other.sum())], "<i8").tobytes(), b"")]
         each = np.repeat(total, np.diff(np.append(start, len(key))))
         got = ((kind == 1) & (each >= 1)) | ((kind == 2) & (each >= 2))
@@ -438,13 +491,24 @@ class Known:
                             counts.append(unplanes(c, n, 5).astype(np.int64))
             key, count = np.concatenate(keys), np.concatenate(counts)
             order = np.argsort(key, kind="stable")
-            self.block, self.key, self.count = block, key[order], count[order]
+            self.block = block
+            self.set(key[order], count[order])
         return self.look
 
+    def set(self, key: np.ndarray, count: np.ndarray) -> None:
+        """Sorted keys with their counts, and where those of the same first bits begin."""
+        width = max(1, len(key).bit_length() - 1)
+        self.shift = U(48 - width)
+        n = np.bincount((key >> self.shift).astype(np.int64), minlength=1 << width)
+        self.key, self.count, self.first = np.append(key, U(2**48)), np.append(count, 0), np.append(0, np.cumsum(n)).astype(np.int32)
+
     def look(self, keys: np.ndarray, default: int) -> np.ndarray:
-        if not len(self.key):
-            return np.full(len(keys), default, np.int64)
-        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        """Keys are hashes: their first bits lead to within a few places of where they are."""
+        at = self.first[(keys >> self.shift).astype(np.int64)]
+        on = np.flatnonzero(self.key[at] < keys)
+        while len(on):
+            at[on] += 1
+            on = on[self.key[at[on]] < keys[on]]
         return np.where(self.key[at] == keys, self.count[at], default)
 
 
@@ -466,7 +530,7 @@ def score_texts(t: Texts, look: Callable, marks: list, steps: list[int], n_all:
             at, x = at[x > 0], x[x > 0]
             length[at], count[at] = d, x
     if len(marks) == 2:
-        s = Stretches.of(t, marks[1])
+        s = Stretches.of(t, t.alive(marks[1], WHOLE))
         at = s.prefixes()
         count[s.at[at]] = look(s.keys(at, s.room[at]), 1)
         at, m, x = s.lifted(steps, look)
@@ -488,7 +552,7 @@ def ngram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     width = min(MOST_BITS, max(LEAST_BITS, (mass // 6).bit_length() + 1))
     parts = max(shuffle_partitions(spark), int(mass / 6 * 2 / PART_KEYS))
     folders: list[str] = []
-    spread = F.when(F.col("block") == -1, F.pmod(F.xxhash64("keys"), F.lit(BITMAP_FILES))).otherwise(0)
+    spread = F.when(F.col("block").isin(-1, -3), F.pmod(F.xxhash64("keys"), F.lit(BITMAP_FILES))).otherwise(0)
 
     def told(keys: DataFrame, rule: Callable, width: int = width) -> str:
         folder = f"{scratch_dir(spark)}/round"
@@ -496,14 +560,17 @@ def ngram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         release(spark)
         return folder
 
-    def bitmap(folder: str, width: int = width):
+    def drop(folder: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def bitmap(folder: str, width: int = width, block: int = -1):
         """A broadcast of the round's bitmap, None if it is empty. Its rows are read once and then deleted."""
         out = np.zeros(1 << (width - 3), np.uint8)
-        for r in special(spark, folder, -1).toLocalIterator():
+        for r in special(spark, folder, block).toLocalIterator():
             low, seg = int(np.frombuffer(r["keys"], "<i8")[0]), np.frombuffer(r["counts"], np.uint8)
             out[low : low + len(seg)] |= seg
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/block=-1")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop(f"{folder}/block={block}")
         return spark.sparkContext.broadcast(out) if out.any() else None
 
     marks: list = []
@@ -513,22 +580,31 @@ def ngram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not marks:
             for r in special(spark, folders[0], -2).toLocalIterator():
                 n_types, n_all = n_types + r["n"], n_all + int(np.frombuffer(r["keys"], "<i8")[0])
+            drop(f"{folders[0]}/block=-3")
         found = bitmap(folders[-1])
         if found is None:
             break
         marks.append(found)
     steps: list[int] = []
     if len(marks) == 2:
-        left = saved(reduced(rows, marks[1]), "stretches")
-        longest, size = left.agg(F.max("longest"), F.sum(F.octet_length("tokens"))).first()
-        longest, small, long_folders = longest or 0, min(width, max(LEAST_BITS, ((size or 0) // 8).bit_length() + 2)), []
+        store, long_folders = f"{scratch_dir(spark)}/stretches", []
+        shared = bitmap(folders[1], width - SHARED_BITS, -3) or spark.sparkContext.broadcast(np.zeros(1 << (width - SHARED_BITS - 3), np.uint8))
+        reduced(rows, marks[1], shared).write.partitionBy("use").parquet(store)
+        shared.destroy()
+        left = spark.read.schema(STRETCHES).parquet(store)
+        sizes = {use: (longest, size) for use, longest, size in left.groupBy("use").agg(F.max("longest"), F.sum(F.octet_length("tokens"))).collect()}
+        longest = sizes.get(1, (0, 0))[0]
         for step in [0, *reversed([RADIX**i for i in range(longest.bit_length()) if RADIX**i <= longest - WHOLE])]:
-            asked = bitmap(told(emit_long(left, step, steps, long_folders, None, parts), questions, small), small)
+            use = int(step > 0)
+            own, small = left.where(F.col("use") == use), min(width, max(LEAST_BITS, (sizes.get(use, (0, 0))[1] // 8).bit_length() + 2 + use))
+            asked = bitmap(told(emit_long(own, step, steps, long_folders, None, parts), questions, small), small)
             if asked is not None:
-                folders.append(told(emit_long(left, step, steps, long_folders, asked, parts), answer))
+                folders.append(told(emit_long(own, step, steps, long_folders, asked, parts), answer))
                 long_folders = [*long_folders, folders[-1]] if step else []
                 asked.destroy()
             steps = [*steps, step] if step else steps
+            drop(f"{store}/use=0")  # only the prefixes need them
+        drop(store)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(folders)

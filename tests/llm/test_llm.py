@@ -352,6 +352,102 @@ def test_prefixes_of_long_texts_are_asked_at_once():
     assert all(got[k] == 2 for k in s.keys(np.arange(3004, 3040), np.arange(5, 41)))  # at the second's start and inside the third
 
 
+def test_prefixes_inside_texts_are_found_by_leaps():
+    """Long prefixes within other texts take a few steps, not one for each length, and every length is counted."""
+    from palimpsest.llm import scoring as S
+
+    r = np.random.default_rng(10)
+    first, other, more = (r.integers(0, 2**63, n, dtype=np.uint64) for n in (3000, 7, 5))
+    tokens = np.concatenate([first, other, first[:2345], more, first[:77]])
+    s = S.Stretches(tokens, np.array([3000, len(tokens) - 3000]), np.zeros(2, bool), np.ones(2, bool))
+    own = s.prefixes()
+    width = 22
+    row = S.bitmap_row(np.unique(s.keys(own, s.room[own])), width, S.PROBES)
+    bits, low = np.zeros(1 << (width - 3), np.uint8), int(np.frombuffer(row[2], "<i8")[0])
+    bits[low : low + len(row[3])] = np.frombuffer(row[3], np.uint8)
+    steps = list(s.asked(bits, 0, 0))
+    assert len(steps) < 60
+    got = dict(zip(*np.unique(np.concatenate(steps), return_counts=True)))
+    for a, e, n in ((5, 77, 3), (78, 2345, 2), (2346, 3000, 1)):
+        assert all(got[k] == n for k in s.keys(np.arange(a - 1, e), np.arange(a, e + 1)))
+
+
+def test_digit_rounds_read_what_queried_texts_share():
+    """Training passages that only training texts repeat stay out of the digit rounds; prefixes still see them."""
+    import pyarrow as pa
+
+    from palimpsest.llm import scoring as S
+
+    class Frame:
+        def mapInArrow(self, fn, schema):
+            return fn
+
+    class Bits:
+        def __init__(self, t, spans, width=20):
+            at = np.concatenate([np.arange(a + 3, e) for a, e in spans])
+            row = S.bitmap_row(np.unique(t.keys(at, S.WHOLE, S.WHOLE)), width)
+            self.value, low = np.zeros(1 << (width - 3), np.uint8), int(np.frombuffer(row[2], "<i8")[0])
+            self.value[low : low + len(row[3])] = np.frombuffer(row[3], np.uint8)
+
+    repeated, shared = " ".join(f"r{i}" for i in range(40)), " ".join(f"s{i}" for i in range(30))
+    texts = [f"{repeated} x {shared}", f"y {repeated}", f"z {shared}"]
+    b = pa.RecordBatch.from_arrays([pa.array([7, 7, 7]), pa.array([False, False, True]), pa.array(texts)], names=["block", "held", "__text"])
+    t = next(S.groups(b))[1]
+    spans = [(0, 40), (41, 71)]
+    rows = pa.Table.from_batches(list(S.reduced(Frame(), Bits(t, spans), Bits(t, spans[1:]))(iter([b])))).to_pylist()
+    got = {r["use"]: (np.frombuffer(r["lengths"], "<i8").tolist(), np.frombuffer(r["held"], bool).tolist()) for r in rows}
+    assert got == {0: ([40, 30, 40], [False] * 3), 1: ([30, 30], [False, True])}
+
+
+def test_joined_hashes(monkeypatch):
+    """Words are told apart as word_hashes does, text by text and whatever the lengths of words and texts."""
+    from palimpsest.llm import hashing as H
+
+    r = np.random.default_rng(4)
+    texts = [b"", b" ", b"a", b"A a\x00 a\x00\x00 \x00", b"\t\nx\x0by\x0c z\r", "é É ß".encode(), b"\x1c\x1f\x85 \xa0b"]
+    texts += [b" ".join(bytes(r.choice(list(b"abAB"), int(n))) for n in r.integers(1, 4, 300))]
+    texts += [b" ".join(b"q" * n + b"z" * (n % 2) for n in range(1, 200)), b"W" * 5000, b"v" * 64 + b" " + b"v" * 65 + b" " + b"V" * 65]
+    want = [H.word_hashes(x) for x in texts]
+    for most in (H.JOINED, 64):
+        monkeypatch.setattr(H, "JOINED", most)
+        got, n = H.joined_hashes(texts)
+        assert n.tolist() == list(map(len, want))
+        pairs = set(zip(got.tolist(), np.concatenate(want).tolist()))
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_answers_are_looked_up():
+    from palimpsest.llm import scoring as S
+
+    r = np.random.default_rng(6)
+    for n in (0, 1, 2, 5000):
+        key = np.unique(r.integers(0, 2**48, n).astype(np.uint64))
+        key[: n // 2] >>= np.uint64(30)  # crowded at one end
+        key = np.unique(key)
+        known = S.Known([])
+        known.of(3)
+        known.set(key, np.arange(len(key)) + 1)
+        asked = np.concatenate([key, key + np.uint64(1), r.integers(0, 2**48, 100).astype(np.uint64), np.array([0, 2**48 - 1], np.uint64)])
+        have = dict(zip(key.tolist(), range(1, len(key) + 1)))
+        assert known.look(asked, 9).tolist() == [have.get(k, 9) for k in asked.tolist()]
+
+
+def test_stretches_leave_the_disk(spark):
+    """What only the rounds read is deleted after them; their answers stay."""
+    from pathlib import Path
+
+    from palimpsest.llm.common import scratch_dir
+    from palimpsest.llm.scoring import ngram_scores
+
+    root = Path(scratch_dir(spark).removeprefix("file:")).parent
+    before = set(root.rglob("*.parquet"))
+    text = " ".join(f"w{i}" for i in range(50))
+    out = ngram_scores(spark.createDataFrame([(i, f"{i} {text}") for i in range(30)], "doc_id int, text string"))
+    new = {str(p.relative_to(root)) for p in set(root.rglob("*.parquet")) - before}
+    assert any("/round/" in p for p in new) and not any("stretches" in p or "block=-1" in p or "block=-3" in p for p in new)
+    assert out.count() == 30
+
+
 def test_keys_leave_in_bounded_batches():
     """A pool's keys leave their task in batches of a bounded number of keys, with the counts of all of them."""
     from palimpsest.llm import scoring as S
