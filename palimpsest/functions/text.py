@@ -10,9 +10,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.storage import small_batches, trim
+
 UNIT = "[A-Za-z0-9_]+|[^A-Za-z0-9_]+"
 #: Up to four distinct characters.
 FEW = r"(?s)^(.)\1*+(?:(.)(?:\1|\2)*+(?:(.)(?:\1|\2|\3)*+(?:(.)(?:\1|\2|\3|\4)*+)?)?)?$"
@@ -28,7 +30,7 @@ def display(raw: Column) -> Column:
 def content(raw: Column, field: str = "text") -> Column:
     """The field of a JSON record, if it is there and not null, else the whole line. Strings come as they are, other
     values as JSON text with sorted keys. Records whose field may be another value than a string are parsed in Python;
-    all others stay in the JVM."""
+    all others stay in the JVM: Python is called for every row, whatever the condition around it, so they reach it as null."""
     text = display(raw)
 
     @F.pandas_udf("string")
@@ -40,11 +42,15 @@ def content(raw: Column, field: str = "text") -> Column:
                 return line
             return v if isinstance(v, str) else line if v is None else json.dumps(v, sort_keys=True)
 
-        return s.map(value)
+        try:
+            return s.map(value)
+        finally:
+            trim()
 
+    small_batches(SparkSession.active())
     found = F.get_json_object(F.when(F.trim(text).startswith("{"), text), f"$.{field}")
     other = found.rlike(r"(?s)^(?:[\[{].*|true|false|-?[0-9][0-9.eE+-]*)$")
-    return F.when(F.coalesce(other, F.lit(False)), parsed(text)).otherwise(F.coalesce(found, text))
+    return F.when(F.coalesce(other, F.lit(False)), parsed(F.when(other, text))).otherwise(F.coalesce(found, text))
 
 
 def glued(parts: str, field: str) -> Column:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
 from collections.abc import Callable, Iterator
-from functools import cache
 from itertools import count
 
 import pyarrow as pa
@@ -13,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.storage import saved, scratch_dir  # noqa: F401
+from palimpsest.storage import libc, saved, scratch_dir, small_batches, trim  # noqa: F401
 
 
 def release(spark: SparkSession) -> None:
@@ -22,29 +20,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
-    """Arrow batches of at most so many rows and bytes, unless the session has its own settings: whole texts make them
-    large, and Spark's 10,000 rows are held by the JVM and by Python at once."""
-    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-
-
-@cache
-def libc():
-    try:
-        return ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
-    except (OSError, TypeError):
-        return None
-
-
-def trim() -> None:
-    """Returns freed memory to the system. Python workers live on between tasks and would keep the peak of each."""
-    pa.default_memory_pool().release_unused()
-    if libc() is not None:
-        libc().malloc_trim(0)
-
-
 def lean(fn: Callable) -> Callable:
     """A function for mapInArrow that returns its memory at the task's end."""
 

@@ -203,3 +203,15 @@ def test_sketch(spark):
     assert abs(n - 400) < 40
     halves = [sketch.registers(df.where(f"v {op} 200"), "v") for op in ("<", ">=")]
     assert sketch.estimate(sketch.merge(*halves)).first()[0] == n
+
+
+def test_plain_records_reach_no_python(spark, tmp_path):
+    """The condition around a Python function doesn't keep rows from it: plain texts must come to it as null."""
+    from palimpsest.functions import text as T
+
+    df = spark.createDataFrame([(1, "plain " * 50), (2, '{"text": 5}'), (3, '{"text": "x"}'), (4, None), (5, '{"a": 1}')], "id bigint, raw string")
+    got = df.select("id", T.content(F.col("raw")).alias("c"))
+    assert {r["id"]: r["c"] for r in got.collect()} == {1: "plain " * 50, 2: "5", 3: "x", 4: None, 5: '{"a": 1}'}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    call = plan[plan.index("parsed(") :]
+    assert call.startswith("parsed(CASE WHEN"), call[:200]
