@@ -3,30 +3,39 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.storage import small_batches, trim
+
+
+def _each(fn: Callable[[bytes], bytes]):
+    """A column function of bytes, null staying null; batches are bounded in bytes and their memory is given back."""
+    small_batches(SparkSession.active())
 
-def compress(raw: Column, level: int = 6) -> Column:
-    """LZ-compressed bytes; null stays null."""
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else zlib.compress(bytes(x), level))
+        try:
+            return s.map(lambda x: None if x is None else fn(bytes(x)))
+        finally:
+            trim()
 
-    return run(raw.cast("binary"))
+    return run
 
 
-def decompress(data: Column) -> Column:
-    @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else zlib.decompress(bytes(x)))
+def compress(raw: Column, level: int = 6) -> Column:
+    """LZ-compressed bytes; null stays null."""
+    return _each(lambda x: zlib.compress(x, level))(raw.cast("binary"))
 
-    return run(data)
+
+def decompress(data: Column) -> Column:
+    """The bytes before compression."""
+    return _each(zlib.decompress)(data)
 
 
 def bitmaps(rows: DataFrame, row_id: str, live: Column, size: int = 1 << 16) -> DataFrame:

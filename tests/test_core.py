@@ -215,3 +215,23 @@ def test_plain_records_reach_no_python(spark, tmp_path):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     call = plan[plan.index("parsed(") :]
     assert call.startswith("parsed(CASE WHEN"), call[:200]
+
+
+def test_codecs_hold_small_batches(spark):
+    """Whole texts must come in batches bounded in rows and bytes, not in Spark's 10,000 rows."""
+    from pyspark.sql import SparkSession
+
+    from palimpsest.functions import codec
+
+    own = spark.newSession()
+    try:
+        SparkSession._activeSession = own
+        spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(own._jsparkSession)
+        df = own.createDataFrame([(b"x" * 100,), (None,)], "b binary")
+        back = df.select("b", codec.decompress(codec.compress(F.col("b"))).alias("c"))
+        assert [r["b"] == r["c"] for r in back.collect()] == [True, True]
+        assert int(own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+        assert int(own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    finally:
+        SparkSession._activeSession = spark
+        spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(spark._jsparkSession)
