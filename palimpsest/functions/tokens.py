@@ -5,22 +5,25 @@ Token ids are positive; id ESCAPE + b stands for the byte b of text outside the
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import PAIRS_HELD, UNIT, glued, units
-from palimpsest.storage import saved
+from palimpsest.functions.text import PAIRS_HELD, UNIT, units
+from palimpsest.storage import saved, small_batches, trim
 
 ESCAPE = 0xFFFFFF00
 MOST_UNITS, MOST_BYTES = 12, 64
-#: Dictionary entries that are broadcast to tokenize; a larger dictionary is refused.
+#: Dictionary entries that are broadcast; tokenize refuses a dictionary with more entries of several units.
 MOST_ENTRIES = 1_000_000
-_UNIT = re.compile(UNIT.encode())
+#: Items of a block, whose different ones are looked up together.
+BLOCK_ITEMS = 5_000_000
+_UNIT, _TEXT_UNIT = re.compile(UNIT.encode()), re.compile(UNIT)
 
 
 def learn(df: DataFrame, text: str, known: DataFrame | None = None) -> DataFrame:
@@ -76,11 +79,11 @@ def _entry_pairs(df: DataFrame, text: str, entries) -> DataFrame:
     return df.select(F.col(text).cast("string")).mapInArrow(run, "text string, n bigint").groupBy("text").agg(F.sum("n").alias("n"))
 
 
-def _greedy(u: list[bytes], ids: dict[bytes, int]) -> Iterator[tuple[bytes, int, int | None]]:
-    """(bytes, units, id) of the longest entry at each place; id None for a unit that isn't one."""
+def _greedy(u: list[bytes], ids: dict[bytes, int], most: int = MOST_UNITS) -> Iterator[tuple[bytes, int, int | None]]:
+    """(bytes, units, id) of the longest entry of up to `most` units at each place; id None for a unit that isn't one."""
     i = 0
     while i < len(u):
-        for n in range(min(MOST_UNITS, len(u) - i), 0, -1):
+        for n in range(min(most, MOST_UNITS, len(u) - i), 0, -1):
             x = b"".join(u[i : i + n])
             if (k := ids.get(x)) is not None:
                 break
@@ -102,27 +105,107 @@ def ruled_out(dictionary: DataFrame, needle: str) -> bool:
     return bool(inner) and dictionary.where(F.col("text").isin(inner)).select("text").distinct().count() < len(set(inner))
 
 
-def tokenize(df: DataFrame, text: str, dictionary: DataFrame, out: str = "tokens") -> DataFrame:
-    """df with token ids: the longest dictionary entry over up to 12 units at each place, else the unit's bytes escaped."""
-    known = _broadcast(df, dictionary)
+def _encoded(df: DataFrame, column: str, cut: Callable[[object], list], kind: str, keep: list[str]) -> DataFrame:
+    """df's columns of keep with __block, and in place of a row's items their places among the block's different ones
+    (__cut); and a row for each block with these (__items). A block is consecutive rows of a task, about BLOCK_ITEMS items."""
+    spark = df.sparkSession
+    small_batches(spark)
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "__block bigint", "__cut array<int>", f"__items array<{kind}>"])
+    each = df.select(*keep, F.col(column).alias("__it"))
 
-    @F.pandas_udf("array<bigint>")
-    def run(s: pd.Series) -> pd.Series:
-        ids = known.value
-        cut = lambda t: [y for x, _, k in _greedy(_UNIT.findall((t or "").encode()), ids) for y in ([k] if k is not None else [ESCAPE + b for b in x])]
-        return s.map(cut)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, n = TaskContext.get().partitionId() << 32, 0
+        places: dict = {}
+        own = None
+
+        def items() -> pa.RecordBatch:
+            nonlocal block, n
+            typed = pa.array([list(places)], pa.list_(pa.string() if kind == "string" else pa.int64()))
+            out = pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in own), pa.array([block]), pa.nulls(1, pa.list_(pa.int32())), typed], names=names)
+            places.clear()
+            block, n = block + 1, 0
+            return out
 
-    return df.withColumn(out, run(F.col(text)))
+        names = [*keep, "__block", "__cut", "__items"]
+        for b in batches:
+            own = [c.type for c in b.columns[:-1]]
+            cuts = []
+            for v in b.column(len(keep)).to_pylist():
+                cuts.append(array("i", [places.setdefault(x, len(places)) for x in cut(v)]))
+                n += len(cuts[-1])
+            ends = np.cumsum([0, *map(len, cuts)])
+            flat = np.concatenate([np.frombuffer(c, np.int32) for c in cuts]) if len(cuts) else np.zeros(0, np.int32)
+            at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([block] * len(b), pa.int64()), at, pa.nulls(len(b), pa.list_(pa.int64() if kind == "bigint" else pa.string()))], names=names)
+            if n >= BLOCK_ITEMS:
+                yield items()
+        if places:
+            yield items()
+        trim()
+
+    return saved(each.mapInArrow(run, schema), "encoded")
+
+
+def _decoded(coded: DataFrame, known: DataFrame, keep: list[str], glue: Callable[[list, list, pa.ListArray], pa.Array], out: str, kind: str) -> DataFrame:
+    """Rows of _encoded with what glue makes of the items and their values in known (__item, value): a block's different
+    items meet known and come back to its rows, so that no item of a text travels by itself."""
+    schema = ", ".join([*(f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` {kind}"])
+    items = coded.where(F.col("__items").isNotNull()).select("__block", F.posexplode("__items").alias("__i", "__item"))
+    known = known.groupBy("__item").agg(F.max("value").alias("value"))  # one value each
+    values = items.join(known, "__item", "left").select(F.col("__block").alias("__of"), "__i", "__item", "value")
+    rows = coded.where(F.col("__cut").isNotNull()).select(*keep, "__block", "__cut")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        places = right.column("__i").to_numpy()
+        order = np.argsort(places)
+        items, found = (right.column(c).take(pa.array(order)).to_pylist() for c in ("__item", "value"))
+        cuts = left.column("__cut").combine_chunks()
+        done = pa.table([*(left.column(c) for c in keep), glue(items, found, cuts)], names=[*keep, out])
+        trim()
+        return done
+
+    return rows.groupBy("__block").cogroup(values.groupBy("__of")).applyInArrow(run, schema)
+
+
+def tokenize(df: DataFrame, text: str, dictionary: DataFrame, out: str = "tokens", keep: list[str] | None = None) -> DataFrame:
+    """df, or its columns keep, with token ids: the longest dictionary entry over up to 12 units at each place, else the
+    unit's bytes escaped. Only entries of several units decide where a text is cut: these are broadcast, and a dictionary
+    with too many of them is refused. The others, which grow with the texts, are joined."""
+    several = dictionary.where(F.size(units(F.col("text").cast("string"))) > 1)
+    entries = _broadcast(df, several)
+    most = max((len(_UNIT.findall(x)) for x in entries.value), default=1)
+
+    def cut(t: str | None) -> list[str]:
+        if most == 1:
+            return _TEXT_UNIT.findall(t or "")
+        return [x.decode() for x, _, _ in _greedy(_UNIT.findall((t or "").encode()), entries.value, most)]
+
+    def glue(items: list, found: list, cuts: pa.ListArray) -> pa.ListArray:
+        ids = [[k] if k is not None else [ESCAPE + b for b in x.encode()] for x, k in zip(items, found)]
+        flat, ends = cuts.flatten().to_numpy(), cuts.offsets.to_numpy().astype(np.int64)
+        size = np.array([len(x) for x in ids] or [0], np.int64)
+        start = np.cumsum(size) - size
+        pool = np.array([y for x in ids for y in x] or [0], np.int64)
+        length = size[flat] if len(flat) else np.zeros(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(length)])
+        values = pool[np.repeat(start[flat] - total[:-1], length) + np.arange(total[-1])] if len(flat) else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(total[ends - ends[0]], pa.int32()), pa.array(values))
+
+    names = [c for c in (df.columns if keep is None else keep) if c != out]
+    coded = _encoded(df.withColumn("__t", F.col(text).cast("string")), "__t", cut, "string", names)
+    return _decoded(coded, dictionary.select(F.col("text").cast("string").alias("__item"), F.col("id").alias("value")), names, glue, out, "array<bigint>")
 
 
 def detokenize(df: DataFrame, key: str, tokens: str, dictionary: DataFrame) -> DataFrame:
-    """(key, text as bytes): tokens joined with the dictionary, in order."""
-    each = df.select(key, F.posexplode(tokens).alias("__i", "__id"))
-    words = each.join(dictionary.select(F.col("id").alias("__id"), F.col("text").cast("binary").alias("__w")), "__id", "left")
-    escaped = F.unhex(F.lpad(F.hex(F.col("__id").bitwiseAND(255)), 2, "0"))
-    part = words.select(key, F.struct("__i", F.coalesce(F.when(F.col("__id") < ESCAPE, F.col("__w")), escaped).alias("w")).alias("p"))
-    joined = part.groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("p")).select(key, glued("p", "w").alias("text"))
-    return df.select(key).join(joined, key, "left").withColumn("text", F.coalesce("text", F.lit(bytearray())))
+    """(key, text as bytes): tokens put back as the dictionary's texts, in order; no tokens give no bytes."""
+    def glue(items: list, found: list, cuts: pa.ListArray) -> pa.Array:
+        words = [bytes([k & 255]) if k >= ESCAPE else w or b"" for k, w in zip(items, found)]
+        return pa.array([b"".join([words[i] for i in c]) for c in cuts.to_pylist()], pa.binary())
+
+    coded = _encoded(df, tokens, lambda ids: [k for k in ids or () if k is not None], "bigint", [key])
+    return _decoded(coded, dictionary.select(F.col("id").alias("__item"), F.col("text").cast("binary").alias("value")), [key], glue, "text", "binary")
 
 
 def absent(words: DataFrame, key: str, text: str, df: DataFrame, other: str) -> DataFrame:
