@@ -65,6 +65,8 @@ class Table:
         self.columns = [c for c in base.columns if c != "row_id"]
         self.lineage = Lineage()
         self.dead: DataFrame = self.spark.createDataFrame([], "row_id bigint, removed_v bigint, born bigint")
+        #: (removed_v, born) of all rows in dead.
+        self.drops: set[tuple[int, int]] = set()
 
     # sources
     @classmethod
@@ -123,12 +125,21 @@ class Table:
         return base.select("row_id", *[self._render(c, v, base.schema[c].dataType).alias(c) for c in (columns or self.columns)])
 
     def _gone(self, v: int) -> DataFrame:
-        return self.dead.where((F.col("removed_v") <= v) & (F.col("born") == self._state(v).first)).select("row_id").distinct()
+        return self.dead.where((F.col("removed_v") <= v) & (F.col("born") == self._state(v).first)).select("row_id")
 
     def rows(self, version: int = -1, columns: Iterable[str] | None = None) -> DataFrame:
         """Live rows of a version."""
         v = self.lineage.check(version)
-        return self.physical(v, columns).join(self._gone(v), "row_id", "left_anti")
+        return self._live(self.physical(v, columns), v)
+
+    def _drops(self, v: int) -> bool:
+        return any(removed <= v and born == self._state(v).first for removed, born in self.drops)
+
+    def _live(self, rows: DataFrame, v: int) -> DataFrame:
+        """rows without those dropped by v; nothing is joined, and so nothing shuffled, before the first drop."""
+        if not self._drops(v):
+            return rows
+        return rows.join(self._gone(v), "row_id", "left_anti")
 
     def column(self, name: str, version: int = -1, live_only: bool = True) -> DataFrame:
         return (self.rows if live_only else self.physical)(version, [name])
@@ -185,15 +196,19 @@ class Table:
             keep = [op for op in state.ops if op.column != column]
             base = saved(state.base.withColumn(column, self._render(column, v, state.base.schema[column].dataType)), "base")
             self.dead = self.dead.unionByName(self.dead.where((F.col("born") == state.first) & (F.col("removed_v") <= v)).withColumn("born", F.lit(v + 1).cast("bigint")))
+            self.drops |= {(r, v + 1) for r, born in self.drops if born == state.first and r <= v}
             self._advance()
             self.states.append(State(base, v + 1, keep, state.numbering))
         return n
 
     # row edits
     def _drop(self, rows: DataFrame) -> int:
-        gone = saved(rows.select("row_id").join(self._gone(self.lineage.latest), "row_id", "left_anti"), "dead")
+        gone = saved(self._live(rows.select("row_id"), self.lineage.latest), "dead")
         n = gone.count()
         v = self._advance()
+        if not n:
+            return n
+        self.drops.add((v, self._state(v).first))
         self.dead = self.dead.unionByName(gone.select("row_id", F.lit(v).cast("bigint").alias("removed_v"), F.lit(self._state(v).first).cast("bigint").alias("born")))
         return n
 
@@ -212,7 +227,8 @@ class Table:
         """mask (pos, drop): positions are of physical rows or, if there are as many as live rows, of live rows."""
         n = mask.count()
         if n == self.num_rows_physical():
-            return self._drop(mask.where("drop").select(F.col("pos").alias("row_id")))
+            own = self.states[-1].base.select("row_id")
+            return self._drop(own.join(mask.where("drop").select(F.col("pos").alias("row_id")), "row_id", "left_semi"))
         if n != self.num_rows():
             raise ValueError(f"mask of {n} rows for {self.num_rows_physical()} physical, {self.num_rows()} live")
         ranked = global_rank(self.rows(columns=self.columns[:1]).select("row_id"), [F.col("row_id")], "pos", 0)
@@ -244,7 +260,12 @@ class Table:
         ident = key or "row_id"
         x, y = self.rows(a), self.rows(b)
         ids = lambda df: df.select(F.col(ident).alias("id"))
-        rows = ids(x).join(ids(y), "id", "left_anti").withColumn("change", F.lit("removed")).unionByName(ids(y).join(ids(x), "id", "left_anti").withColumn("change", F.lit("added")))
+        if key is None:  # the same rows below both versions: only what was dropped differs
+            x_gone, y_gone = (self._gone(v).select(F.col("row_id").alias("id")) for v in (a, b))
+            first, second = (p if not self._drops(v) else p.join(q, "id", "left_anti") for p, q, v in ((y_gone, x_gone, a), (x_gone, y_gone, b)))
+        else:
+            first, second = ids(x).join(ids(y), "id", "left_anti"), ids(y).join(ids(x), "id", "left_anti")
+        rows = first.withColumn("change", F.lit("removed")).unionByName(second.withColumn("change", F.lit("added")))
         cols = [c for c in self.columns if c != key]
         both = x.select(F.col(ident).alias("id"), *[F.col(f"`{c}`").alias(f"a_{c}") for c in cols]).join(y.select(F.col(ident).alias("id"), *[F.col(f"`{c}`").alias(f"b_{c}") for c in cols]), "id")
         cell = lambda c: F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), F.struct(F.lit(c).alias("column"), F.col(f"a_{c}").cast("string").alias("old"), F.col(f"b_{c}").cast("string").alias("new")))
@@ -312,6 +333,7 @@ class Table:
                 out.append(State(saved(self.physical(v), "base"), v, [], s.numbering))
                 born = self.dead.where((F.col("born") == s.first) & (F.col("removed_v") <= end)).withColumn("born", F.lit(v).cast("bigint"))
                 self.dead = self.dead.unionByName(born)
+                self.drops |= {(r, v) for r, b in self.drops if b == s.first and r <= end}
         self.states = out
 
     @classmethod
@@ -326,6 +348,7 @@ class Table:
         op = lambda v, column, kind, args: Op(v, column, kind, (dict(map(tuple, args[0])),) if kind == "map" else tuple(args))
         out.states = [State(spark.read.parquet(f"{path}/{s['base']}"), s["first"], [op(*x) for x in s["ops"]], s["numbering"], f"{path}/{s['base']}") for s in c["states"]]
         out.dead = spark.read.schema("row_id bigint, removed_v bigint, born bigint").parquet(f"{path}/{c['dead']}")
+        out.drops = {tuple(r) for r in out.dead.select("removed_v", "born").distinct().collect()}
         return out
 
     def to_parquet(self, path: str, version: int = -1) -> None:
