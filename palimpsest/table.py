@@ -19,6 +19,10 @@ from palimpsest.operators.ordering import global_rank
 from palimpsest.storage import saved
 
 
+#: Hashes of repeated keys that are broadcast.
+HASHES_SENT = 1_000_000
+
+
 def value_map(c: Column, mapping: dict, dtype: T.DataType) -> Column:
     """All entries of mapping at once; other values and null stay. The type stays, if the new values fit it."""
     out = c
@@ -235,10 +239,18 @@ class Table:
         return self._drop(ranked.join(mask.where("drop"), "pos").select("row_id"))
 
     def dedup(self, on: list[str] | None = None) -> int:
-        """Keeps the first live row of each key; null equals null and NaN equals NaN."""
+        """Keeps the first live row of each key; null equals null and NaN equals NaN. Equal keys have equal hashes, so only
+        rows whose hash occurs again are compared by their keys, unless most of them would be."""
         keys = on or self.columns
         rows = self.rows(columns=keys)
-        first = rows.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min("row_id").alias("row_id"))
+        cols = [F.col(f"`{k}`") for k in keys]
+        again = saved(rows.select(F.xxhash64(*cols).alias("__h")).groupBy("__h").agg(F.count("*").alias("n")).where("n > 1").select("__h"), "again")
+        n = again.count()
+        if not n:
+            return self._drop(rows.select("row_id").where(F.lit(False)))
+        if n <= HASHES_SENT:
+            rows = rows.withColumn("__h", F.xxhash64(*cols)).join(F.broadcast(again), "__h", "left_semi").drop("__h")
+        first = rows.groupBy(*cols).agg(F.min("row_id").alias("row_id"))
         return self._drop(rows.select("row_id").join(first.select("row_id"), "row_id", "left_anti"))
 
     def compact(self) -> int:

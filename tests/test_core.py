@@ -252,3 +252,18 @@ def test_row_diff_reads_deletion_vectors_alone(spark):
         for b in range(t.versions):
             want = {(i, "removed") for i in now[a] - now[b]} | {(i, "added") for i in now[b] - now[a]}
             assert {tuple(r) for r in t.diff(a, b)[0].collect()} == want
+
+
+def test_whole_row_dedup_shuffles_rows_once(spark):
+    """Ranks are places in sorted files, and only keys whose hash occurs again are compared as a whole."""
+    from palimpsest.operators.ordering import global_rank
+
+    nan = float("nan")
+    rows = [(0.0, "a"), (-0.0, "a"), (nan, None), (nan, None), (None, None), (None, None), (1.0, "b"), (2.0, "c"), (1.0, "c")]
+    t = Table(spark.createDataFrame(rows, "x double, s string"))
+    assert t.dedup() == 3 and t.num_rows() == 6
+    assert t.dedup() == 0 and t.num_rows() == 6 and t.num_rows(0) == 9
+    ranked = global_rank(spark.range(0, 500, 1, 7).select((F.col("id") * 37 % 500).alias("v")), [F.col("v").desc()], "k", 5)
+    assert sorted((r["k"], r["v"]) for r in ranked.collect()) == [(5 + i, 499 - i) for i in range(500)]
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
